@@ -6,8 +6,9 @@ from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docspan.llm import jaccard, toxicity
+from docspan.llm import chat, decontaminate, jaccard, pieces, surrogates, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,13 +22,33 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), 4, Fraction(85, 100))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(_table(spark, sf_dir, "documents"))
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, whose turns hold the template's own control strings."""
+    hostile = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat.HOSTILE).alias("text"))
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)
+    return chat.digest(chat.format_chats(conversations))
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.summarise(surrogates.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-word shingles; a document that holds 0.8 of an item's is contaminated."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_sentencepiece, op4_chat_formatting, op7_pii_surrogates, op9_benchmark_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_chat_formatting": chat.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}
