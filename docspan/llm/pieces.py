@@ -117,6 +117,33 @@ class Encoder:
             end -= len(out[-1])
         return out[::-1]
 
+    def walk(self, text: str) -> list[str]:
+        """The path of finite weight through a whole stretch, depth first from the longest piece.
+
+        The path to a place is unique, so a place from which the walk had to turn back is dead for good.
+        """
+        n, longest, pieces, agreed = len(text), self.longest, self.pieces, self.agreed
+        path: list[str] = []
+        dead: set[int] = set()
+        at, last, size = 0, "", min(longest, n)
+        while at < n:
+            while size:
+                b = text[at : at + size]
+                if (b in pieces or size == 1) and at + size not in dead:
+                    ok = agreed.get((last, b))
+                    if ok or ok is None and self.agree(last, b):
+                        break
+                size -= 1
+            if size:
+                path.append(b)
+                at, last = at + size, b
+                size = min(longest, n - at)
+            else:
+                dead.add(at)
+                b = path.pop()
+                at, last, size = at - len(b), path[-1] if path else "", len(b) - 1
+        return path
+
     def ids(self, parts: list[str]) -> list[int]:
         out = []
         for p in parts:
@@ -132,7 +159,7 @@ class Encoder:
         if got is None:
             if len(self.memo) > 500_000:
                 self.memo.clear()
-            got = self.memo[text] = tuple(self.ids(self.back(self.forward(text, 0, "", len(text)), len(text), 0)))
+            got = self.memo[text] = tuple(self.ids(self.walk(text)))
         return got
 
     def meeting(self, text: str) -> list[int]:

@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspan.llm import chat, decontaminate, jaccard, pieces, surrogates, toxicity
+from docspan.llm import chat, decontaminate, jaccard, lm, pieces, quality, secrets, surrogates, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), 4, Fraction(85, 100))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(_table(spark, sf_dir, "documents"))
 
@@ -33,10 +37,21 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(conversations))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.summarise(surrogates.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger under the current policy."""
+    ledger = quality.apply_policy(quality.quality_ledger(_table(spark, sf_dir, "documents")))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return ledger.select(*first, "n_lines", "n_letters", "failed", "policy")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-word shingles; a document that holds 0.8 of an item's is contaminated."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -47,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op3_sentencepiece, op4_chat_formatting, op7_pii_surrogates, op9_benchmark_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scores, op3_sentencepiece, op4_chat_formatting, op6_secret_scan, op7_pii_surrogates, op8_quality_rules, op9_benchmark_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -257,6 +257,19 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(per_batch, "doc_id long, score double, n_hits int, restored array<string>")
 
 
+def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose score is below the threshold."""
+    at = docs.columns.index("text")
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(model.char)
+        for batch in batches:
+            keep = [model.score(restorer.words(t)) < threshold for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(per_batch, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5) -> DataFrame:
     """Score every text: doc_id, held_out, score, predicted, n_hits, restored."""
     return score(docs, fit(docs, labels, folds)).select(
