@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspan.llm import chat, decontaminate, jaccard, lm, pieces, quality, secrets, surrogates, toxicity
+from docspan.llm import chat, decontaminate, jaccard, lm, pieces, quality, secrets, suffixes, surrogates, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(conversations))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 200 bytes."""
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scores, op3_sentencepiece, op4_chat_formatting, op6_secret_scan, op7_pii_surrogates, op8_quality_rules, op9_benchmark_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scores, op3_sentencepiece, op4_chat_formatting, op5_suffix_array_dedup, op6_secret_scan, op7_pii_surrogates, op8_quality_rules, op9_benchmark_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
