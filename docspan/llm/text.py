@@ -6,6 +6,7 @@ those bytes and ``bytes.lower()`` lowers exactly A-Z, so the UTF-8 form gives th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,15 +65,22 @@ def shared_dir(spark: SparkSession) -> str:
     if not place:
         place = "/tmp/checkpoints/docspan"
         spark.conf.set("spark.checkpoint.dir", place)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(place)
     return place
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut lineage: write the rows to a table in the shared folder and read it back.
+
+    Unlike a checkpoint this also drops the plan's inferred constraints, which grow with every round of
+    an iteration. The folder of the application goes when its driver ends.
+    """
+    spark = df.sparkSession
+    root = f"{shared_dir(spark)}/docspan-{spark.sparkContext.applicationId}"
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -119,21 +127,27 @@ def _bounds(table: pa.Table, keys: list[str]) -> list[int]:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links -> (node, label) with the smallest reachable node as label.
 
-    Minimum-label propagation with pointer jumping. The labels stay distributed; each round is
-    written to the shared folder. Sums by node are partial before the shuffle, so a node with
-    many links costs one row a task.
+    Random-order contraction: each node moves to its neighbour of smallest hash (or stays), links are
+    mapped along and those inside a node vanish, so that a few rounds suffice for any shape of graph.
+    Nodes and links stay distributed and each round is written to the shared folder. Minima by node
+    are partial before the shuffle, so a node with many links costs one row a task.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    while True:
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("label").alias("near"))
-        )
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("jump"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("jump"), F.col("label").alias("far"))
-        after = cut(step.join(jump, "jump", "left").select("node", F.coalesce(F.least("jump", "far"), "jump").alias("label"), (F.coalesce(F.least("jump", "far"), "jump") != F.col("old")).alias("moved")))
-        labels = after.select("node", "label")
-        if after.where("moved").limit(1).count() == 0:
-            return labels
+    links = cut(edges.select("a", "b").where("a <> b").distinct())
+    placed: DataFrame | None = None
+    turn = 0
+    while links.limit(1).count():
+        order = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), c.alias("id"))  # noqa: B023, E731
+        near = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min(order(F.col("b"))).alias("m"))
+        moves = cut(near.select(F.col("a").alias("node"), F.least("m", order(F.col("a")))["id"].alias("to")))
+        left = moves.select(F.col("node").alias("a"), F.col("to").alias("x"))
+        right = moves.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        links = cut(links.join(left, "a").join(right, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if placed is None:
+            placed = moves
+        else:
+            step = moves.select(F.col("node").alias("at"), F.col("to").alias("on"))
+            placed = cut(placed.join(step, F.col("to") == F.col("at"), "left").select("node", F.coalesce("on", "to").alias("to")))
+        turn += 1
+    if placed is None:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    return placed.join(placed.groupBy("to").agg(F.min("node").alias("label")), "to").select("node", "label")
