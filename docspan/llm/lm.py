@@ -3,11 +3,13 @@
 Model. A text is its subword ids (a public byte-level BPE) and an end id. Blocks of 16 positions attend,
 causally masked, to themselves and the block before (32 positions, overlapping windows), so each id is
 scored once with 16 to 32 positions of context. The attention output gates a mixture of distributions
-over the whole vocabulary: a bigram table of the most frequent ids, unigrams of document clusters, and the
-global unigram. Every part is normalised, so the score is the log10 probability of the text.
+over the whole vocabulary: trigrams (two ids of context, hashed) that back off to bigrams and these to
+unigrams, unigrams of document clusters, and the global unigram. Every part is normalised, so the score is
+the log10 probability of the text. N-grams are counted exactly; the tables keep the most frequent ones up
+to a fixed size and give the mass of the others to the back-off.
 
 Learning uses only rows whose crc32(doc_id as text) mod folds is not 0. The counts (unigram, cluster,
-bigram, word) cover all of them. The clusters and a first version of the attention weights are fitted on
+n-gram, word) cover all of them. The clusters and a first version of the attention weights are fitted on
 SAMPLE documents (a slice of SLICE ids each); then every training document contributes one slice to a round
 of local training in each task, and the tasks' weights are averaged by their number of ids.
 
@@ -32,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.text import WordHashes, cut, runs_in_partition, shuffle_width, words_of
+from docspan.llm.text import MIX, WordHashes, cut, runs_in_partition, shuffle_width, words_of
 
 BLOCK = 16  # scored positions of a window; it spans two blocks
 WIDTH = 16  # of embeddings and heads
 SLOTS = 2048  # embedding rows; rarer ids share the last quarter
-TOP = 1024  # ids with a row and column of their own in the bigram table
+BIGRAMS, TRIGRAMS = 1 << 19, 1 << 20  # n-grams that the tables keep
+CONTEXTS = 1 << 20  # hashed contexts of two ids
+PARTS_OF_MIXTURE = 11  # CLUSTERS, the unigram, bigrams and trigrams
 CLUSTERS = 8
 SAMPLE = 1500  # documents that clusters and first weights are fitted on
 SLICE = 256  # ids that one document contributes to training, at most
@@ -72,37 +76,94 @@ class Tokens:
         return ids
 
 
+def context_of(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashed context of two ids."""
+    h = (before.astype(np.uint64) << np.uint64(32) | last.astype(np.uint64)) * MIX
+    return ((h ^ (h >> np.uint64(31))) * MIX >> np.uint64(44)).astype(np.int64)
+
+
+class Lookup:
+    """key -> value (0 for others), by open addressing; the few keys without a near slot are left out."""
+
+    PROBES = 12
+
+    def __init__(self, keys: np.ndarray, slots: int):
+        self.bits = slots.bit_length() - 1
+        self.keys = np.full(slots, -1, np.int64)
+        left = keys
+        for probe in range(self.PROBES):
+            at = self._slot(left, probe)
+            free = np.flatnonzero(self.keys[at] < 0)
+            at, first = np.unique(at[free], return_index=True)
+            self.keys[at] = left[free[first]]
+            left = left[self.keys[self._slot(left, probe)] != left]
+            if not len(left):
+                break
+        self.values = np.zeros(slots, np.float32)
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return (((keys.astype(np.uint64) * MIX) >> np.uint64(64 - self.bits)).astype(np.int64) + probe) & (len(self.keys) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Slot of each key, -1 for others."""
+        out = np.full(len(keys), -1, np.int64)
+        left = np.arange(len(keys))
+        for probe in range(self.PROBES):
+            at = self._slot(keys[left], probe)
+            own = self.keys[at]
+            hit = own == keys[left]
+            out[left[hit]] = at[hit]
+            left = left[~hit & (own >= 0)]
+            if not len(left):
+                break
+        return out
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        at = self.find(keys)
+        return np.where(at >= 0, self.values[at], np.float32(0))
+
+
+class Grams:
+    """n-gram probabilities count / (total + k) and the share k / (total + k) that backs off."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, contexts: int, size: int, k: float):
+        self.table = Lookup(keys, 4 * size)
+        at = self.table.find(keys)
+        keys, counts, at = keys[at >= 0], counts[at >= 0], at[at >= 0]
+        total = np.bincount(keys >> 16, weights=counts, minlength=contexts)
+        self.table.values[at] = counts / (total[keys >> 16] + k)
+        self.back = (k / (total + k)).astype(np.float32)
+
+    def probabilities(self, context: np.ndarray, targets: np.ndarray, back: np.ndarray) -> np.ndarray:
+        return self.table.get(context << 16 | targets) + self.back[context] * back
+
+
 @dataclass
 class Tables:
     """Distributions of the mixture, from counts over all training rows."""
 
-    rank: np.ndarray  # id -> row and column of the bigram table (TOP: the others)
     slot: np.ndarray  # id -> embedding row
     unigrams: np.ndarray  # (ids, CLUSTERS + 1), the global one last
-    bigram: np.ndarray  # (TOP + 1, TOP + 1)
-    share: np.ndarray  # id -> its share of its bigram column
+    bigrams: Grams
+    trigrams: Grams
 
     @classmethod
-    def of(cls, order: np.ndarray, cluster_counts: np.ndarray, pairs: np.ndarray) -> Tables:
+    def of(cls, order: np.ndarray, cluster_counts: np.ndarray, bigrams: tuple[np.ndarray, np.ndarray], trigrams: tuple[np.ndarray, np.ndarray]) -> Tables:
         vocabulary = cluster_counts.shape[1]
-        rank = np.full(vocabulary, TOP, np.int32)
-        rank[order[:TOP]] = np.arange(min(TOP, vocabulary))
         slot = np.empty(vocabulary, np.int32)
         own = SLOTS * 3 // 4
         slot[order] = np.where(np.arange(vocabulary) < own, np.arange(vocabulary), own + np.arange(vocabulary) % (SLOTS - own))
         total = cluster_counts.sum(0) + 0.1
         uni = total / total.sum()
         clusters = (cluster_counts + 200 * uni) / (cluster_counts.sum(1, keepdims=True) + 200)
-        column = np.bincount(rank, weights=uni, minlength=TOP + 1)
-        bigram = (pairs + 20 * column) / (pairs.sum(1, keepdims=True) + 20)
-        share = np.where(rank < TOP, 1.0, uni / max(column[TOP], 1e-300))
-        return cls(rank, slot, np.vstack([clusters, uni[None]]).T.astype(np.float32).copy(), bigram.astype(np.float32), share.astype(np.float32))
-
-    def probabilities(self, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """(n, CLUSTERS + 2): what each part of the mixture gives the targets."""
-        out = np.empty((len(targets), CLUSTERS + 2), np.float32)
-        out[:, :-1] = self.unigrams[targets]
-        out[:, -1] = self.bigram[self.rank[inputs], self.rank[targets]] * self.share[targets]
+        return cls(slot, np.vstack([clusters, uni[None]]).T.astype(np.float32).copy(), Grams(*bigrams, vocabulary, BIGRAMS, 20.0), Grams(*trigrams, CONTEXTS, TRIGRAMS, 100.0))
+
+    def probabilities(self, before: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """(n, PARTS_OF_MIXTURE): what each part gives the targets."""
+        out = np.empty((len(targets), PARTS_OF_MIXTURE), np.float32)
+        out[:, :-2] = self.unigrams[targets]
+        out[:, -2] = self.bigrams.probabilities(inputs.astype(np.int64), targets, out[:, -3])
+        out[:, -1] = self.trigrams.probabilities(context_of(before, inputs), targets, out[:, -2])
         return out
 
 
@@ -129,12 +190,18 @@ def blocks(docs: list[list[int]], end: int) -> tuple[np.ndarray, np.ndarray, np.
 _MASK = np.where(np.arange(2 * BLOCK)[None] <= np.arange(BLOCK)[:, None] + BLOCK, 0, -1e9).astype(np.float32)
 
 
+def _scored(inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The id before the last, the last one and the target at each scored position."""
+    before = np.concatenate([inputs[:1], inputs[:-1]])
+    return tuple(x.reshape(-1, BLOCK)[scored].ravel() for x in (before, inputs, targets))
+
+
 class Attention:
     """One causal head over two blocks, a residual layer and the gate."""
 
     SHAPES = {
         "e": (SLOTS, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "x": (WIDTH, WIDTH), "b": (WIDTH,),
-        "p": (BLOCK, 2 * BLOCK), "g": (WIDTH, CLUSTERS + 2), "h": (CLUSTERS + 2,),
+        "p": (BLOCK, 2 * BLOCK), "g": (WIDTH, PARTS_OF_MIXTURE), "h": (PARTS_OF_MIXTURE,),
     }
 
     def __init__(self, flat: np.ndarray | None = None):
@@ -173,8 +240,8 @@ class Attention:
     def log10(self, tables: Tables, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> np.ndarray:
         """log10 probability of each position (0 at padding)."""
         *_, y = self._hidden(tables.slot[inputs], scored)
-        i, t = inputs.reshape(-1, BLOCK)[scored].ravel(), targets.reshape(-1, BLOCK)[scored].ravel()
-        p = np.einsum("ij,ij->i", self.gates(y), tables.probabilities(i, np.maximum(t, 0)))
+        b, i, t = _scored(inputs, targets, scored)
+        p = np.einsum("ij,ij->i", self.gates(y), tables.probabilities(b, i, np.maximum(t, 0)))
         out = np.zeros(len(targets) // BLOCK * BLOCK).reshape(-1, BLOCK)
         out[scored] = np.where(t >= 0, np.log10(p.astype(np.float64)), 0).reshape(-1, BLOCK)
         return out.ravel()
@@ -183,8 +250,8 @@ class Attention:
         """Mean negative log probability and its gradient."""
         w, slots = self.w, tables.slot[inputs]
         x, xs, q, k, v, a, o, y = self._hidden(slots, scored)
-        i, t = inputs.reshape(-1, BLOCK)[scored].ravel(), targets.reshape(-1, BLOCK)[scored].ravel()
-        gates, p = self.gates(y), tables.probabilities(i, np.maximum(t, 0))
+        before, i, t = _scored(inputs, targets, scored)
+        gates, p = self.gates(y), tables.probabilities(before, i, np.maximum(t, 0))
         mixed = gates * p
         total = mixed.sum(1, keepdims=True)
         n = max(1, int((t >= 0).sum()))
@@ -286,36 +353,63 @@ def fit(docs: DataFrame, ranks: dict[bytes, int], pattern: str, folds: int = 10)
     sample = [s for s in sample if s]
     log_clusters = cluster_documents(sample, vocabulary)
     common = np.argsort(-np.bincount(np.concatenate([np.asarray(s) for s in sample]) if sample else np.zeros(0, np.int64), minlength=vocabulary), kind="stable")
-    rank = np.full(vocabulary, TOP, np.int64)
-    rank[common[:TOP]] = np.arange(min(TOP, vocabulary))
+    width = shuffle_width(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens(ranks, pattern)
         log = log_clusters.T.copy()
-        uni, pairs = np.zeros((CLUSTERS, vocabulary), np.int64), np.zeros((TOP + 1) ** 2, np.int64)
+        uni, grams, held, size = np.zeros((CLUSTERS, vocabulary), np.int64), {"bi": [], "tri": []}, [], 0
+
+        def gather() -> None:
+            last = np.concatenate([x for ids in held for x in (np.array([tokens.end]), ids[:-1])])
+            before = np.concatenate([x for ids in held for x in (np.array([tokens.end] * 2)[: len(ids)], ids[:-2])])
+            ids = np.concatenate(held)
+            grams["bi"].append(np.unique(last << 16 | ids, return_counts=True))
+            grams["tri"].append(np.unique(context_of(before, last) << 16 | ids, return_counts=True))
+
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 ids = np.array(tokens(text), np.int64)
-                uni[int(log[ids].sum(0).argmax())] += np.bincount(ids, minlength=vocabulary) if len(ids) > 20_000 else 0
-                if len(ids) <= 20_000:
-                    np.add.at(uni[int(log[ids].sum(0).argmax())], ids, 1)
-                r = rank[ids]
-                np.add.at(pairs, np.concatenate([[rank[tokens.end]], r[:-1]]) * (TOP + 1) + r, 1)
-        for name, table in (("uni", uni.ravel()), ("pairs", pairs)):
-            for part, piece in enumerate(np.array_split(table, PARTS)):
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([_packed(piece)], pa.binary())], names=["name", "part", "counts"])
+                np.add.at(uni[int(log[ids].sum(0).argmax())], ids, 1)
+                held.append(ids)
+                size += len(ids)
+                if size > 2_000_000:
+                    gather()
+                    held, size = [], 0
+        if held:
+            gather()
+        for part, piece in enumerate(np.array_split(uni.ravel(), PARTS)):
+            yield _counts("uni", part, _packed(piece))
+        for name, parts in grams.items():
+            if not parts:
+                continue
+            keys, n = _summed(parts)
+            bucket = (keys >> 16) % width
+            order = np.argsort(bucket, kind="stable")
+            bounds = np.searchsorted(bucket[order], np.arange(width + 1))
+            for b in range(width):
+                own = order[bounds[b] : bounds[b + 1]]
+                if len(own):
+                    yield _counts(name, b, _packed(np.diff(keys[own], prepend=0)) + _packed(n[own]))
 
     def add(rows: pa.Table) -> pa.RecordBatch:
-        total = sum(_unpacked(c, np.int64) for c in rows.column("counts").to_pylist())
-        return pa.RecordBatch.from_arrays([rows.column("name")[:1].combine_chunks(), rows.column("part")[:1].combine_chunks(), pa.array([_packed(total)], pa.binary())], names=["name", "part", "counts"])
+        name, part, data = rows.column("name")[0].as_py(), rows.column("part")[0].as_py(), rows.column("counts").to_pylist()
+        if name == "uni":
+            return _counts(name, part, _packed(sum(_unpacked(c) for c in data)))
+        keys, n = _summed([_gram_counts(c) for c in data])
+        keep = max(1, (BIGRAMS if name == "bi" else TRIGRAMS) // width)
+        if len(keys) > keep:  # the most frequent; ties by key
+            chosen = np.sort(np.lexsort((keys, -n))[:keep])
+            keys, n = keys[chosen], n[chosen]
+        return _counts(name, part, _packed(np.diff(keys, prepend=0)) + _packed(n))
 
-    sums = {"uni": [], "pairs": []}
     gathered = runs_in_partition(train.mapInArrow(count, "name string, part int, counts binary"), ["name", "part"], add, "name string, part int, counts binary")
-    for row in sorted(gathered.collect(), key=lambda r: r.part):
-        sums[row.name].append(_unpacked(row.counts, np.int64))
-    uni = np.concatenate(sums["uni"]).reshape(CLUSTERS, vocabulary) if sums["uni"] else np.zeros((CLUSTERS, vocabulary))
-    pairs = np.concatenate(sums["pairs"]).reshape(TOP + 1, TOP + 1) if sums["pairs"] else np.zeros((TOP + 1, TOP + 1))
-    tables = Tables.of(common, uni.astype(float), pairs.astype(float))
+    rows = sorted(gathered.collect(), key=lambda r: r.part)
+    uni = [_unpacked(r.counts) for r in rows if r.name == "uni"]
+    uni = np.concatenate(uni).reshape(CLUSTERS, vocabulary) if uni else np.zeros((CLUSTERS, vocabulary))
+    none = np.zeros(0, np.int64)
+    grams = {name: [_gram_counts(r.counts) for r in rows if r.name == name] or [(none, none)] for name in ("bi", "tri")}
+    tables = Tables.of(common, uni.astype(float), *(tuple(np.concatenate(x) for x in zip(*grams[name])) for name in ("bi", "tri")))
     attention = Attention()
     attention.train(tables, sample, vocabulary - 1, epochs=3, rate=0.01)
     start = attention.flat.copy()
@@ -347,12 +441,32 @@ def fit(docs: DataFrame, ranks: dict[bytes, int], pattern: str, folds: int = 10)
 
 
 def _packed(values: np.ndarray) -> bytes:
-    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(values, np.int64).tobytes(), codec="zstd", asbytes=True)
+    """int64 values with their count and packed size in front."""
+    data = pa.compress(np.ascontiguousarray(values, np.int64).tobytes(), codec="zstd", asbytes=True)
+    return len(values).to_bytes(8, "little") + len(data).to_bytes(8, "little") + data
+
+
+def _unpacked(data: bytes, at: int = 0) -> np.ndarray:
+    n, size = (int.from_bytes(data[at + i : at + i + 8], "little") for i in (0, 8))
+    return np.frombuffer(pa.decompress(data[at + 16 : at + 16 + size], decompressed_size=n * 8, codec="zstd", asbytes=True), np.int64)
+
+
+def _gram_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at = 16 + int.from_bytes(data[8:16], "little")
+    return np.cumsum(_unpacked(data)), _unpacked(data, at)
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with the sums of their counts."""
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(n, at) if len(at) else n
 
 
-def _unpacked(data: bytes, dtype: type) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], decompressed_size=n * 8, codec="zstd", asbytes=True), dtype)
+def _counts(name: str, part: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["name", "part", "counts"])
 
 
 _BLOBS = "batch long, bucket int, words binary, counts binary"
@@ -420,8 +534,7 @@ def score(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int],
                 np.array([x or 0 for x in ids], np.int64), np.array(ids_known, np.int64), np.array(held, np.int64), np.diff(ptr), sizes, model_scores.view(np.int64),
                 np.bincount(keys // (len(vocab) + 1), minlength=len(texts)), keys % (len(vocab) + 1), tf,
             ]
-            packed = [_packed(x) for x in head]
-            yield _row(batch, -1, b"".join(len(x).to_bytes(8, "little") + x for x in packed), b"")
+            yield _row(batch, -1, b"".join(map(_packed, head)), b"")
 
         ids, held, texts, size = [], [], [], 0
         for batch in batches:
@@ -442,7 +555,7 @@ def score(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int],
             for batch, bucket, words, n in zip(*(part.column(c).to_pylist() for c in ("batch", "bucket", "words", "counts"))):
                 at = np.array([totals.setdefault(w, len(totals)) for w in words.split(b" ")], np.int64)
                 asked.append((batch, bucket, at))
-                counts.append(_unpacked(n, np.int64))
+                counts.append(_unpacked(n))
         if not asked:
             return
         total = np.zeros(len(totals), np.int64)
@@ -456,7 +569,7 @@ def score(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int],
     scanned = cut(held.mapInArrow(scan, _BLOBS))
     replies = cut(scanned.where("bucket >= 0").repartition(width, "bucket").mapInArrow(meet, _BLOBS))
     ends = docs.where(~_held_out(folds)).count()
-    stats = [_unpacked(r.counts, np.int64) for r in replies.where("batch = -1").select("counts").collect()]
+    stats = [_unpacked(r.counts) for r in replies.where("batch = -1").select("counts").collect()]
     n = int(sum(s[0] for s in stats)) + ends
     v = int(sum(s[1] for s in stats)) + (1 if ends else 0)
     divisor = np.log10(n + 0.1 * (v + 1))
@@ -466,11 +579,10 @@ def score(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int],
         words, counts = rows.column("words").to_pylist(), rows.column("counts").to_pylist()
         data, at, head = words[order[0]], 0, []
         while at < len(data):
-            size = int.from_bytes(data[at : at + 8], "little")
-            head.append(_unpacked(data[at + 8 : at + 8 + size], np.int64))
-            at += 8 + size
+            head.append(_unpacked(data, at))
+            at += 16 + int.from_bytes(data[at + 8 : at + 16], "little")
         ids, known_id, held_out, n_words, n_subwords, scores, spans, refs, tf = head
-        c = np.concatenate([_unpacked(counts[i], np.int64) for i in order[1:]]) if len(order) > 1 else np.zeros(0, np.int64)
+        c = np.concatenate([_unpacked(counts[i]) for i in order[1:]]) if len(order) > 1 else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(ids)), spans)
         logs = np.bincount(doc, weights=tf * np.log10(c[refs] + 0.1), minlength=len(ids)) + np.log10(ends + 0.1) - (n_words + 1) * divisor
         known = np.bincount(doc, weights=tf * (c[refs] > 0), minlength=len(ids)).astype(np.int64) + (1 if ends else 0)
