@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.text import MIX, WordHashes, cut, runs_in_partition, shuffle_width, words_of
+from docspan.llm.text import MIX, WordHashes, cut, runs_in_partition, shuffle_width, slices_of, words_of
 
 BLOCK = 16  # scored positions of a window; it spans two blocks
 WIDTH = 16  # of embeddings and heads
@@ -126,18 +126,28 @@ class Lookup:
 class Grams:
     """n-gram probabilities count / (total + k) and the share k / (total + k) that backs off."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, contexts: int, size: int, k: float):
-        self.table = Lookup(keys, 4 * size)
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, contexts: int, k: float):
+        self.made_of = keys, counts, contexts, k
+        self.table = Lookup(keys, 4 << max(4, int(len(keys) - 1).bit_length()))
         at = self.table.find(keys)
         keys, counts, at = keys[at >= 0], counts[at >= 0], at[at >= 0]
         total = np.bincount(keys >> 16, weights=counts, minlength=contexts)
         self.table.values[at] = counts / (total[keys >> 16] + k)
         self.back = (k / (total + k)).astype(np.float32)
 
+    def __reduce__(self):
+        """Travels as packed counts; the table is built again where it arrives."""
+        keys, counts, contexts, k = self.made_of
+        return _grams, (_packed(np.diff(keys, prepend=0)), _packed(counts), contexts, k)
+
     def probabilities(self, context: np.ndarray, targets: np.ndarray, back: np.ndarray) -> np.ndarray:
         return self.table.get(context << 16 | targets) + self.back[context] * back
 
 
+def _grams(keys: bytes, counts: bytes, contexts: int, k: float) -> Grams:
+    return Grams(np.cumsum(_unpacked(keys)), _unpacked(counts), contexts, k)
+
+
 @dataclass
 class Tables:
     """Distributions of the mixture, from counts over all training rows."""
@@ -156,7 +166,7 @@ class Tables:
         total = cluster_counts.sum(0) + 0.1
         uni = total / total.sum()
         clusters = (cluster_counts + 200 * uni) / (cluster_counts.sum(1, keepdims=True) + 200)
-        return cls(slot, np.vstack([clusters, uni[None]]).T.astype(np.float32).copy(), Grams(*bigrams, vocabulary, BIGRAMS, 20.0), Grams(*trigrams, CONTEXTS, TRIGRAMS, 100.0))
+        return cls(slot, np.vstack([clusters, uni[None]]).T.astype(np.float32).copy(), Grams(*_sorted(*bigrams), vocabulary, 20.0), Grams(*_sorted(*trigrams), CONTEXTS, 100.0))
 
     def probabilities(self, before: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """(n, PARTS_OF_MIXTURE): what each part gives the targets."""
@@ -368,7 +378,7 @@ def fit(docs: DataFrame, ranks: dict[bytes, int], pattern: str, folds: int = 10)
             grams["tri"].append(np.unique(context_of(before, last) << 16 | ids, return_counts=True))
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
+            for text in _texts(batch):
                 ids = np.array(tokens(text), np.int64)
                 np.add.at(uni[int(log[ids].sum(0).argmax())], ids, 1)
                 held.append(ids)
@@ -465,10 +475,20 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[at], np.add.reduceat(n, at) if len(at) else n
 
 
+def _sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    return keys[order], counts[order]
+
+
 def _counts(name: str, part: int, data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["name", "part", "counts"])
 
 
+def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
+    for part in slices_of(batch):
+        yield from part.column("text").to_pylist()
+
+
 _BLOBS = "batch long, bucket int, words binary, counts binary"
 
 
@@ -537,7 +557,7 @@ def score(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int],
             yield _row(batch, -1, b"".join(map(_packed, head)), b"")
 
         ids, held, texts, size = [], [], [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             for i, h, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held", "text"))):
                 ids.append(i)
                 held.append(h)

@@ -28,7 +28,9 @@ class Catalogue:
 
 
 def _modules() -> list[Catalogue]:
-    return []
+    from docspan.plans import group_queries, text_queries
+
+    return [text_queries.CATALOGUE, group_queries.CATALOGUE]
 
 
 def queries() -> dict[str, Query]:
