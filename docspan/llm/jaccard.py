@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.text import MIX, WordHashes, connected_components, cut, mix64, runs_in_partition, shingle_hashes, shuffle_width, word_hashes, words_of
+from docspan.llm.text import MIX, WordHashes, connected_components, cut, mix64, runs_in_partition, shingle_hashes, shuffle_width, slices_of, word_hashes, words_of
 
 BLOCK = 128  # members of a block; a tile holds two blocks at most
 FLUSH_BYTES = 8 << 20  # packed signatures are sent on when they reach this size
@@ -94,7 +94,7 @@ def member_sets(docs: DataFrame, k: int) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             ids, sizes = [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_hashes(word_hashes(words_of(text), memo), k)
@@ -126,7 +126,7 @@ def coarse_links(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
         memo, bands = WordHashes(), Bands(threshold)
         seen: set[int] = set()  # equal sets of one task show their ranges once
         sigs, ids, held = [], [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             for text in batch.column("text").to_pylist():
                 s = shingle_hashes(word_hashes(words_of(text), memo), k)
                 if not len(s) or (sid := set_id(s)) in seen:
@@ -219,7 +219,7 @@ def exact_links(docs: DataFrame, members: DataFrame, groups: DataFrame, k: int,
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             sets = [shingle_hashes(word_hashes(words_of(t), memo), k).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("sid", "label", "g", "n")] + [pa.array(sets, pa.binary())], names=["sid", "label", "g", "n", "shingles"])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.text import WordHashes, mix64, MIX, word_hashes
+from docspan.llm.text import MIX, WordHashes, mix64, slices_of, word_hashes
 
 #: The symbols that are counted.
 _SYMBOLS = b"#*$%&|<>"
@@ -124,7 +124,7 @@ def quality_ledger(docs: DataFrame) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             rows = []
             for t in batch.column("text").to_pylist():
                 m = measure(t, memo)

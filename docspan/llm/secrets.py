@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from docspan.llm.text import slices_of
+
 KINDS = ("assign", "access", "hex", "entropy")
 #: The base patterns.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -122,7 +124,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             found = [scan(t) for t in batch.column("text").to_pylist()]
             counts = [pa.array(np.array([sum(k == kind for _, k, _ in every) for _, every in found], np.int64)) for kind in KINDS]
             told = [pa.array([hashlib.sha256(_told(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([_told(every) for _, every in found], pa.string())]

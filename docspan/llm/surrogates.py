@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docspan.llm.text import slices_of
+
 KINDS = ("email", "card", "phone", "national_id", "ip", "person")
 DEFAULT_KEY = "docspan-surrogates"  # production callers pass a secret of their own
 
@@ -284,7 +286,7 @@ def replace_pii(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             texts, spans = [], []
             for text in batch.column(at).to_pylist():
                 new, entities = replace_entities(text, secret) if text else (text, [])

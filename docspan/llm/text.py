@@ -59,6 +59,12 @@ def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix64(out))
 
 
+def slices_of(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, so that only a few texts at a time become Python strings."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of our own only where the session names none."""
     place = spark.conf.get("spark.checkpoint.dir", None)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.text import cut
+from docspan.llm.text import cut, slices_of
 
 ALPHABET = 28  # 0 is a word boundary, 1-26 letters, 27 any other letter
 #: Letters that a disguising character may stand for.
@@ -43,6 +43,8 @@ _HAS_LETTER = re.compile(r"[^\W\d_]")
 SUBSTITUTION_COST = math.log10(0.05)  # channel: a letter is disguised
 DROP_COST = math.log10(0.05)  # channel: a mark or a repeated letter carries nothing
 SAMPLE_LIMIT = 20_000  # labelled rows that the logistic model is fitted on, at most
+BROADCAST_LABELS = 2_000_000  # labels that may be broadcast; beyond it the join shuffles
+CANDIDATES = 8192  # words of texts of label 1, the most frequent, that the lexicon is chosen from
 LEXICON_LIMIT = 400  # words in the lexicon, at most
 MIN_SUPPORT = 8  # distinct texts of label 1 that hold a word, at least
 
@@ -92,7 +94,7 @@ def _options(token: str) -> list[list[tuple[str, float]]]:
                 here.append(("", DROP_COST if not (i > 1 and token[i - 2] == ch) else 0.0))
         else:
             here += [(x, SUBSTITUTION_COST) for x in LEET.get(ch, "")]
-            here.append(("", 2 * DROP_COST if ch.isalnum() else DROP_COST if ch in LEET else 0.0))
+            here.append(("", 3 * DROP_COST if ch.isalnum() else DROP_COST if ch in LEET else 0.0))
         lattice.append(here)
     return lattice
 
@@ -130,7 +132,7 @@ class Restorer:
     def token(self, token: str) -> str:
         got = self.memo.get(token)
         if got is None:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
             core = token.strip(EDGE)
             lead = token[: len(token) - len(token.lstrip(EDGE))]
@@ -156,7 +158,7 @@ def char_model(docs: DataFrame) -> CharModel:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ALPHABET**3, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             joined: list[bytes] = []
             held = 0
             for text in batch.column(0).to_pylist():
@@ -198,31 +200,46 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> ToxicityModel:
     SAMPLE_LIMIT rows with the smallest hash of doc_id.
     """
     char = char_model(docs)
-    clean = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2")).where("y = y2").select(F.col("doc_id").alias("label_id"), "y")
-    train = docs.select("doc_id", "text").where(_fold("doc_id", folds) != 0).join(clean, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y")
+    clean = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2")).where("y = y2").select(F.col("doc_id").alias("label_id"), F.col("y").cast("int").alias("y"))
+    if labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS:
+        clean = F.broadcast(clean)
+    train = docs.select("doc_id", "text").where(_fold("doc_id", folds) != 0).join(clean, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "y", F.xxhash64("text").alias("h"))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(char)
-        for batch in batches:
-            rows = [sorted(restorer.words(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("h"), pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "y", "h", "words"])
+        for batch in (part for whole in batches for part in slices_of(whole)):
+            counts: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                counts.update(restorer.words(text))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
 
-    by_row = cut(train.withColumn("y", F.col("y").cast("int")).withColumn("h", F.xxhash64("text")).select("doc_id", "text", "y", "h").mapInArrow(words, "doc_id long, y int, h long, words array<string>"))
+    support = train.where("y = 1").select("text").mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= 2)
+    candidates = [r.w for r in support.orderBy(F.desc("n"), "w").limit(CANDIDATES).collect()]
+    index = {w: i for i, w in enumerate(candidates)}
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        restorer = Restorer(char)
+        for batch in (part for whole in batches for part in slices_of(whole)):
+            rows = [sorted(index[w] for w in restorer.words(t) & index.keys()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("h"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "y", "h", "hits"])
+
+    by_row = cut(train.mapInArrow(hits, "doc_id long, y int, h long, hits array<int>"))
     unique = by_row.dropDuplicates(["h", "y"])
     totals = {r.y: r.n for r in unique.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return ToxicityModel(char, {}, np.zeros(0), -60.0)
-    counts = unique.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).where(F.col("p") >= min(MIN_SUPPORT, max(2, pos // 4)))
+    counts = unique.select("y", F.explode("hits").alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).where(F.col("p") >= min(MIN_SUPPORT, max(2, pos // 4)))
     rate, base = (F.col("p") + 0.5) / (pos + 1.0), (F.col("q") + 0.5) / (neg + 1.0)
     ranked = counts.withColumn("gain", F.col("p") * F.log(rate / base)).where(rate > 3 * base).orderBy(F.desc("gain"), "w").limit(LEXICON_LIMIT).collect()
-    lexicon = {r.w: i for i, r in enumerate(ranked)}
-    known = F.array(*[F.lit(w) for w in lexicon]) if lexicon else F.array().cast("array<string>")
-    sample = by_row.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_LIMIT).select("y", F.array_intersect("words", known).alias("hits")).collect()
+    lexicon = {candidates[r.w]: i for i, r in enumerate(ranked)}
+    column = {r.w: i for i, r in enumerate(ranked)}
+    known = F.array(*[F.lit(w) for w in column]) if column else F.array().cast("array<int>")
+    narrow = by_row.select("doc_id", "y", F.array_intersect("hits", known).alias("hits"))
+    sample = narrow.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_LIMIT).select("y", "hits").collect()
     x = np.zeros((len(sample), len(lexicon)))
     for i, row in enumerate(sample):
-        for w in row.hits:
-            x[i, lexicon[w]] = 1
+        x[i, [column[w] for w in row.hits]] = 1
     weights, bias = _logistic(x, np.array([r.y for r in sample], float))
     return ToxicityModel(char, lexicon, weights, bias)
 
@@ -247,7 +264,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model.char)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             found = [restorer.words(t) & model.lexicon.keys() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([model.score(w) for w in found], pa.float64()), pa.array([len(w) for w in found], pa.int32()), pa.array([sorted(w) for w in found], pa.list_(pa.string()))],
@@ -263,7 +280,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model.char)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             keep = [model.score(restorer.words(t)) < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
