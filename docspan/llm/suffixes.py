@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.text import MIX, cut, mix64, runs_in_partition, shuffle_width
+from docspan.llm.text import MIX, cut, mix64, runs_in_partition, shuffle_width, slices_of
 
 WINDOW = 200
 GRAM = 32
@@ -38,7 +38,6 @@ BATCH_BYTES = 8 << 20
 SHARD_RUNS = 100  # runs of one anchor in a shard, at most
 SHARD_BYTES = 1 << 20  # shards are sorted together up to this size
 ONCE, SAME, DIFFERENT, CHIEF = 1, 2, 3, 4  # how often an anchor or a run occurs; the run that stands for equal ones
-BROADCAST_BYTES = 8 << 20  # packed places that may be broadcast; beyond it the join shuffles
 
 
 def anchor_runs(raw: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,7 +214,7 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             yield _ask(batch, -1, -1, _pack(np.frombuffer(b"".join(head), np.int64)), b"")
 
         held, size = [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass")
                 held.append((key, *text_runs(raw, window, gram)))
@@ -286,10 +285,10 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 def shared_windows(docs: DataFrame, open_runs: DataFrame, window: int) -> DataFrame:
     """key, runs of the windows in open runs (k, open) that repeat in another run of the same anchor."""
     width = shuffle_width(docs.sparkSession)
-    joined = docs.join(_maybe_broadcast(open_runs, "open"), F.col("key") == F.col("k"))
+    joined = docs.join(open_runs, F.col("key") == F.col("k"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             rows: list[tuple] = []
             for key, text, data in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "open"))):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -410,11 +409,6 @@ def _consecutive(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     return keys[at], starts[at], starts[last] - starts[at] + 1
 
 
-def _maybe_broadcast(df: DataFrame, column: str) -> DataFrame:
-    size = df.agg(F.sum(F.length(column) + 16)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed byte ranges) of every text."""
     keyed = docs.select("doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
@@ -422,7 +416,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     by_doc = cut(places.groupBy(F.col("key").alias("k")).agg(F.collect_set("runs").alias("runs")))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole)):
             rows: list[tuple] = []
             for doc_id, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "runs"))):
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
@@ -443,6 +437,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             cols = list(zip(*rows)) if rows else [[]] * 6
             yield _batch({"doc_id": (list(cols[0]), pa.int64()), "n_bytes": (list(cols[1]), pa.int64()), "n_removed": (list(cols[2]), pa.int64()), "n_spans": (list(cols[3]), pa.int64()), "kept_sha256": (list(cols[4]), pa.string()), "spans": (list(cols[5]), pa.string())})
 
-    size = by_doc.agg(F.sum(F.aggregate("runs", F.lit(16), lambda n, r: n + F.length(r)))).first()[0] or 0
-    joined = keyed.join(F.broadcast(by_doc) if size <= BROADCAST_BYTES else by_doc, F.col("key") == F.col("k"), "left")
+    joined = keyed.join(by_doc, F.col("key") == F.col("k"), "left")
     return joined.select("doc_id", "text", "runs").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
