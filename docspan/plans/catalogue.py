@@ -28,9 +28,9 @@ class Catalogue:
 
 
 def _modules() -> list[Catalogue]:
-    from docspan.plans import group_queries, text_queries
+    from docspan.plans import group_queries, score_queries, spatial_queries, stream_queries, text_queries
 
-    return [text_queries.CATALOGUE, group_queries.CATALOGUE]
+    return [text_queries.CATALOGUE, group_queries.CATALOGUE, spatial_queries.CATALOGUE, score_queries.CATALOGUE, stream_queries.CATALOGUE]
 
 
 def queries() -> dict[str, Query]:
