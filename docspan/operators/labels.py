@@ -47,6 +47,7 @@ def parse_label(text: str) -> Label | None:
     at = lead.end() if lead else len(plain) - len(plain.lstrip())
     start = len(plain) - len(plain.lstrip())
     tokens: list[str] = []
+    stop = at
     while at < len(plain):
         bracket = plain[at] == "("
         m = _TOKEN.match(plain, at + bracket)
@@ -66,17 +67,15 @@ def parse_label(text: str) -> Label | None:
         else:
             break
         tokens.append(m.group())
-        at = end
-        if plain[at : at + 1].isspace():
-            after = at + len(plain[at:]) - len(plain[at:].lstrip())
-            if plain[after : after + 1] != "(":
+        at = stop = end
+        gap = len(plain[at:]) - len(plain[at:].lstrip())
+        if gap:
+            if plain[at + gap : at + gap + 1] != "(":
                 break
-            at = after
-    if not tokens or (at < len(plain) and not plain[at].isspace() and plain[at - 1] not in ").") :
+            at += gap
+    if not tokens or (stop < len(plain) and not plain[stop].isspace()):
         return None
-    if at < len(plain) and not plain[at].isspace():
-        return None
-    return Label(text[start:at].strip(), tuple(tokens), text[at:].strip())
+    return Label(text[start:stop].strip(), tuple(tokens), text[stop:].strip())
 
 
 @F.pandas_udf(SCHEMA)

@@ -20,6 +20,7 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*") -> Data
     """content_hash, filename, kind, byte_size, page_count, problem of uploaded files.
 
     Pages of a PDF are counted by its page objects; a file with a problem is a row like any other.
+    Spark's file sources leave out files without bytes.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
     name = F.substring_index("path", "/", -1)
@@ -28,7 +29,7 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*") -> Data
     image = is_image_upload(name)
     kind = F.when(image, "image").when(head == "%PDF-", "pdf").otherwise("unknown")
     count = F.when(image, 1).when(head == "%PDF-", pages).otherwise(0)
-    problem = F.when(F.col("length") == 0, "empty").when(F.col("length") > MAX_BYTES, "too_large").when(kind == "unknown", "unsupported").when(count > MAX_PAGES, "too_many_pages")
+    problem = F.when(F.col("length") > MAX_BYTES, "too_large").when(kind == "unknown", "unsupported").when(count > MAX_PAGES, "too_many_pages")
     return files.select(F.sha2("content", 256).alias("content_hash"), name.alias("filename"), kind.alias("kind"), F.col("length").alias("byte_size"), count.alias("page_count"), problem.alias("problem"))
 
 
@@ -87,7 +88,7 @@ def mark_set_problems(sets: DataFrame) -> DataFrame:
 
 def read_role_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """paper, ord, role, text of line-role snapshots (role, tab, text a line). A paper is read whole, so its order is its own."""
-    whole = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.txt").text(folder).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("paper"), "value")
+    whole = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("paper"), "value")
     rows = whole.select("paper", F.posexplode(F.split("value", "\n")).alias("ord", "line")).where("line <> ''")
     return rows.select("paper", (F.col("ord") + 1).cast("long").alias("ord"), F.substring_index("line", "\t", 1).alias("role"), F.expr("substr(line, instr(line, '\t') + 1)").alias("text"))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 PAGE_KEY = r"^[0-9a-f]{16}/p[0-9]{4}\.png$"
 STALE_MINUTES = 20
@@ -17,7 +16,7 @@ class VersionedStore:
     writers need an external lock or table format, as for any plain Parquet folder.
     """
 
-    SCHEMA = T.StructType.fromDDL("key string, version long, updated_at timestamp, body string")
+    SCHEMA = "key string, version long, updated_at timestamp, body string"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
