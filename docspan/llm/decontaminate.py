@@ -7,8 +7,9 @@ searched whole: their shingles are streamed past the index, and a document that
 verified by counting the item's shingles that it holds, compared as text.
 
 Defined results: null, empty and blank texts match nothing; an item or document of fewer than k words
-is one shingle of all its words; repeated items and documents each give their own rows; a null
-item_id or doc_id is kept as a key; empty tables give no rows. Other columns are ignored.
+is one shingle of all its words; rows of one doc_id are one document, while repeated items each give
+their own rows; a null item_id or doc_id is kept as a key; empty tables give no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docspan.llm.text import cut
+
 SHINGLE = 5
 CONTAINMENT = 0.8
 BROADCAST_SHINGLES = 500_000  # index rows (about 100 bytes each) that may be broadcast; beyond it the join shuffles
@@ -60,9 +63,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, t: flo
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, t: float = CONTAINMENT) -> DataFrame:
     """The documents that hold no benchmark item."""
-    found = contaminated(docs, benchmark, k, t).select(F.col("doc_id").alias("found_id")).where("found_id is not null").distinct()
-    if (bounded := found.limit(BROADCAST_IDS + 1)).count() <= BROADCAST_IDS:
-        found = F.broadcast(bounded)
+    found = cut(contaminated(docs, benchmark, k, t).select(F.col("doc_id").alias("found_id")).where("found_id is not null").distinct())
+    if found.count() <= BROADCAST_IDS:
+        found = F.broadcast(found)
     return docs.join(found, F.col("doc_id") == F.col("found_id"), "left_anti")
 
 
