@@ -151,7 +151,7 @@ def ink_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("page", "island").agg(F.count("*").alias("n"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
 
 
-@query(sql("select id, page, row_number() over (partition by page order by round_even(y0 / (0.036 * 0.6), 0), x0, id) as place from boxes"))
+@query(sql("select id, page, row_number() over (partition by page order by round_even(y0 / (0.036::double * 0.6::double), 0), x0, id) as place from boxes"))
 def reading_order_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.reading_order(V.boxes(spark, sf_dir), "page", F.lit(0.036)).select("id", "page", F.col("place").cast("long").alias("place"))
 
