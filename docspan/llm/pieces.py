@@ -28,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.text import slices_of
+from docspan.llm.text import cut, slices_of
 
-CHUNK = 16_384  # characters of a chunk
+CHUNK = 65_536  # characters of a chunk
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _INSIDE = re.compile(f"(?<=[^{MARK}]){MARK}")
@@ -348,7 +348,7 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, chunk: int
 
     small = docs.where(~giant).mapInArrow(short, result)
     long = docs.where(giant).groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("h", F.xxhash64("text"))
-    parts = long.mapInArrow(split, "doc_id long, h long, copies long, i int, n int, behind string, body string, ahead string").repartition("doc_id", "h", "i")
+    parts = cut(long.mapInArrow(split, "doc_id long, h long, copies long, i int, n int, behind string, body string, ahead string").repartition("doc_id", "h", "i"))
     met = parts.select("doc_id", "h", "i", "behind", "body", "ahead").mapInArrow(matrices, "doc_id long, h long, i int, width int, paths array<boolean>")
     solved = met.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("i", "width", "paths"))).alias("chunks")).mapInArrow(resolve, "s_doc long, s_h long, states array<int>")
     traced = parts.join(solved, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("h") == F.col("s_h"))).select("doc_id", "h", "i", "behind", "body", "ahead", "states").mapInArrow(trace, "doc_id long, h long, i int, ids array<int>")
