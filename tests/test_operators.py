@@ -125,3 +125,80 @@ def test_marking_assembly(spark):
     points = spark.createDataFrame([("s", "q", 2.0, 9.0, False, ["l1"], ["l1"]), ("s", "q", 1.0, 1.0, True, [], ["l1"]), ("s", "r", 2.0, 2.0, True, ["bad"], ["l1"])], "sub_id string, qid string, criterion double, given double, satisfied boolean, cited array<string>, known array<string>")
     got = {r.qid: (r.awarded, r.judged) for r in marking.assemble_points(points).collect()}
     assert got == {"q": (2.0, True), "r": (0.0, False)}
+
+
+def test_question_extraction(spark):
+    from docspan.operators import papers
+
+    lines = [("SECTION A", 0.1), ("Each question carries 3 marks.", 0.1), ("1. Define a cell. [2]", 0.1), ("Read the source below and answer.", 0.1), ("The cell is small.", 0.1), ("2. Answer the following:", 0.1), ("(a) Use the source to explain.", 0.15), ("It is long.", 0.15), ("(b) Draw it.", 0.15), ("[4]", 0.9), ("1. again", 0.1)]
+    got = {q["qid"]: q for q in papers.extract_questions([{"text": t, "x0": x} for t, x in lines])}
+    assert list(got) == ["A/1", "A/2", "A/2/a", "A/2/b"]
+    assert got["A/1"]["marks"] == 2 and got["A/1"]["text"].endswith("again") and got["A/2"]["is_stem"]
+    assert got["A/2/a"]["text"] == "Use the source to explain. It is long." and got["A/2/a"]["marks"] == 3 and got["A/2/a"]["material"] == 1 and got["A/2/b"]["marks"] == 4
+    df = spark.createDataFrame([(1, i, t, x) for i, (t, x) in enumerate(lines)], "paper_id long, ord long, text string, x0 double")
+    assert papers.question_papers(df).count() == 4
+
+
+def test_segmentation(spark):
+    from docspan.operators import papers
+
+    rows = [("s", 0, 0, 0.1, 0.10, "1. the first answer"), ("s", 1, 0, 0.1, 0.13, "goes on here"), ("s", 2, 0, 0.1, 0.30, "another after a gap"), ("s", 3, 0, 0.1, 0.50, "bridged by a drawing cont."), ("s", 4, 1, 0.1, 0.05, "on the next page"), ("s", 5, 1, 0.1, 0.08, "2. the second")]
+    lines = spark.createDataFrame([(*r[:5], r[4] + 0.02, r[5]) for r in rows], "sub_id string, ord long, page long, x0 double, y0 double, y1 double, text string")
+    ink = spark.createDataFrame([("s", 0, 0.33, 0.49)], "sub_id string, page long, y0 double, y1 double")
+    got = papers.answer_blocks(lines, ink, [["1"], ["2"]]).orderBy("ord").collect()
+    assert [(r.block_id, r.n_lines, r.pages) for r in got] == [("blk:000", 2, [0]), ("blk:001", 3, [0, 1]), ("blk:002", 1, [1])]
+
+
+def test_raster(spark):
+    import numpy as np
+
+    from docspan.operators import raster
+
+    grey = np.full((120, 200), 250, np.uint8)
+    grey[20:30, 20:120] = 30
+    grey[60:64, 60:64] = 20
+    grey[100, 5] = 0
+    regions = raster.find_regions(grey)
+    assert [r["kind"] for r in regions][:2] == ["writing", "writing"] and regions[0]["pixel_count"] == 1000 and regions[0]["has_strike"]
+    assert abs(regions[0]["x0"] - 0.1) < 1e-9 and abs(regions[0]["y1"] - 0.25) < 1e-9
+    rng = np.random.default_rng(1)
+    mask = rng.random((40, 60)) < 0.4
+    labels = raster.components(mask)
+    seen = np.zeros_like(mask)
+    count = 0
+    for y, x in zip(*np.nonzero(mask)):
+        if not seen[y, x]:
+            count += 1
+            todo = [(y, x)]
+            while todo:
+                a, b = todo.pop()
+                if 0 <= a < 40 and 0 <= b < 60 and mask[a, b] and not seen[a, b]:
+                    seen[a, b] = True
+                    assert labels[a, b] == labels[y, x]
+                    todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    assert labels.max() == count
+    tilted = np.zeros((200, 300), bool)
+    for k in range(20, 180, 20):
+        for x in range(300):
+            tilted[int(k + x * np.tan(np.radians(2))) % 200, x] = True
+    assert abs(raster.skew_angle(tilted) - 2) <= 0.25
+    pages = spark.createDataFrame([("k", 0, 200, 120, bytearray(grey.tobytes()))], "page_key string, page int, width int, height int, pixels binary")
+    assert raster.ink_regions(pages).count() == len(regions)
+
+
+def test_review_scalars(spark):
+    from pyspark.sql import functions as F
+
+    from docspan.functions import review as R
+
+    row = spark.range(1).select(
+        R.requested_count(F.lit("Give any two reasons")).alias("a"), R.requested_count(F.lit("State 3 marks")).alias("b"), R.requested_count(F.lit("Find two grams")).alias("c"), R.ordinal(F.lit(3)).alias("d"), R.ordinal(F.lit(11)).alias("e"),
+        R.as_statement(F.lit("Does the answer give the value 15 m/s?")).alias("f"), R.as_statement(F.lit("Units present?")).alias("g"), R.wait_seconds(F.lit("try again in 1m2.5s"), F.lit(1)).alias("h"), R.wait_seconds(F.lit("try again in 9m2s"), F.lit(1)).alias("i"),
+        R.wait_seconds(F.lit("error 429"), F.lit(3)).alias("j"), R.parse_mark(F.lit(" 2.5 "), F.lit(5.0)).alias("k"), R.parse_mark(F.lit("7"), F.lit(5.0)).alias("l"), R.parse_mark(F.lit(""), F.lit(5.0)).alias("m"), R.score_label(F.lit(3.5), F.lit(5.0)).alias("n"),
+        R.preview(F.lit("a  b\n" + "x" * 80)).alias("o"), R.caption(F.lit("reading"), F.lit(2), F.lit(5)).alias("p"), R.expected_label(F.lit("Q 4."), F.lit(4), F.lit(5)).alias("q"), R.multiset_recall(F.lit("a a b"), F.lit("A, c b")).alias("r"),
+        R.contrast_ratio(F.lit("#000000"), F.lit("#ffffff")).alias("s"), R.score_tone(F.lit(0.0), F.lit(4.0), F.lit(True)).alias("t"),
+    ).first()
+    assert (row.a, row.b, row.c, row.d, row.e) == (2, None, None, "third", "11th")
+    assert (row.f, row.g, row.h, row.i, row.j) == ("The answer gives the value 15 m/s", "Units present", 62.5, None, 8.0)
+    assert tuple(row.k) == (2.5, True) and tuple(row.l) == (None, False) and tuple(row.m) == (None, True) and row.n == "3.5 / 5"
+    assert row.o.endswith("…") and len(row.o) == 61 and row.p == "reading · page 2 of 5" and row.q == "Q 5." and abs(row.r - 2 / 3) < 1e-9 and abs(row.s - 21) < 1e-6 and row.t == "zero"
