@@ -119,18 +119,18 @@ def pages_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _vote(need: str) -> str:
     return V.with_(V.VOTES, body=f"""
 select check_id, case when count(*) filter (where met) >= {need} then true when count(*) filter (where not met) >= {need} then false end as verdict,
-  count(*) filter (where met) as yes, count(*) filter (where not met) as no, coalesce(list_sort(list(distinct sample) filter (where met)), []) as cited from votes group by 1""")
+  count(*) filter (where met) as yes, count(*) filter (where not met) as no, array_to_string(coalesce(list_sort(list(distinct sample) filter (where met)), []), ',') as cited from votes group by 1""")
 
 
 @query(_vote("(count(*) // 2 + 1)"))
 def vote_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Majority vote of yes, no and deferral; citations of the yes-voters."""
-    return marking.vote(V.votes(spark, sf_dir), "check_id", "met", "sample", unanimous=False)
+    return marking.vote(V.votes(spark, sf_dir), "check_id", "met", "sample", unanimous=False).withColumn("cited", F.array_join("cited", ","))
 
 
 @query(_vote("count(*)"))
 def vote_unanimous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marking.vote(V.votes(spark, sf_dir), "check_id", "met", "sample", unanimous=True)
+    return marking.vote(V.votes(spark, sf_dir), "check_id", "met", "sample", unanimous=True).withColumn("cited", F.array_join("cited", ","))
 
 
 @query(V.with_(V.VOTES, body="""
@@ -185,14 +185,14 @@ def teacher_override_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with m as (select l_orderkey, list_sort(list(distinct l_partkey)) as blocks from lineitem group by 1)
-select l_orderkey, case when l_orderkey % 2 = 0 then list_sort(list_distinct(list_concat(blocks, [1]))) else list_sort(list_filter(blocks, lambda x: x <> 1)) end as blocks,
+select l_orderkey, array_to_string(case when l_orderkey % 2 = 0 then list_sort(list_distinct(list_concat(blocks, [1]))) else list_sort(list_filter(blocks, lambda x: x <> 1)) end, ',') as blocks,
   l_orderkey % 2 = 1 and len(list_filter(blocks, lambda x: x <> 1)) = 0 as now_uncertain from m""")
 def reassign_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block 1 moves to the even questions; a question left without blocks becomes uncertain."""
     m = T(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("blocks"))
     one, even = F.array(F.lit(1).cast("long")), F.col("l_orderkey") % 2 == 0
     left = F.array_except("blocks", one)
-    return m.select("l_orderkey", F.when(even, F.sort_array(F.array_union("blocks", one))).otherwise(left).alias("blocks"), (~even & (F.size(left) == 0)).alias("now_uncertain"))
+    return m.select("l_orderkey", F.array_join(F.when(even, F.sort_array(F.array_union("blocks", one))).otherwise(left), ",").alias("blocks"), (~even & (F.size(left) == 0)).alias("now_uncertain"))
 
 
 @query("select l.doc_id, coalesce(b.status, 'unanswered') as status, b.item_id from (select doc_id from labels) l left join (select item_id, item_id as doc_id, 'answered' as status from benchmark) b using (doc_id)")

@@ -13,9 +13,9 @@ CATALOGUE = Catalogue()
 query = CATALOGUE.query
 
 
-@query("select cast(ts as date) as day, event_type, count(*) as n, max(event_id) as last_id from events group by 1, 2")
+@query("select cast(cast(ts as date) as varchar) as day, event_type, count(*) as n, max(event_id) as last_id from events group by 1, 2")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return progress.daily_counts(progress.read_events(spark, sf_dir))
+    return progress.daily_counts(progress.read_events(spark, sf_dir)).withColumn("day", F.col("day").cast("string"))
 
 
 @query("""with g as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as before from events),
