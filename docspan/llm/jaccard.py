@@ -3,9 +3,11 @@
 Every distinct shingle set is one member. Sizes fall into bands so that two linked sets are in the
 same or in neighbouring bands. For a pair of bands the hash space is cut into ``m`` ranges; linked
 sets differ in at most ``k`` shingles, so at least ``m - k`` ranges are equal, and each set needs to
-show only its ``m - e`` fullest ranges (``e = m - k - 1``) for a shared one to be among them. Sets
-that show an equal range fall into one coarse group. Inside a coarse group, blocks of members sorted
-by size form tiles; in a tile, hashed bitmaps bound each overlap from above (a bit set on one side
+show only its ``m - e`` best ranges (``e = m - k - 1``) for a shared one to be among them: ranges are
+ordered by their content alone, so the best of the equal ranges is shown by both. Good ranges hold many
+shingles that are not common in the corpus; a table of fixed size marks common ones, and whatever it
+marks no link is lost. Sets that show an equal range fall into one coarse group.
+Inside a coarse group, pairs of blocks form tiles, whose members are sorted by size; hashed bitmaps bound each overlap from above (a bit set on one side
 only is a shingle the other side lacks) and the pairs left are verified by intersecting the sorted
 arrays. A tile returns a spanning forest of its links, never all pairs.
 
@@ -28,6 +30,10 @@ from pyspark.sql import functions as F
 from docspan.llm.text import MIX, WordHashes, connected_components, cut, mix64, runs_in_partition, shingle_hashes, shuffle_width, slices_of, word_hashes, words_of
 
 BLOCK = 128  # members of a block; a tile holds two blocks at most
+COMMON = 1 << 20  # shingles that count as common, at most; the most frequent ones
+COMMON_TEXTS = 8  # different texts of its tasks that hold a common shingle, at least
+COMMON_BITS = 24  # the table of common shingles has 2 ** 24 bits
+COUNTED = 4_000_000  # shingles that a task counts together
 FLUSH_BYTES = 8 << 20  # packed signatures are sent on when they reach this size
 BROADCAST_MEMBERS = 500_000  # ids of 8 bytes that may be broadcast; beyond it the join shuffles
 
@@ -56,9 +62,22 @@ def set_id(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
+def is_common(shingles: np.ndarray, table: np.ndarray) -> np.ndarray:
+    at = shingles & np.uint64((1 << COMMON_BITS) - 1)
+    return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+
+
+def common_table(hashes: np.ndarray) -> np.ndarray:
+    at = (hashes & np.uint64((1 << COMMON_BITS) - 1)).astype(np.int64)
+    flags = np.zeros(1 << COMMON_BITS, np.uint8)
+    flags[at] = 1
+    return np.packbits(flags, bitorder="little")
+
+
+def signatures(shingles: np.ndarray, bands: Bands, table: np.ndarray) -> np.ndarray:
     """Hashes of the ranges that a set shows, for its own band and the one below."""
     n = len(shingles)
+    rare = np.concatenate([[0], np.cumsum(1 - is_common(shingles, table).astype(np.int64))])
     own = bands.of(n)
     out = []
     for band in (own, own - 1):
@@ -71,7 +90,9 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         starts = np.flatnonzero(counts)
         sums = np.zeros(m, np.uint64)
         sums[starts] = np.add.reduceat(mix64(shingles * MIX), (np.cumsum(counts) - counts)[starts])
-        shown = np.sort(np.argsort(counts, kind="stable")[e:])
+        ends = np.cumsum(counts)
+        good = rare[ends] - rare[ends - counts]
+        shown = np.sort(np.lexsort((np.arange(m), counts, good))[e:])
         out.append(mix64(sums[shown] + (shown.astype(np.uint64) << np.uint64(20)) * MIX + np.uint64(band + 1)))
     return np.concatenate(out)
 
@@ -90,22 +111,65 @@ def _folded(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def member_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, sid (hash of the whole set; null for an empty one), n_shingles."""
+    """doc_id, sid (hash of the whole set; null for an empty one), n_shingles; and rows of bucket >= 0 with packed counts
+    of the shingles that several different texts of a task hold."""
+    width = max(shuffle_width(docs.sparkSession), 1)
+
+    def counted(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        hashes, n = np.unique(np.concatenate(sets), return_counts=True)
+        hashes, n = hashes[n > 1], n[n > 1]
+        bucket = (hashes % np.uint64(width)).astype(np.int64)
+        for b in np.unique(bucket).tolist():
+            own = bucket == b
+            yield _member([None], [None], [None], [b], [hashes[own].tobytes() + n[own].astype(np.uint64).tobytes()])
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo, seen, held, size = WordHashes(), set(), [], 0
         for batch in (part for whole in batches for part in slices_of(whole)):
             ids, sizes = [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_hashes(word_hashes(words_of(text), memo), k)
                 ids.append(set_id(s) if len(s) else None)
                 sizes.append(len(s))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=["doc_id", "sid", "n_shingles"])
+                if len(s) and ids[-1] not in seen:
+                    seen.add(ids[-1])
+                    held.append(s)
+                    size += len(s)
+                if size > COUNTED:
+                    yield from counted(held)
+                    seen, held, size = set(), [], 0
+            n = len(ids)
+            yield _member(batch.column("doc_id"), ids, sizes, [-1] * n, [None] * n)
+        if held:
+            yield from counted(held)
+
+    return docs.select("doc_id", "text").mapInArrow(per_batch, "doc_id long, sid long, n_shingles long, bucket int, counts binary")
+
+
+def _member(doc_id, sid: list, n: list, bucket: list, counts: list) -> pa.RecordBatch:
+    columns = [doc_id if isinstance(doc_id, pa.Array) else pa.array(doc_id, pa.int64()), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(bucket, pa.int32()), pa.array(counts, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "sid", "n_shingles", "bucket", "counts"])
+
+
+def common_shingles(counts: DataFrame) -> np.ndarray:
+    """Table of the most frequent shingles, summed by bucket across tasks. counts: bucket, counts."""
+    keep = max(1, COMMON // max(shuffle_width(counts.sparkSession), 1))
+
+    def add(rows: pa.Table) -> pa.RecordBatch | None:
+        parts = [np.frombuffer(c, np.uint64).reshape(2, -1) for c in rows.column("counts").to_pylist()]
+        hashes, n = np.concatenate(parts, axis=1)
+        order = np.argsort(hashes, kind="stable")
+        at = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+        total, hashes = np.add.reduceat(n[order], at), hashes[order][at]
+        chosen = np.flatnonzero(total >= COMMON_TEXTS)
+        chosen = chosen[np.lexsort((hashes[chosen], -total[chosen].astype(np.int64)))[:keep]]
+        return pa.RecordBatch.from_arrays([pa.array([hashes[chosen].tobytes()], pa.binary())], names=["hashes"]) if len(chosen) else None
 
-    return docs.select("doc_id", "text").mapInArrow(per_batch, "doc_id long, sid long, n_shingles long")
+    found = [np.frombuffer(r.hashes, np.uint64) for r in runs_in_partition(counts, ["bucket"], add, "hashes binary").collect()]
+    return common_table(np.concatenate(found) if found else np.zeros(0, np.uint64))
 
 
-def coarse_links(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+def coarse_links(docs: DataFrame, k: int, threshold: Fraction, table: np.ndarray) -> DataFrame:
     """(a, b) set ids: each set that shows a range, with the smallest set that shows the same one."""
     spark = docs.sparkSession
     width = max(shuffle_width(spark), 1)
@@ -133,7 +197,7 @@ def coarse_links(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(sid)
-                sigs.append(signatures(s, bands))
+                sigs.append(signatures(s, bands, table))
                 ids.append(np.full(len(sigs[-1]), sid, np.int64))
                 held += 16 * len(sigs[-1])
                 if held > FLUSH_BYTES:
@@ -244,8 +308,10 @@ def exact_links(docs: DataFrame, members: DataFrame, groups: DataFrame, k: int,
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), set_links (forest links of its set)."""
     docs = docs.select("doc_id", "text")
-    members = cut(member_sets(docs, k))
-    groups = connected_components(coarse_links(docs, k, threshold))
+    passed = cut(member_sets(docs, k))
+    members = passed.where("bucket = -1").select("doc_id", "sid", "n_shingles")
+    table = common_shingles(passed.where("bucket >= 0").select("bucket", "counts"))
+    groups = connected_components(coarse_links(docs, k, threshold, table))
     links = cut(exact_links(docs, members, groups, k, threshold))
     classes = connected_components(links)
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("set_links"))

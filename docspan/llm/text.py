@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
-_MEMO_LIMIT = 1_000_000
+_MEMO_LIMIT = 500_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -28,7 +28,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, memoised; forgets everything once it holds a million words."""
+    """word -> 64-bit hash, memoised; forgets everything once it holds _MEMO_LIMIT words."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _MEMO_LIMIT:
