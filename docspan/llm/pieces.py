@@ -22,6 +22,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -60,29 +61,53 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class _Words(dict):
+    """word without spaces -> ids of the word behind a mark."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        e = self.encoder
+        if "\n" in word and e.apart:
+            first, *rest = word.split("\n")  # nothing merges with a line feed, so paths meet around it too
+            return self[first] + tuple(x for part in rest for x in (*e.apart, *(e.segment(part) if part else ())))
+        if len(self) > 300_000:
+            self.clear()
+        got = self[word] = tuple(e.ids(e.walk(MARK + word)))
+        return got
+
+
 class Encoder:
     """Lattice encoder of one vocabulary; remembers which neighbours agree and the encodings of words."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: dict[int, int]):
         self.pieces, self.byte_ids = pieces, byte_ids
         self.longest = max(map(len, pieces))
-        self.text_of = {i: p.replace(MARK, " ") for p, (i, _) in pieces.items()}
-        self.byte_of = {i: b for b, i in byte_ids.items()}
+        self.bytes_of = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
+        self.score_of = {p: score for p, (_, score) in pieces.items()}
+        self.reach: dict[str, int] = {}  # length of the longest piece with the same first three characters
+        for p in pieces:
+            if len(p) > 2 and len(p) > self.reach.get(p[:3], 0):
+                self.reach[p[:3]] = len(p)
         self.agreed: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.words = _Words(self)
+        self.apart = () if any("\n" in p for p in pieces) else tuple(self.ids(["\n"]))  # a line feed that no piece holds
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short string by merging: best score first, leftmost on ties."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = NO, -1
-            for i in range(len(parts) - 1):
-                got = self.pieces.get(parts[i] + parts[i + 1])
-                if got and got[1] > best:
-                    best, at = got[1], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts, score_of = list(text), self.score_of
+        scores = [score_of.get(a + b, NO) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > NO:
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = score_of.get(parts[i - 1] + parts[i], NO)
+            if i < len(scores):
+                scores[i] = score_of.get(parts[i] + parts[i + 1], NO)
         return parts
 
     def agree(self, a: str, b: str) -> bool:
@@ -90,7 +115,7 @@ class Encoder:
         key = (a, b)
         got = self.agreed.get(key)
         if got is None:
-            if len(self.agreed) > 2_000_000:
+            if len(self.agreed) > 400_000:
                 self.agreed.clear()
             if a and a in self.pieces and b in self.pieces:
                 got = self.merged(a + b) == [a, b]
@@ -124,10 +149,10 @@ class Encoder:
 
         The path to a place is unique, so a place from which the walk had to turn back is dead for good.
         """
-        n, longest, pieces, agreed = len(text), self.longest, self.pieces, self.agreed
+        n, reach, pieces, agreed = len(text), self.reach, self.pieces, self.agreed
         path: list[str] = []
         dead: set[int] = set()
-        at, last, size = 0, "", min(longest, n)
+        at, last, size = 0, "", min(reach.get(text[:3], 2), n)
         while at < n:
             while size:
                 b = text[at : at + size]
@@ -139,7 +164,7 @@ class Encoder:
             if size:
                 path.append(b)
                 at, last = at + size, b
-                size = min(longest, n - at)
+                size = min(reach.get(text[at : at + 3], 2), n - at)
             else:
                 dead.add(at)
                 b = path.pop()
@@ -159,7 +184,7 @@ class Encoder:
         """Ids of a stretch that starts and ends where all paths meet."""
         got = self.memo.get(text)
         if got is None:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 300_000:
                 self.memo.clear()
             got = self.memo[text] = tuple(self.ids(self.walk(text)))
         return got
@@ -171,12 +196,16 @@ class Encoder:
             out += self.segment(m.group())
         return out
 
-    def encode(self, marked: str) -> list[int]:
-        return self.meeting(marked) if marked else []
+    def encode(self, text: str) -> list[int]:
+        """Ids of a whole text."""
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
+            return self.meeting(MARK + text.replace(" ", MARK))
+        return list(chain.from_iterable(map(self.words.__getitem__, text.split(" "))))
 
     def decode(self, ids: list[int]) -> str:
-        out: list[bytes] = [self.text_of[i].encode("utf-8", "surrogatepass") if i in self.text_of else bytes([self.byte_of[i]]) for i in ids]
-        text = b"".join(out).decode("utf-8", "surrogatepass")
+        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:] if text[:1] == " " else text
 
     def states(self, behind: str, ahead: str) -> list[tuple[int, int]]:
@@ -265,7 +294,7 @@ def _final(encoder: Encoder, matrix: np.ndarray, body: str) -> np.ndarray:
 
 
 def encode_documents(docs: DataFrame, model_file: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, ids, n_pieces, n_chunks, ids_sha256 (of the ids, comma-joined), round_trip (decoding gives the text back)."""
+    """doc_id, ids, n_pieces, n_chunks, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip (decoding gives the text back)."""
     pieces, byte_ids = load_vocabulary(model_file or default_model())
     longest = max(map(len, pieces))
     if chunk <= longest:
@@ -275,7 +304,8 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, chunk: int
     result = "doc_id long, ids array<int>, n_pieces long, n_chunks int, ids_sha256 string, round_trip boolean"
 
     def row(doc_id: int | None, ids: list[int], n_chunks: int, text: str, encoder: Encoder) -> tuple:
-        return doc_id, np.array(ids, np.int32), len(ids), n_chunks, hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), encoder.decode(ids) == text.replace(MARK, " ")
+        packed = np.array(ids, "<i4")
+        return doc_id, packed, len(ids), n_chunks, hashlib.sha256(packed.tobytes()).hexdigest(), encoder.decode(ids) == text.replace(MARK, " ")
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows))
@@ -292,7 +322,7 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, chunk: int
             rows, held = [], 0
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 text = text or ""
-                rows.append(row(doc_id, encoder.encode(MARK + text.replace(" ", MARK)) if text else [], 1, text, encoder))
+                rows.append(row(doc_id, encoder.encode(text), 1, text, encoder))
                 held += len(rows[-1][1])
                 if held > 1_000_000:
                     yield pack(rows)
