@@ -7,9 +7,11 @@ show only its ``m - e`` best ranges (``e = m - k - 1``) for a shared one to be a
 ordered by their content alone, so the best of the equal ranges is shown by both. Good ranges hold many
 shingles that are not common in the corpus; a table of fixed size marks common ones, and whatever it
 marks no link is lost. Sets that show an equal range fall into one coarse group.
-Inside a coarse group, pairs of blocks form tiles, whose members are sorted by size; hashed bitmaps bound each overlap from above (a bit set on one side
-only is a shingle the other side lacks) and the pairs left are verified by intersecting the sorted
-arrays. A tile returns a spanning forest of its links, never all pairs.
+
+Inside a coarse group, pairs of blocks form tiles, whose members are sorted by size; hashed bitmaps bound
+each overlap from above (a bit set on one side only is a shingle the other side lacks) and the pairs left
+are verified by intersecting the sorted arrays. A tile returns a spanning forest of its links, never all
+pairs.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; equal sets
 (repeated rows too) form one member and are linked with each other; an empty table gives an empty
