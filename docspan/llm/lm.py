@@ -27,26 +27,28 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.text import MIX, WordHashes, cut, runs_in_partition, shuffle_width, slices_of, words_of
+from docspan.llm.text import MIX, cut, mix64, runs_in_partition, shuffle_width, slices_of, words_of
 
 BLOCK = 16  # scored positions of a window; it spans two blocks
-WIDTH = 16  # of embeddings and heads
+WIDTH = 8  # of embeddings and heads
 SLOTS = 2048  # embedding rows; rarer ids share the last quarter
 BIGRAMS, TRIGRAMS = 1 << 19, 1 << 20  # n-grams that the tables keep
 CONTEXTS = 1 << 20  # hashed contexts of two ids
-PARTS_OF_MIXTURE = 11  # CLUSTERS, the unigram, bigrams and trigrams
-CLUSTERS = 8
+PARTS_OF_MIXTURE = 7  # CLUSTERS, the unigram, bigrams and trigrams
+CLUSTERS = 4
 SAMPLE = 1500  # documents that clusters and first weights are fitted on
-SLICE = 256  # ids that one document contributes to training, at most
-SLICE_CHARS = 900
-BATCH_BYTES = 8 << 20
+SLICE = 64  # ids that one document contributes to training, at most
+FLUSH = 20_000  # ids that are scored together
+BATCH_BYTES = 4 << 20
 PARTS = 64  # weights are averaged in so many parts
 
 
@@ -69,11 +71,12 @@ class Tokens:
 
         self.encoding = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.end = len(ranks)
+        self.last = np.array([self.end], np.int32)
 
-    def __call__(self, text: str | None) -> list[int]:
-        ids = self.encoding.encode_ordinary(text) if text else []
-        ids.append(self.end)
-        return ids
+    def __call__(self, text: str | None) -> np.ndarray:
+        if not text:
+            return self.last
+        return np.concatenate([self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32), self.last])
 
 
 def context_of(before: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -128,6 +131,11 @@ class Grams:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, contexts: int, k: float):
         self.made_of = keys, counts, contexts, k
+        self.table: Lookup | None = None
+
+    def build(self) -> None:
+        """Make the table, where it is first used."""
+        keys, counts, contexts, k = self.made_of
         self.table = Lookup(keys, 4 << max(4, int(len(keys) - 1).bit_length()))
         at = self.table.find(keys)
         keys, counts, at = keys[at >= 0], counts[at >= 0], at[at >= 0]
@@ -141,6 +149,8 @@ class Grams:
         return _grams, (_packed(np.diff(keys, prepend=0)), _packed(counts), contexts, k)
 
     def probabilities(self, context: np.ndarray, targets: np.ndarray, back: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            self.build()
         return self.table.get(context << 16 | targets) + self.back[context] * back
 
 
@@ -177,35 +187,27 @@ class Tables:
         return out
 
 
-def blocks(docs: list[list[int]], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets (-1: padding), scored blocks and the first scored position of each document.
+def blocks(docs: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets (-1: padding) and the first scored position of each document.
 
-    Each document starts with a block of padding that its first window attends to.
+    Each document starts with a block of padding, so that its first window sees no other document.
     """
     sizes = np.array([len(d) for d in docs])
     spans = (sizes + BLOCK - 1) // BLOCK * BLOCK + BLOCK
     starts = np.concatenate([[0], np.cumsum(spans)[:-1]])
     inputs, targets = np.full(spans.sum(), end, np.int32), np.full(spans.sum(), -1, np.int32)
-    flat = np.concatenate([np.asarray(d, np.int32) for d in docs])
+    flat = np.concatenate(docs).astype(np.int32)
     at = np.repeat(starts + BLOCK - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(flat))
     targets[at] = flat
     inside = np.ones(len(flat), bool)
     inside[np.cumsum(sizes) - 1] = False
     inputs[at[inside] + 1] = flat[inside]
-    scored = np.ones(spans.sum() // BLOCK, bool)
-    scored[starts // BLOCK] = False
-    return inputs, targets, np.flatnonzero(scored), starts + BLOCK
+    return inputs, targets, starts + BLOCK
 
 
 _MASK = np.where(np.arange(2 * BLOCK)[None] <= np.arange(BLOCK)[:, None] + BLOCK, 0, -1e9).astype(np.float32)
 
 
-def _scored(inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The id before the last, the last one and the target at each scored position."""
-    before = np.concatenate([inputs[:1], inputs[:-1]])
-    return tuple(x.reshape(-1, BLOCK)[scored].ravel() for x in (before, inputs, targets))
-
-
 class Attention:
     """One causal head over two blocks, a residual layer and the gate."""
 
@@ -225,42 +227,45 @@ class Attention:
             self.w[name] = self.flat[at : at + size].reshape(shape)
             at += size
 
-    def _hidden(self, slots: np.ndarray, scored: np.ndarray) -> tuple:
+    def _hidden(self, slots: np.ndarray) -> tuple:
+        """Activations of every block but the first; x has all blocks."""
         w = self.w
         x = w["e"][slots]
         qkv = x @ np.hstack([w["q"] / np.float32(np.sqrt(WIDTH)), w["k"], w["v"]])
         rows, step = qkv.strides
-        windows = lambda c: np.lib.stride_tricks.as_strided(qkv[:, c * WIDTH :], (len(x) // BLOCK - 1, 2 * BLOCK, WIDTH), (rows * BLOCK, rows, step))[scored - 1]
-        q = qkv.reshape(-1, BLOCK, 3 * WIDTH)[scored, :, :WIDTH]
+        windows = lambda c: np.lib.stride_tricks.as_strided(qkv[:, c * WIDTH :], (len(x) // BLOCK - 1, 2 * BLOCK, WIDTH), (rows * BLOCK, rows, step))
+        q = qkv.reshape(-1, BLOCK, 3 * WIDTH)[1:, :, :WIDTH]
         k, v = windows(1), windows(2)
         a = q @ k.transpose(0, 2, 1)
         a += w["p"] + _MASK
-        np.exp(np.clip(a, -80, 30, out=a), out=a)
+        np.minimum(a, 30, out=a)
+        np.exp(a, out=a)
         a /= a.sum(-1, keepdims=True)
         o = (a @ v).reshape(-1, WIDTH)
-        xs = x.reshape(-1, BLOCK, WIDTH)[scored].reshape(-1, WIDTH)
+        xs = x[BLOCK:]
         y = np.tanh(xs @ w["x"] + o @ w["o"] + w["b"])
         return x, xs, q, k, v, a, o, y
 
     def gates(self, y: np.ndarray) -> np.ndarray:
         g = y @ self.w["g"] + self.w["h"]
-        np.exp(g - g.max(1, keepdims=True), out=g)
-        return g / g.sum(1, keepdims=True)
+        np.exp(np.clip(g, -30, 30, out=g), out=g)
+        return g / (g @ np.ones((PARTS_OF_MIXTURE, 1), np.float32))
 
-    def log10(self, tables: Tables, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> np.ndarray:
+    def log10(self, tables: Tables, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """log10 probability of each position (0 at padding)."""
-        *_, y = self._hidden(tables.slot[inputs], scored)
-        b, i, t = _scored(inputs, targets, scored)
-        p = np.einsum("ij,ij->i", self.gates(y), tables.probabilities(b, i, np.maximum(t, 0)))
-        out = np.zeros(len(targets) // BLOCK * BLOCK).reshape(-1, BLOCK)
-        out[scored] = np.where(t >= 0, np.log10(p.astype(np.float64)), 0).reshape(-1, BLOCK)
-        return out.ravel()
-
-    def gradient(self, tables: Tables, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[float, np.ndarray]:
+        *_, y = self._hidden(tables.slot[inputs])
+        at = np.flatnonzero(targets[BLOCK:] >= 0)
+        before, i, t = inputs[at + BLOCK - 1], inputs[at + BLOCK], targets[at + BLOCK]
+        p = np.einsum("ij,ij->i", self.gates(y[at]), tables.probabilities(before, i, t))
+        out = np.zeros(len(targets))
+        out[at + BLOCK] = np.log10(p.astype(np.float64))
+        return out
+
+    def gradient(self, tables: Tables, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean negative log probability and its gradient."""
         w, slots = self.w, tables.slot[inputs]
-        x, xs, q, k, v, a, o, y = self._hidden(slots, scored)
-        before, i, t = _scored(inputs, targets, scored)
+        x, xs, q, k, v, a, o, y = self._hidden(slots)
+        before, i, t = inputs[BLOCK - 1 : -1], inputs[BLOCK:], targets[BLOCK:]
         gates, p = self.gates(y), tables.probabilities(before, i, np.maximum(t, 0))
         mixed = gates * p
         total = mixed.sum(1, keepdims=True)
@@ -277,14 +282,15 @@ class Attention:
         dq = (ds @ k).reshape(-1, WIDTH) / np.float32(np.sqrt(WIDTH))
         dk = ds.transpose(0, 2, 1) @ q
         grads["q"] = xs.T @ dq
-        dkx, dvx = np.zeros_like(x).reshape(-1, BLOCK, WIDTH), np.zeros_like(x).reshape(-1, BLOCK, WIDTH)
-        for whole, part in ((dkx, dk), (dvx, dv)):
-            whole[scored] += part[:, BLOCK:]
-            whole[scored - 1] += part[:, :BLOCK]
-        dkx, dvx = dkx.reshape(-1, WIDTH), dvx.reshape(-1, WIDTH)
-        grads |= {"k": x.T @ dkx, "v": x.T @ dvx}
-        dx = dkx @ w["k"].T + dvx @ w["v"].T
-        dx.reshape(-1, BLOCK, WIDTH)[scored] += (dy @ w["x"].T + dq @ w["q"].T).reshape(-1, BLOCK, WIDTH)
+        whole = []
+        for part in (dk, dv):
+            of = np.zeros_like(x).reshape(-1, BLOCK, WIDTH)
+            of[1:] += part[:, BLOCK:]
+            of[:-1] += part[:, :BLOCK]
+            whole.append(of.reshape(-1, WIDTH))
+        grads |= {"k": x.T @ whole[0], "v": x.T @ whole[1]}
+        dx = whole[0] @ w["k"].T + whole[1] @ w["v"].T
+        dx[BLOCK:] += dy @ w["x"].T + dq @ w["q"].T
         de = np.zeros((SLOTS, WIDTH), np.float32)
         np.add.at(de, slots, dx)
         grads["e"] = de
@@ -295,8 +301,8 @@ class Attention:
         m, v, step = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
         for _ in range(epochs):
             for lo in range(0, len(docs), size):
-                inputs, targets, scored, _ = blocks(docs[lo : lo + size], end)
-                _, g = self.gradient(tables, inputs, targets, scored)
+                inputs, targets, _ = blocks(docs[lo : lo + size], end)
+                _, g = self.gradient(tables, inputs, targets)
                 step += 1
                 m += 0.1 * (g - m)
                 v += 0.02 * (g * g - v)
@@ -341,66 +347,65 @@ class Model:
     attention: Attention
 
 
-def fit(docs: DataFrame, ranks: dict[bytes, int], pattern: str, folds: int = 10) -> Model:
-    """Learn from the rows outside fold 0."""
-    vocabulary = len(ranks) + 1
-    train = docs.select("doc_id", "text").where(~_held_out(folds))
+def documents(batches: Iterator[pa.RecordBatch], training: bool) -> Iterator[tuple[np.ndarray, int]]:
+    """(ids, seed) of the documents in the token rows, in order; of the training ones only, if asked."""
+    for rows in (part for whole in batches for part in slices_of(whole, 1)):
+        for batch, words, counts in zip(*(rows.column(c).to_pylist() for c in ("batch", "words", "counts"))):
+            held, sizes = _unpacked(counts), _unpacked(counts, 16 + int.from_bytes(counts[8:16], "little"))
+            ids = np.frombuffer(pa.decompress(words, decompressed_size=int(sizes.sum()) * 4, codec="zstd", asbytes=True), np.int32)
+            seeds = mix64(np.arange(len(sizes), dtype=np.uint64) + np.uint64(batch * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(2)
+            for i, part in enumerate(np.split(ids, np.cumsum(sizes)[:-1])):
+                if not (training and held[i]):
+                    yield part, int(seeds[i])
+
+
+def _slice(ids: np.ndarray, seed: int) -> np.ndarray:
+    at = seed % max(1, len(ids) - SLICE + 1)
+    return ids[at : at + SLICE]
 
-    def slice_of(tokens: Tokens, text: str | None, seed: int) -> list[int]:
-        text = text or ""
-        at = seed % max(1, len(text) - SLICE_CHARS + 1)
-        ids = tokens(text[at : at + SLICE_CHARS])
-        return ids[:SLICE] if at + SLICE_CHARS >= len(text) else ids[:-1][:SLICE]
 
-    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(ranks, pattern)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([slice_of(tokens, t, s) for t, s in zip(batch.column("text").to_pylist(), batch.column("seed").to_pylist())], pa.list_(pa.int32()))], names=["ids"])
+def fit(tokens: DataFrame, vocabulary: int) -> Model:
+    """Learn from the training documents of the token rows."""
 
-    seeded = train.withColumn("seed", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
-    chosen = seeded.orderBy("seed", "doc_id").limit(SAMPLE).select("text", "seed")
-    sample = [list(r.ids) for r in chosen.mapInArrow(slices, "ids array<int>").collect()]
-    sample = [s for s in sample if s]
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = nsmallest(SAMPLE, ((seed, _slice(ids, seed).tolist()) for ids, seed in documents(batches, True)))
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in best], pa.int64()), pa.array([x for _, x in best], pa.list_(pa.int32()))], names=["seed", "ids"])
+
+    sample = [np.array(r.ids, np.int32) for r in tokens.mapInArrow(choose, "seed long, ids array<int>").orderBy("seed").limit(SAMPLE).collect()]
     log_clusters = cluster_documents(sample, vocabulary)
     common = np.argsort(-np.bincount(np.concatenate([np.asarray(s) for s in sample]) if sample else np.zeros(0, np.int64), minlength=vocabulary), kind="stable")
-    width = shuffle_width(docs.sparkSession)
+    width, end = shuffle_width(tokens.sparkSession), vocabulary - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(ranks, pattern)
         log = log_clusters.T.copy()
-        uni, grams, held, size = np.zeros((CLUSTERS, vocabulary), np.int64), {"bi": [], "tri": []}, [], 0
+        uni, held, size = np.zeros((CLUSTERS, vocabulary), np.int64), [], 0
 
-        def gather() -> None:
-            last = np.concatenate([x for ids in held for x in (np.array([tokens.end]), ids[:-1])])
-            before = np.concatenate([x for ids in held for x in (np.array([tokens.end] * 2)[: len(ids)], ids[:-2])])
+        def gather() -> Iterator[pa.RecordBatch]:
+            last = np.concatenate([x for ids in held for x in (np.array([end]), ids[:-1])])
+            before = np.concatenate([x for ids in held for x in (np.array([end] * 2)[: len(ids)], ids[:-2])])
             ids = np.concatenate(held)
-            grams["bi"].append(np.unique(last << 16 | ids, return_counts=True))
-            grams["tri"].append(np.unique(context_of(before, last) << 16 | ids, return_counts=True))
-
-        for batch in batches:
-            for text in _texts(batch):
-                ids = np.array(tokens(text), np.int64)
-                np.add.at(uni[int(log[ids].sum(0).argmax())], ids, 1)
-                held.append(ids)
-                size += len(ids)
-                if size > 2_000_000:
-                    gather()
-                    held, size = [], 0
+            for name, context in (("bi", last), ("tri", context_of(before, last))):
+                keys, n = np.unique(context << 16 | ids, return_counts=True)
+                bucket = (keys >> 16) % width
+                order = np.argsort(bucket, kind="stable")
+                bounds = np.searchsorted(bucket[order], np.arange(width + 1))
+                for b in range(width):
+                    own = order[bounds[b] : bounds[b + 1]]
+                    if len(own):
+                        yield _counts(name, b, _packed(np.diff(keys[own], prepend=0)) + _packed(n[own]))
+
+        for ids, _ in documents(batches, True):
+            ids = ids.astype(np.int64)
+            np.add.at(uni[int(log[ids].sum(0).argmax())], ids, 1)
+            held.append(ids)
+            size += len(ids)
+            if size > 1_000_000:
+                yield from gather()
+                held, size = [], 0
         if held:
-            gather()
+            yield from gather()
         for part, piece in enumerate(np.array_split(uni.ravel(), PARTS)):
             yield _counts("uni", part, _packed(piece))
-        for name, parts in grams.items():
-            if not parts:
-                continue
-            keys, n = _summed(parts)
-            bucket = (keys >> 16) % width
-            order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(width + 1))
-            for b in range(width):
-                own = order[bounds[b] : bounds[b + 1]]
-                if len(own):
-                    yield _counts(name, b, _packed(np.diff(keys[own], prepend=0)) + _packed(n[own]))
 
     def add(rows: pa.Table) -> pa.RecordBatch:
         name, part, data = rows.column("name")[0].as_py(), rows.column("part")[0].as_py(), rows.column("counts").to_pylist()
@@ -413,7 +418,7 @@ def fit(docs: DataFrame, ranks: dict[bytes, int], pattern: str, folds: int = 10)
             keys, n = keys[chosen], n[chosen]
         return _counts(name, part, _packed(np.diff(keys, prepend=0)) + _packed(n))
 
-    gathered = runs_in_partition(train.mapInArrow(count, "name string, part int, counts binary"), ["name", "part"], add, "name string, part int, counts binary")
+    gathered = runs_in_partition(tokens.mapInArrow(count, "name string, part int, counts binary"), ["name", "part"], add, "name string, part int, counts binary")
     rows = sorted(gathered.collect(), key=lambda r: r.part)
     uni = [_unpacked(r.counts) for r in rows if r.name == "uni"]
     uni = np.concatenate(uni).reshape(CLUSTERS, vocabulary) if uni else np.zeros((CLUSTERS, vocabulary))
@@ -421,21 +426,19 @@ def fit(docs: DataFrame, ranks: dict[bytes, int], pattern: str, folds: int = 10)
     grams = {name: [_gram_counts(r.counts) for r in rows if r.name == name] or [(none, none)] for name in ("bi", "tri")}
     tables = Tables.of(common, uni.astype(float), *(tuple(np.concatenate(x) for x in zip(*grams[name])) for name in ("bi", "tri")))
     attention = Attention()
-    attention.train(tables, sample, vocabulary - 1, epochs=3, rate=0.01)
+    attention.train(tables, sample, end, epochs=5, rate=0.01)
     start = attention.flat.copy()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, own, seen, held = Tokens(ranks, pattern), Attention(start.copy()), 0, []
-        for batch in batches:
-            for text, seed in zip(batch.column("text").to_pylist(), batch.column("seed").to_pylist()):
-                if ids := slice_of(tokens, text, seed):
-                    held.append(ids)
-                    seen += len(ids)
-                if len(held) == 512:
-                    own.train(tables, held, tokens.end, epochs=1, rate=0.001, size=64)
-                    held = []
+        own, seen, held = Attention(start.copy()), 0, []
+        for ids, seed in documents(batches, True):
+            held.append(_slice(ids, seed))
+            seen += len(held[-1])
+            if len(held) == 512:
+                own.train(tables, held, end, epochs=1, rate=0.001, size=64)
+                held = []
         if held:
-            own.train(tables, held, tokens.end, epochs=1, rate=0.001, size=64)
+            own.train(tables, held, end, epochs=1, rate=0.001, size=64)
         for part, piece in enumerate(np.array_split(own.flat, PARTS) if seen else []):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seen], pa.int64()), pa.array([piece.tobytes()], pa.binary())], names=["part", "n", "weights"])
 
@@ -444,21 +447,26 @@ def fit(docs: DataFrame, ranks: dict[bytes, int], pattern: str, folds: int = 10)
         mean = sum(k * np.frombuffer(c, np.float32).astype(float) for k, c in zip(n, rows.column("weights").to_pylist())) / n.sum()
         return pa.RecordBatch.from_arrays([rows.column("part")[:1].combine_chunks(), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], names=["part", "weights"])
 
-    learnt = runs_in_partition(seeded.mapInArrow(learn, "part int, n long, weights binary"), ["part"], average, "part int, weights binary").collect()
+    learnt = runs_in_partition(tokens.mapInArrow(learn, "part int, n long, weights binary"), ["part"], average, "part int, weights binary").collect()
     if learnt:
         attention = Attention(np.concatenate([np.frombuffer(r.weights, np.float32) for r in sorted(learnt, key=lambda r: r.part)]))
     return Model(tables, attention)
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """int64 values with their count and packed size in front."""
-    data = pa.compress(np.ascontiguousarray(values, np.int64).tobytes(), codec="zstd", asbytes=True)
-    return len(values).to_bytes(8, "little") + len(data).to_bytes(8, "little") + data
+    """Integers, as 32 bits where they fit, with their count and packed size in front."""
+    values = np.asarray(values)
+    narrow = not len(values) or (values.min() >= -(1 << 31) and values.max() < 1 << 31)
+    data = pa.compress(np.ascontiguousarray(values, np.int32 if narrow else np.int64).tobytes(), codec="zstd", asbytes=True)
+    return (len(values) << 1 | int(narrow)).to_bytes(8, "little") + len(data).to_bytes(8, "little") + data
 
 
 def _unpacked(data: bytes, at: int = 0) -> np.ndarray:
+    """int64 values of a packed array at a place."""
     n, size = (int.from_bytes(data[at + i : at + i + 8], "little") for i in (0, 8))
-    return np.frombuffer(pa.decompress(data[at + 16 : at + 16 + size], decompressed_size=n * 8, codec="zstd", asbytes=True), np.int64)
+    kind = np.dtype(np.int32 if n & 1 else np.int64)
+    raw = pa.decompress(data[at + 16 : at + 16 + size], decompressed_size=(n >> 1) * kind.itemsize, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, kind).astype(np.int64)
 
 
 def _gram_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -484,9 +492,13 @@ def _counts(name: str, part: int, data: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["name", "part", "counts"])
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[str | None]:
-    for part in slices_of(batch):
-        yield from part.column("text").to_pylist()
+SCORES, TOKENS, HEAD = -3, -2, -1  # rows of a batch beside its words by bucket
+class _Index(dict):
+    """word -> place in order of first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 _BLOBS = "batch long, bucket int, words binary, counts binary"
@@ -495,47 +507,27 @@ _BLOBS = "batch long, bucket int, words binary, counts binary"
 def score(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int], str] | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords."""
     ranks, pattern = vocabulary or default_vocabulary()
-    model = fit(docs, ranks, pattern, folds)
     width = shuffle_width(docs.sparkSession)
 
-    def scores_of(tokens: Tokens, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        out, sizes = [], []
-        held, size = [], 0
-
-        def flush() -> None:
-            inputs, targets, scored, starts = blocks(held, tokens.end)
-            logs = model.attention.log10(model.tables, inputs, targets, scored)
-            out.append(np.add.reduceat(logs, starts - BLOCK))
-
-        for text in texts:
-            ids = tokens(text)
-            sizes.append(len(ids))
-            held.append(ids)
-            size += len(ids)
-            if size > 60_000:
-                flush()
-                held, size = [], 0
-        if held:
-            flush()
-        return np.concatenate(out), np.array(sizes, np.int64)
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, memo, ordinal = Tokens(ranks, pattern), WordHashes(), 0
+        tokens, ordinal = Tokens(ranks, pattern), 0
         task = TaskContext.get().partitionId()
 
         def send(ids: list, held: list, texts: list) -> Iterator[pa.RecordBatch]:
             nonlocal ordinal
             batch, ordinal = task << 24 | ordinal, ordinal + 1
-            model_scores, sizes = scores_of(tokens, texts)
-            index: dict[bytes, int] = {}
+            subwords = [tokens(text) for text in texts]
+            sizes = np.array([len(x) for x in subwords], np.int64)
+            yield _row(batch, TOKENS, pa.compress(np.concatenate(subwords).tobytes(), codec="zstd", asbytes=True), _packed(np.array(held, np.int64)) + _packed(sizes))
+            index = _Index()
             refs, ptr = [], [0]
             for text in texts:
-                at = [index.setdefault(w, len(index)) for w in words_of(text)]
-                refs.append(np.array(at, np.int64))
-                ptr.append(ptr[-1] + len(at))
-            refs = np.concatenate(refs)
+                words = words_of(text)
+                refs += map(index.__getitem__, words)
+                ptr.append(len(refs))
+            refs = np.array(refs, np.int64)
             vocab = list(index)
-            bucket = np.fromiter((memo[w] for w in vocab), np.uint64, len(vocab)) % np.uint64(width)
+            bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, vocab), np.uint64, len(vocab)) % np.uint64(width)
             order = np.argsort(bucket, kind="stable")
             place = np.empty(len(vocab), np.int64)
             place[order] = np.arange(len(vocab))
@@ -551,10 +543,10 @@ def score(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int],
             keys, tf = np.unique(doc * (len(vocab) + 1) + flat, return_counts=True)
             ids_known = [x is not None for x in ids]
             head = [
-                np.array([x or 0 for x in ids], np.int64), np.array(ids_known, np.int64), np.array(held, np.int64), np.diff(ptr), sizes, model_scores.view(np.int64),
+                np.array([x or 0 for x in ids], np.int64), np.array(ids_known, np.int64), np.array(held, np.int64), np.diff(ptr), sizes,
                 np.bincount(keys // (len(vocab) + 1), minlength=len(texts)), keys % (len(vocab) + 1), tf,
             ]
-            yield _row(batch, -1, b"".join(map(_packed, head)), b"")
+            yield _row(batch, HEAD, b"".join(map(_packed, head)), b"")
 
         ids, held, texts, size = [], [], [], 0
         for batch in (part for whole in batches for part in slices_of(whole)):
@@ -588,6 +580,28 @@ def score(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int],
     held = docs.select("doc_id", "text", _held_out(folds).alias("held"))
     scanned = cut(held.mapInArrow(scan, _BLOBS))
     replies = cut(scanned.where("bucket >= 0").repartition(width, "bucket").mapInArrow(meet, _BLOBS))
+    model = fit(scanned.where(F.col("bucket") == TOKENS), len(ranks) + 1)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for i in range(rows.num_rows):
+                batch, out, held, size = rows.column("batch")[i].as_py(), [], [], 0
+
+                def flush() -> None:
+                    inputs, targets, starts = blocks(held, len(ranks))
+                    out.append(np.add.reduceat(model.attention.log10(model.tables, inputs, targets), starts - BLOCK))
+
+                for ids, _ in documents(iter([rows.slice(i, 1)]), False):
+                    held.append(ids)
+                    size += len(ids)
+                    if size > FLUSH:
+                        flush()
+                        held, size = [], 0
+                if held:
+                    flush()
+                yield _row(batch, SCORES, np.concatenate(out).tobytes(), b"")
+
+    rated = scanned.where(F.col("bucket") == TOKENS).mapInArrow(rate, _BLOBS)
     ends = docs.where(~_held_out(folds)).count()
     stats = [_unpacked(r.counts) for r in replies.where("batch = -1").select("counts").collect()]
     n = int(sum(s[0] for s in stats)) + ends
@@ -597,21 +611,21 @@ def score(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int],
     def finish(rows: pa.Table) -> pa.RecordBatch:
         order = np.argsort(rows.column("bucket").to_numpy(), kind="stable")
         words, counts = rows.column("words").to_pylist(), rows.column("counts").to_pylist()
-        data, at, head = words[order[0]], 0, []
+        scores, data, at, head = np.frombuffer(words[order[0]], np.float64), words[order[1]], 0, []
         while at < len(data):
             head.append(_unpacked(data, at))
             at += 16 + int.from_bytes(data[at + 8 : at + 16], "little")
-        ids, known_id, held_out, n_words, n_subwords, scores, spans, refs, tf = head
-        c = np.concatenate([_unpacked(counts[i]) for i in order[1:]]) if len(order) > 1 else np.zeros(0, np.int64)
+        ids, known_id, held_out, n_words, n_subwords, spans, refs, tf = head
+        c = np.concatenate([_unpacked(counts[i]) for i in order[2:]]) if len(order) > 2 else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(ids)), spans)
         logs = np.bincount(doc, weights=tf * np.log10(c[refs] + 0.1), minlength=len(ids)) + np.log10(ends + 0.1) - (n_words + 1) * divisor
         known = np.bincount(doc, weights=tf * (c[refs] > 0), minlength=len(ids)).astype(np.int64) + (1 if ends else 0)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=known_id == 0), pa.array(held_out == 1), pa.array(n_words + 1), pa.array(known), pa.array(np.full(len(ids), n)), pa.array(logs), pa.array(scores.view(np.float64)), pa.array(n_subwords)],
+            [pa.array(ids, mask=known_id == 0), pa.array(held_out == 1), pa.array(n_words + 1), pa.array(known), pa.array(np.full(len(ids), n)), pa.array(logs), pa.array(scores), pa.array(n_subwords)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_subwords"],
         )
 
-    together = scanned.where("bucket = -1").union(replies.where("batch >= 0"))
+    together = scanned.where(F.col("bucket") == HEAD).union(rated).union(replies.where("batch >= 0"))
     return runs_in_partition(together, ["batch"], finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_subwords long")
 
 
