@@ -9,9 +9,10 @@ the log10 probability of the text. N-grams are counted exactly; the tables keep
 to a fixed size and give the mass of the others to the back-off.
 
 Learning uses only rows whose crc32(doc_id as text) mod folds is not 0. The counts (unigram, cluster,
-n-gram, word) cover all of them. The clusters and a first version of the attention weights are fitted on
-SAMPLE documents (a slice of SLICE ids each); then every training document contributes one slice to a round
-of local training in each task, and the tasks' weights are averaged by their number of ids.
+n-gram, word) cover all of them. SAMPLE documents (a slice of SLICE ids each) only start the clusters and the
+attention weights: expectation-maximisation then runs over all training documents whole, and every block of
+every training document takes part in a round of local training in each task, whose weights are averaged by
+their number of ids.
 
 Base. Word counts are exact. Each batch of texts keeps its postings; its distinct words, in buckets by hash,
 meet those of the other batches, and the total counts come back to the batch. Nothing that grows with the
@@ -25,7 +26,7 @@ back on uniform unigrams; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from heapq import nsmallest
 
@@ -39,14 +40,16 @@ from pyspark.sql import functions as F
 from docspan.llm.text import MIX, cut, mix64, runs_in_partition, shuffle_width, slices_of, words_of
 
 BLOCK = 16  # scored positions of a window; it spans two blocks
-WIDTH = 8  # of embeddings and heads
+WIDTH = 16  # of embeddings and heads
 SLOTS = 2048  # embedding rows; rarer ids share the last quarter
 BIGRAMS, TRIGRAMS = 1 << 19, 1 << 20  # n-grams that the tables keep
 CONTEXTS = 1 << 20  # hashed contexts of two ids
-PARTS_OF_MIXTURE = 7  # CLUSTERS, the unigram, bigrams and trigrams
-CLUSTERS = 4
-SAMPLE = 1500  # documents that clusters and first weights are fitted on
-SLICE = 64  # ids that one document contributes to training, at most
+PARTS_OF_MIXTURE = 11  # CLUSTERS, the unigram, bigrams and trigrams
+CLUSTERS = 8
+SAMPLE = 1500  # documents that clusters and weights start from
+SLICE = 256  # ids of each of them, at most
+STEP = 4096  # positions of a training step over all documents
+CLUSTER_STEPS = 12  # over all documents, unless the fit settles before
 FLUSH = 20_000  # ids that are scored together
 BATCH_BYTES = 4 << 20
 PARTS = 64  # weights are averaged in so many parts
@@ -291,22 +294,43 @@ class Attention:
         grads |= {"k": x.T @ whole[0], "v": x.T @ whole[1]}
         dx = whole[0] @ w["k"].T + whole[1] @ w["v"].T
         dx[BLOCK:] += dy @ w["x"].T + dq @ w["q"].T
-        de = np.zeros((SLOTS, WIDTH), np.float32)
-        np.add.at(de, slots, dx)
-        grads["e"] = de
+        grads["e"] = np.stack([np.bincount(slots, weights=dx[:, c], minlength=SLOTS) for c in range(WIDTH)], axis=1)
         return float(-np.log(total[t >= 0]).sum() / n), np.concatenate([grads[name].ravel() for name in self.SHAPES]).astype(np.float32)
 
     def train(self, tables: Tables, docs: list[list[int]], end: int, epochs: int, rate: float, size: int = 32) -> None:
         """Adam over batches of documents, in the order given."""
-        m, v, step = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
-        for _ in range(epochs):
-            for lo in range(0, len(docs), size):
-                inputs, targets, _ = blocks(docs[lo : lo + size], end)
-                _, g = self.gradient(tables, inputs, targets)
-                step += 1
-                m += 0.1 * (g - m)
-                v += 0.02 * (g * g - v)
-                self.flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-8)
+        self.follow(tables, (blocks(docs[lo : lo + size], end)[:2] for _ in range(epochs) for lo in range(0, len(docs), size)), rate)
+
+    def follow(self, tables: Tables, parts: Iterable[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
+        """Adam over inputs and targets of whole blocks."""
+        m, v = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        for step, (inputs, targets) in enumerate(parts, 1):
+            _, g = self.gradient(tables, inputs, targets)
+            m += 0.1 * (g - m)
+            v += 0.02 * (g * g - v)
+            self.flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-8)
+
+
+def training_steps(docs: Iterable[np.ndarray], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Inputs and targets of STEP positions: every id of every document is a target once.
+
+    A part starts with the block before it, which is context only.
+    """
+    held, size = [], 0
+
+    def cut_up() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        inputs, targets, _ = blocks(held, end)
+        for lo in range(BLOCK, len(inputs), STEP):
+            yield inputs[lo - BLOCK : lo + STEP], targets[lo - BLOCK : lo + STEP]
+
+    for ids in docs:
+        held.append(ids)
+        size += len(ids)
+        if size > 8 * STEP:
+            yield from cut_up()
+            held, size = [], 0
+    if held:
+        yield from cut_up()
 
 
 def cluster_documents(docs: list[list[int]], vocabulary: int, steps: int = 12) -> np.ndarray:
@@ -359,6 +383,59 @@ def documents(batches: Iterator[pa.RecordBatch], training: bool) -> Iterator[tup
                     yield part, int(seeds[i])
 
 
+def cluster_all(tokens: DataFrame, log: np.ndarray, vocabulary: int) -> np.ndarray:
+    """log unigrams of the clusters by expectation-maximisation over all training documents, whole, from a start."""
+    prior, fitted = np.zeros(CLUSTERS), -np.inf
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_id = log.T.copy()
+        counts, own, held, size = np.zeros((CLUSTERS, vocabulary)), np.zeros(CLUSTERS + 1), [], 0
+
+        def gather() -> None:
+            ids, lengths = np.concatenate(held), np.array([len(x) for x in held])
+            fit = np.add.reduceat(by_id[ids], np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0).astype(float) + prior
+            top = fit.max(1, keepdims=True)
+            belong = np.exp(fit - top)
+            share = belong.sum(1, keepdims=True)
+            own[-1] += (top + np.log(share)).sum()
+            belong /= share
+            own[:-1] += belong.sum(0)
+            for m in range(CLUSTERS):
+                some = belong[:, m] > 1e-12
+                if some.any():
+                    counts[m] += np.bincount(ids[np.repeat(some, lengths)], weights=np.repeat(belong[some, m], lengths[some]), minlength=vocabulary)
+
+        for ids, _ in documents(batches, True):
+            held.append(ids)
+            size += len(ids)
+            if size > 100_000:
+                gather()
+                held, size = [], 0
+        if held:
+            gather()
+        if own.any():
+            for part, piece in enumerate([own, *np.array_split(counts.ravel(), PARTS)]):
+                yield _counts("em", part, piece.tobytes())
+
+    def add(rows: pa.Table) -> pa.RecordBatch:
+        return _counts("em", rows.column("part")[0].as_py(), sum(np.frombuffer(c) for c in rows.column("counts").to_pylist()).tobytes())
+
+    for _ in range(CLUSTER_STEPS):
+        rows = runs_in_partition(tokens.mapInArrow(expect, "name string, part int, counts binary"), ["part"], add, "name string, part int, counts binary").collect()
+        if not rows:
+            break
+        own, *pieces = [np.frombuffer(r.counts) for r in sorted(rows, key=lambda r: r.part)]
+        counts = np.concatenate(pieces).reshape(CLUSTERS, vocabulary)
+        uni = counts.sum(0) + 0.05
+        uni /= uni.sum()
+        log = np.log((counts + 100 * uni) / (counts.sum(1, keepdims=True) + 100)).astype(np.float32)
+        prior = np.log((own[:-1] + 1) / (own[:-1].sum() + CLUSTERS))
+        if own[-1] - fitted < 1e-4 * abs(own[-1]):
+            break
+        fitted = own[-1]
+    return log
+
+
 def _slice(ids: np.ndarray, seed: int) -> np.ndarray:
     at = seed % max(1, len(ids) - SLICE + 1)
     return ids[at : at + SLICE]
@@ -372,8 +449,7 @@ def fit(tokens: DataFrame, vocabulary: int) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in best], pa.int64()), pa.array([x for _, x in best], pa.list_(pa.int32()))], names=["seed", "ids"])
 
     sample = [np.array(r.ids, np.int32) for r in tokens.mapInArrow(choose, "seed long, ids array<int>").orderBy("seed").limit(SAMPLE).collect()]
-    log_clusters = cluster_documents(sample, vocabulary)
-    common = np.argsort(-np.bincount(np.concatenate([np.asarray(s) for s in sample]) if sample else np.zeros(0, np.int64), minlength=vocabulary), kind="stable")
+    log_clusters = cluster_all(tokens, cluster_documents(sample, vocabulary), vocabulary)
     width, end = shuffle_width(tokens.sparkSession), vocabulary - 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,6 +498,7 @@ def fit(tokens: DataFrame, vocabulary: int) -> Model:
     rows = sorted(gathered.collect(), key=lambda r: r.part)
     uni = [_unpacked(r.counts) for r in rows if r.name == "uni"]
     uni = np.concatenate(uni).reshape(CLUSTERS, vocabulary) if uni else np.zeros((CLUSTERS, vocabulary))
+    common = np.argsort(-uni.sum(0), kind="stable")
     none = np.zeros(0, np.int64)
     grams = {name: [_gram_counts(r.counts) for r in rows if r.name == name] or [(none, none)] for name in ("bi", "tri")}
     tables = Tables.of(common, uni.astype(float), *(tuple(np.concatenate(x) for x in zip(*grams[name])) for name in ("bi", "tri")))
@@ -430,15 +507,15 @@ def fit(tokens: DataFrame, vocabulary: int) -> Model:
     start = attention.flat.copy()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, held = Attention(start.copy()), 0, []
-        for ids, seed in documents(batches, True):
-            held.append(_slice(ids, seed))
-            seen += len(held[-1])
-            if len(held) == 512:
-                own.train(tables, held, end, epochs=1, rate=0.001, size=64)
-                held = []
-        if held:
-            own.train(tables, held, end, epochs=1, rate=0.001, size=64)
+        own, seen = Attention(start.copy()), 0
+
+        def whole() -> Iterator[np.ndarray]:
+            nonlocal seen
+            for ids, _ in documents(batches, True):
+                seen += len(ids)
+                yield ids
+
+        own.follow(tables, training_steps(whole(), end), rate=0.001)
         for part, piece in enumerate(np.array_split(own.flat, PARTS) if seen else []):
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seen], pa.int64()), pa.array([piece.tobytes()], pa.binary())], names=["part", "n", "weights"])
 

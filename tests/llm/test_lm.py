@@ -74,3 +74,20 @@ def test_training_helps():
     before = a.gradient(t, *lm.blocks(docs, 39)[:2])[0]
     a.train(t, docs, 39, epochs=5, rate=0.01)
     assert a.gradient(t, *lm.blocks(docs, 39)[:2])[0] < before
+
+
+def test_every_id_of_a_long_document_is_trained_on():
+    docs = [np.arange(n, dtype=np.int32) % 39 for n in (20_000, 3, 500)]
+    steps = list(lm.training_steps(iter(docs), 39))
+    seen = np.concatenate([t[lm.BLOCK :] for _, t in steps])
+    assert [int(x) for x in seen[seen >= 0]] == [int(x) for d in docs for x in d]
+    assert max(len(i) for i, _ in steps) <= lm.STEP + lm.BLOCK
+
+
+def test_embedding_rows_follow_the_counts_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SAMPLE", 2)
+    rows = [(np.full(5, 2), 2), *((np.full(5, 1), i) for i in range(60))]
+    data = [(0, lm.TOKENS, lm.pa.compress(np.concatenate([x for x, _ in rows]).astype(np.int32).tobytes(), codec="zstd", asbytes=True), lm._packed(np.zeros(len(rows), np.int64)) + lm._packed(np.array([len(x) for x, _ in rows])))]
+    model = lm.fit(spark.createDataFrame(data, lm._BLOBS), 4)
+    assert model.tables.slot[1] == 0 and model.tables.slot[2] == 1
+    assert lm.WIDTH == 16 and lm.CLUSTERS == 8
