@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -44,7 +43,6 @@ SUBSTITUTION_COST = math.log10(0.05)  # channel: a letter is disguised
 DROP_COST = math.log10(0.05)  # channel: a mark or a repeated letter carries nothing
 SAMPLE_LIMIT = 20_000  # labelled rows that the logistic model is fitted on, at most
 BROADCAST_LABELS = 2_000_000  # labels that may be broadcast; beyond it the join shuffles
-CANDIDATES = 8192  # words of texts of label 1, the most frequent, that the lexicon is chosen from
 LEXICON_LIMIT = 400  # words in the lexicon, at most
 MIN_SUPPORT = 8  # distinct texts of label 1 that hold a word, at least
 
@@ -208,38 +206,25 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> ToxicityModel:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(char)
         for batch in (part for whole in batches for part in slices_of(whole)):
-            counts: Counter = Counter()
-            for text in batch.column("text").to_pylist():
-                counts.update(restorer.words(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["w", "n"])
+            rows = [sorted(restorer.words(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("h"), pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "y", "h", "words"])
 
-    support = train.where("y = 1").select("text").mapInArrow(words, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= 2)
-    candidates = [r.w for r in support.orderBy(F.desc("n"), "w").limit(CANDIDATES).collect()]
-    index = {w: i for i, w in enumerate(candidates)}
-
-    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(char)
-        for batch in (part for whole in batches for part in slices_of(whole)):
-            rows = [sorted(index[w] for w in restorer.words(t) & index.keys()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), batch.column("h"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "y", "h", "hits"])
-
-    by_row = cut(train.mapInArrow(hits, "doc_id long, y int, h long, hits array<int>"))
+    by_row = cut(train.mapInArrow(words, "doc_id long, y int, h long, words array<string>"))
     unique = by_row.dropDuplicates(["h", "y"])
     totals = {r.y: r.n for r in unique.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return ToxicityModel(char, {}, np.zeros(0), -60.0)
-    counts = unique.select("y", F.explode("hits").alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).where(F.col("p") >= min(MIN_SUPPORT, max(2, pos // 4)))
+    counts = unique.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).where(F.col("p") >= min(MIN_SUPPORT, max(2, pos // 4)))
     rate, base = (F.col("p") + 0.5) / (pos + 1.0), (F.col("q") + 0.5) / (neg + 1.0)
     ranked = counts.withColumn("gain", F.col("p") * F.log(rate / base)).where(rate > 3 * base).orderBy(F.desc("gain"), "w").limit(LEXICON_LIMIT).collect()
-    lexicon = {candidates[r.w]: i for i, r in enumerate(ranked)}
-    column = {r.w: i for i, r in enumerate(ranked)}
-    known = F.array(*[F.lit(w) for w in column]) if column else F.array().cast("array<int>")
-    narrow = by_row.select("doc_id", "y", F.array_intersect("hits", known).alias("hits"))
+    lexicon = {r.w: i for i, r in enumerate(ranked)}
+    known = F.array(*[F.lit(w) for w in lexicon]) if lexicon else F.array().cast("array<string>")
+    narrow = by_row.select("doc_id", "y", F.array_intersect("words", known).alias("hits"))
     sample = narrow.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_LIMIT).select("y", "hits").collect()
     x = np.zeros((len(sample), len(lexicon)))
     for i, row in enumerate(sample):
-        x[i, [column[w] for w in row.hits]] = 1
+        x[i, [lexicon[w] for w in row.hits]] = 1
     weights, bias = _logistic(x, np.array([r.y for r in sample], float))
     return ToxicityModel(char, lexicon, weights, bias)
 

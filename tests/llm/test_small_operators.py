@@ -189,3 +189,14 @@ def test_toxicity_learns_and_holds_out(spark):
     none = toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert all(x.predicted == 0 for x in none)
     assert toxicity.toxicity(docs.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
+
+
+def test_toxicity_lexicon_is_chosen_from_all_words(spark):
+    def word(n):
+        return "".join(chr(97 + n // 26**i % 26) for i in range(4))
+
+    filler = " ".join(word(i) for i in range(9000))
+    rows = [f"{filler} zz{word(i)}" + " grobnik" * (i < 20 and i % 2) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 20)) for i in range(40)], "doc_id long, toxic int")
+    assert set(toxicity.fit(docs, labels, folds=1000).lexicon) == {"grobnik"}
