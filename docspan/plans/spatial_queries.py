@@ -185,7 +185,7 @@ def box_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def merge_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.merge_overlapping(V.boxes(spark, sf_dir).where("id % 4 = 0"))
+    return S.merge_overlapping(V.boxes(spark, sf_dir))
 
 
 @query(sql(f"""
