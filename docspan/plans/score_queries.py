@@ -154,14 +154,14 @@ def embed_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "other")).cast("long")).where("k <= 3")
 
 
-_DOCS, _ITEMS = 20, 10
+_DOCS = 20
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of twenty blocks of a source against ten questions, as score pairs."""
+    """Segments of twenty blocks of a source against all questions, as score pairs."""
     docs = V.table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("bj"))
     docs = docs.withColumn("segment", F.concat_ws(":", "source", F.expr(f"(bj - 1) div {_DOCS}").cast("string")))
-    scores = S.trigram_scores(docs, V.table(spark, sf_dir, "benchmark").where(F.col("item_id") < _ITEMS), "doc_id", "item_id")
+    scores = S.trigram_scores(docs, V.table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
     return scores.join(docs.select("doc_id", "segment", "bj"), "doc_id").select("segment", F.col("item_id").alias("qi"), "bj", F.col("item_id").alias("question"), F.col("doc_id").alias("block"), "score")
 
 
