@@ -153,9 +153,19 @@ def test_chat_round_trip(spark):
         assert [s.replace("\\p", "|").replace("\\n", "\n").replace("\\b", "\\") for s in spans] == [text, text]
     digest = {r.conv_id: r for r in chat.digest(chat.format_chats(df)).collect()}
     assert digest[1].loss_sha256 == hashlib.sha256((chat.HOSTILE * 2).encode()).hexdigest() and digest[1].loss_chars == 2 * len(chat.HOSTILE)
+    assert digest[1].escape_level == 1 and digest[0].escape_level == 1  # a role with a line feed
+    for c, row in out.items():
+        assert row.formatted.count("<|") == 2 * len(row.turns) and row.formatted.count(chat.START) == row.formatted.count(chat.END) == len(row.turns), c
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_leaves_plain_turns_and_very_long_texts(spark):
+    long = "ab<c | d> " * 400_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", "x" + chat.END * 3)], "conv_id long, turn long, role string, text string")
+    row = chat.format_chats(df).collect()[0]
+    assert row.formatted.startswith(chat.START + "user\n" + long + chat.END) and [t.text for t in row.turns] == [long, "x" + chat.END * 3]
+
+
 def test_deobfuscation():
     text = " ".join(["stupid idiot moron the and of to disgusting trash ones"] * 50)
     model = toxicity.CharModel(toxicity._count([text.encode()]))
