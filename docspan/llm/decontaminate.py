@@ -1,15 +1,19 @@
 """Benchmark decontamination by size-partitioned MinHash containment search (DataFrame functions only).
 
-A test item has n distinct shingles. Items are partitioned by size; an item of n shingles is indexed
-by its MinHash signature, the n - ceil(t * n) + 1 smallest hashes. A document that holds the share t
-of the item holds at least one of them, so no document is missed. Documents of any length are
-searched whole: their shingles are streamed past the index, and a document that meets a signature is
-verified by counting the item's shingles that it holds, compared as text.
+Index. A test item has n distinct shingles, ordered by hash. Items are partitioned by size into classes of a
+factor of two; all items of a class show signatures of one length, u - ceil(t * u) + 1 smallest hashes for the
+largest size u of the class (all of them, if an item has fewer). A document that holds the share t of an item
+lacks at most n - ceil(t * n) of its shingles, so it holds one of the signature and none is missed.
+
+Search. The shingle hashes of the documents, of any length, stream past the signatures only; what meets one is
+a candidate pair. Verification. The shingles of candidate documents meet the whole shingle sets of the items,
+compared as text, and pairs that hold the share t stay.
 
 Defined results: null, empty and blank texts match nothing; an item or document of fewer than k words
 is one shingle of all its words; rows of one doc_id are one document, while repeated items each give
-their own rows; a null item_id or doc_id is kept as a key; empty tables give no rows. Other columns
-are ignored.
+their own rows; a null item_id or doc_id is kept as a key; empty tables give no rows; ties (several items in
+one document) each give a row; very long texts are searched whole. Other columns are ignored, whatever their
+names, and without_contaminated passes all of them on.
 """
 
 from __future__ import annotations
@@ -17,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.text import cut
+from docspan.llm.text import cut, free_name
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-BROADCAST_SHINGLES = 500_000  # index rows (about 100 bytes each) that may be broadcast; beyond it the join shuffles
+BROADCAST_SHINGLES = 500_000  # signature or index rows (about 100 bytes each) that may be broadcast; beyond it the join shuffles
 BROADCAST_IDS = 1_000_000  # document ids that may be broadcast
 
 _SPACE = "[\\x20\\x09-\\x0D]+"
@@ -31,42 +35,64 @@ def words(text: Column) -> Column:
     return F.split(F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r")), _SPACE)
 
 
-def _shingles(df: DataFrame, k: int, *keys: str) -> DataFrame:
+def _places(df: DataFrame, k: int, *keys: str) -> DataFrame:
+    """The k-word slices of the words column, one a row."""
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.size("words") - (k - 1), F.lit(1)))).alias("at")
-    return df.select(*keys, "words", at).select(*keys, F.array_join(F.slice("words", F.col("at"), k), " ").alias("shingle")).select(*keys, "shingle", F.xxhash64("shingle").alias("h"))
+    return df.select(*keys, "words", at).select(*keys, F.slice("words", F.col("at"), k).alias("part"))
+
+
+def _hash(part: Column) -> Column:
+    return F.xxhash64(part)
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df, marked for broadcast if it has no more rows than that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def item_index(benchmark: DataFrame, k: int = SHINGLE, t: float = CONTAINMENT) -> DataFrame:
-    """item_id, n, size_class, shingle, h, signed: the shingle is in the item's signature."""
+    """item_id, row, n, size_class, shingle, h, signed: the shingle is in the item's signature."""
     items = benchmark.where("text is not null").select("item_id", F.monotonically_increasing_id().alias("row"), words("text").alias("words"))
-    rows = _shingles(items, k, "item_id", "row").where("shingle <> ''").distinct()
+    rows = _places(items, k, "item_id", "row").select("item_id", "row", F.array_join("part", " ").alias("shingle"), _hash(F.col("part")).alias("h"))
+    rows = cut(rows.where("shingle <> ''").distinct())
     sized = rows.groupBy("row").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("h")).alias("hashes"))
-    need = (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int")
-    signed = sized.select("row", "n", F.floor(F.log2("n")).cast("int").alias("size_class"), F.element_at("hashes", need).alias("last"))
+    sized = sized.withColumn("size_class", F.floor(F.log2("n")).cast("int"))
+    lengths = sized.groupBy("size_class").agg(F.max("n").alias("u")).select("size_class", (F.col("u") - F.ceil(F.col("u") * t - 1e-9) + 1).alias("length"))
+    last = F.element_at("hashes", F.least("length", "n").cast("int"))
+    signed = sized.join(lengths, "size_class").select("row", "n", "size_class", last.alias("last"))
     return rows.join(signed, "row").select("item_id", "row", "n", "size_class", "shingle", "h", (F.col("h") <= F.col("last")).alias("signed"))
 
 
+def candidates(docs: DataFrame, index: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(doc, row): documents that hold a shingle of an item's signature. docs: doc_id, words."""
+    signatures = _small(index.where("signed").select("row", F.col("h").alias("item_h")), BROADCAST_SHINGLES)
+    shown = _places(docs, k, "doc_id").select("doc_id", _hash(F.col("part")).alias("h"))
+    return shown.join(signatures, F.col("h") == F.col("item_h")).select(F.col("doc_id").alias("doc"), "row").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, t: float = CONTAINMENT) -> DataFrame:
     """doc_id, item_id, n_item_shingles, n_matched, containment, size_class of pairs at t or more."""
-    index = item_index(benchmark, k, t)
-    if index.limit(BROADCAST_SHINGLES + 1).count() <= BROADCAST_SHINGLES:
-        index = F.broadcast(index)
+    index = cut(item_index(benchmark, k, t))
     texts = docs.where("text is not null").select("doc_id", words("text").alias("words"))
-    index = index.withColumnsRenamed({"h": "item_h", "shingle": "item_shingle"})
-    met = _shingles(texts, k, "doc_id").join(index, (F.col("h") == F.col("item_h")) & (F.col("shingle") == F.col("item_shingle")))
-    once = met.groupBy("doc_id", "row", "item_id", "n", "size_class", "h").agg(F.max("signed").alias("signed"))
-    pairs = once.groupBy("doc_id", "row", "item_id", "n", "size_class").agg(F.count("*").alias("n_matched"), F.max("signed").alias("candidate"))
-    return pairs.where("candidate").where(F.col("n_matched") >= F.ceil(F.col("n") * t - 1e-9)).select(
+    found = cut(candidates(texts, index, k))
+    held = _small(found.select("doc").distinct(), BROADCAST_IDS)
+    rows = _places(texts.join(held, F.col("doc_id").eqNullSafe(F.col("doc")), "left_semi"), k, "doc_id")
+    rows = rows.select("doc_id", _hash(F.col("part")).alias("h"), F.array_join("part", " ").alias("shingle"))
+    whole = _small(index.select("row", F.col("h").alias("item_h"), F.col("shingle").alias("item_shingle")), BROADCAST_SHINGLES)
+    met = rows.join(whole, (F.col("h") == F.col("item_h")) & (F.col("shingle") == F.col("item_shingle")))
+    pairs = met.groupBy("doc_id", "row", "shingle").agg(F.lit(1).alias("one")).groupBy("doc_id", "row").agg(F.count("*").alias("n_matched"))
+    pairs = pairs.join(found.withColumnRenamed("row", "r"), F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("row") == F.col("r")), "left_semi")
+    items = _small(index.select(F.col("row").alias("r"), "item_id", "n", "size_class").distinct(), BROADCAST_SHINGLES)
+    return pairs.join(items, F.col("row") == F.col("r")).where(F.col("n_matched") >= F.ceil(F.col("n") * t - 1e-9)).select(
         "doc_id", "item_id", F.col("n").alias("n_item_shingles"), "n_matched", F.round(F.col("n_matched") / F.col("n"), 6).alias("containment"), "size_class"
     )
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, t: float = CONTAINMENT) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    found = cut(contaminated(docs, benchmark, k, t).select(F.col("doc_id").alias("found_id")).where("found_id is not null").distinct())
-    if found.count() <= BROADCAST_IDS:
-        found = F.broadcast(found)
-    return docs.join(found, F.col("doc_id") == F.col("found_id"), "left_anti")
+    """The documents that hold no benchmark item, all columns (the rows without doc_id count as one document)."""
+    gone = free_name(docs, "found_id")
+    found = cut(contaminated(docs.select("doc_id", "text"), benchmark, k, t).select(F.col("doc_id").alias(gone)).distinct())
+    return docs.join(_small(found, BROADCAST_IDS), docs["doc_id"].eqNullSafe(found[gone]), "left_anti")
 
 
 ORACLE = r"""

@@ -6,6 +6,7 @@ those bytes and ``bytes.lower()`` lowers exactly A-Z, so the UTF-8 form gives th
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -65,13 +66,26 @@ def slices_of(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch
         yield batch.slice(lo, rows)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df is called so (in any letter case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the session names none."""
+    """The cluster's shared folder.
+
+    Where the session names none, a temporary folder serves a session whose driver and tasks are one process;
+    on a cluster that is an error, as other machines would not see the files.
+    """
     place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = "/tmp/checkpoints/docspan"
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place
+    if place:
+        return place
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/docspan-local"
 
 
 def cut(df: DataFrame) -> DataFrame:
