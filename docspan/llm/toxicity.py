@@ -8,8 +8,11 @@ learnt from the labelled rows.
 
 Defined results: a null or empty text has no words and gets the model's intercept score; repeated
 rows are scored alike; unlabelled, null-labelled and conflicting rows are never trained on (a
-document with both labels is left out); with no usable labels every score is 0. Columns other than
-doc_id and text are ignored.
+document with both labels is left out); a row without doc_id is scored and not held out; with no usable
+labels every score is 0; an empty table gives no rows; readings of equal cost go to the one found first, in
+order of the characters. Very long texts are read whole, and a very long token is decoded in time and memory
+that grow in proportion. Columns other than doc_id and text are ignored, whatever their names (keep_clean passes
+them on).
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspan.llm.text import cut, slices_of
@@ -42,9 +45,11 @@ _HAS_LETTER = re.compile(r"[^\W\d_]")
 SUBSTITUTION_COST = math.log10(0.05)  # channel: a letter is disguised
 DROP_COST = math.log10(0.05)  # channel: a mark or a repeated letter carries nothing
 SAMPLE_LIMIT = 20_000  # labelled rows that the logistic model is fitted on, at most
-BROADCAST_LABELS = 2_000_000  # labels that may be broadcast; beyond it the join shuffles
-LEXICON_LIMIT = 400  # words in the lexicon, at most
-MIN_SUPPORT = 8  # distinct texts of label 1 that hold a word, at least
+BROADCAST_LABELS = 500_000  # labels that may be broadcast; beyond it the join shuffles
+MIN_SUPPORT = 8  # distinct texts of label 1 that hold a word of the lexicon, at least (a quarter of them, if they are few)
+MIN_SHARE = 0.002  # of the texts of label 1 that hold it, at least; so the lexicon does not grow with the number of texts
+MIN_RATIO = 3.0  # rate in texts of label 1 over the rate in others, at least
+MIN_G2 = 15.0  # likelihood ratio statistic of a word against chance, at least
 
 
 class CharModel:
@@ -80,9 +85,8 @@ def _count(texts: list[bytes]) -> np.ndarray:
     return np.bincount(_trigram_codes(np.frombuffer(b" ".join(texts), np.uint8)), minlength=ALPHABET**3)
 
 
-def _options(token: str) -> list[list[tuple[str, float]]]:
+def _options(token: str) -> Iterator[list[tuple[str, float]]]:
     """The lattice: for each character its readings with channel costs; '' drops it."""
-    lattice = []
     for i, ch in enumerate(token):
         here: list[tuple[str, float]] = []
         repeated = i > 0 and token[i - 1] == ch
@@ -93,27 +97,32 @@ def _options(token: str) -> list[list[tuple[str, float]]]:
         else:
             here += [(x, SUBSTITUTION_COST) for x in LEET.get(ch, "")]
             here.append(("", 3 * DROP_COST if ch.isalnum() else DROP_COST if ch in LEET else 0.0))
-        lattice.append(here)
-    return lattice
+        yield here
 
 
 def restore(token: str, model: CharModel) -> str:
-    """The likeliest reading of a token."""
+    """The likeliest reading of a token: Viterbi over its lattice with back pointers."""
     log = model.log
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in _options(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, out) in best.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in best.items():
             for ch, cost in options:
                 if ch:
                     c = _code(ch)
-                    key, value = (b, c), (score + cost + log[a][b][c], out + ch)
+                    key, total = (b, c), score + cost + log[a][b][c]
                 else:
-                    key, value = (a, b), (score + cost, out)
-                if key not in after or value > after[key]:
-                    after[key] = value
+                    key, total = (a, b), score + cost
+                held = after.get(key)
+                if held is None or total > held[0]:
+                    after[key] = (total, (path, ch) if ch else path)
         best = after
-    return max((score + log[a][b][0], out) for (a, b), (score, out) in best.items())[1]
+    _, path = max(((score + log[a][b][0], path) for (a, b), (score, path) in best.items()), key=lambda x: x[0])
+    out = []
+    while path:
+        path, ch = path
+        out.append(ch)
+    return "".join(reversed(out))
 
 
 def suspicious(core: str) -> bool:
@@ -187,15 +196,16 @@ class ToxicityModel:
         return float(1 / (1 + math.exp(-max(-60.0, min(60.0, z)))))
 
 
-def _fold(column: str, folds: int) -> F.Column:
-    return F.crc32(F.col(column).cast("string")) % folds
+def _fold(column: str, folds: int) -> Column:
+    return F.coalesce(F.crc32(F.col(column).cast("string")) % folds, F.lit(-1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> ToxicityModel:
     """Learn from labelled rows outside fold 0.
 
-    Word counts cover all of them (copies of a text count once); the weights are fitted on the
-    SAMPLE_LIMIT rows with the smallest hash of doc_id.
+    The lexicon is every word of their distinct texts that passes MIN_SUPPORT, MIN_SHARE, MIN_RATIO and MIN_G2;
+    word counts cover all of them. Only the weights are fitted on a bounded sample, the SAMPLE_LIMIT rows with the
+    smallest hash of doc_id.
     """
     char = char_model(docs)
     clean = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("y"), F.max("toxic").alias("y2")).where("y = y2").select(F.col("doc_id").alias("label_id"), F.col("y").cast("int").alias("y"))
@@ -215,29 +225,41 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5) -> ToxicityModel:
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     if not pos or not neg:
         return ToxicityModel(char, {}, np.zeros(0), -60.0)
-    counts = unique.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q")).where(F.col("p") >= min(MIN_SUPPORT, max(2, pos // 4)))
+    counts = unique.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    counts = counts.where(F.col("p") >= max(min(MIN_SUPPORT, max(2, pos // 4)), MIN_SHARE * pos))
     rate, base = (F.col("p") + 0.5) / (pos + 1.0), (F.col("q") + 0.5) / (neg + 1.0)
-    ranked = counts.withColumn("gain", F.col("p") * F.log(rate / base)).where(rate > 3 * base).orderBy(F.desc("gain"), "w").limit(LEXICON_LIMIT).collect()
-    lexicon = {r.w: i for i, r in enumerate(ranked)}
-    known = F.array(*[F.lit(w) for w in lexicon]) if lexicon else F.array().cast("array<string>")
+    lexicon = {r.w: i for i, r in enumerate(counts.where((rate > MIN_RATIO * base) & (_g2(F.col("p"), F.col("q"), pos, neg) >= MIN_G2)).select("w").orderBy("w").collect())}
+    known = F.split(F.lit(" ".join(lexicon)), " ")  # words hold no spaces
     narrow = by_row.select("doc_id", "y", F.array_intersect("words", known).alias("hits"))
     sample = narrow.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_LIMIT).select("y", "hits").collect()
-    x = np.zeros((len(sample), len(lexicon)))
+    x = np.zeros((len(sample), len(lexicon)), bool)
     for i, row in enumerate(sample):
-        x[i, [lexicon[w] for w in row.hits]] = 1
+        x[i, [lexicon[w] for w in row.hits]] = True
     weights, bias = _logistic(x, np.array([r.y for r in sample], float))
     return ToxicityModel(char, lexicon, weights, bias)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps; the intercept is not penalised."""
-    a = np.hstack([x, np.ones((len(x), 1))])
-    penalty = np.full(a.shape[1], ridge)
+def _g2(p: Column, q: Column, pos: int, neg: int) -> Column:
+    """Likelihood ratio statistic of a word that p of pos and q of neg texts hold."""
+    held = p + q
+    cells = ((p, held * pos), (q, held * neg), (pos - p, (pos + neg - held) * pos), (neg - q, (pos + neg - held) * neg))
+    return 2 * sum((F.when(n > 0, n * F.log(n * float(pos + neg) / expected)).otherwise(0.0) for n, expected in cells), F.lit(0.0))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 30, block: int = 2_000) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton steps over blocks of rows; the intercept is not penalised."""
+    n = x.shape[1] + 1
+    penalty = np.full(n, ridge)
     penalty[-1] = 1e-3
-    w = np.zeros(a.shape[1])
+    w = np.zeros(n)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty), a.T @ (y - p) - penalty * w)
+        hessian, slope = np.diag(penalty), -penalty * w
+        for lo in range(0, len(x), block):
+            a = np.hstack([x[lo : lo + block], np.ones((len(x[lo : lo + block]), 1))])
+            p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+            hessian += (a * (p * (1 - p))[:, None]).T @ a
+            slope += a.T @ (y[lo : lo + block] - p)
+        step = np.linalg.solve(hessian, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break

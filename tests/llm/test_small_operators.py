@@ -204,6 +204,46 @@ def test_deobfuscation():
     assert r.words(None) == set() == r.words("")
 
 
+def test_viterbi_equals_enumeration():
+    import itertools
+
+    model = toxicity.CharModel(toxicity._count([b"stupid idiot moron the and of disgusting trash hello world"] * 20))
+
+    def cost(path):
+        a = b = 0
+        total = 0.0
+        for ch, price in path:
+            total += price
+            if ch:
+                c = toxicity._code(ch)
+                total += model.log[a][b][c]
+                a, b = b, c
+        return total + model.log[a][b][0]
+
+    for token in ("$tup1d", "1d10t", "*he", "a*d", "m0r0n", "h3110", "tr@sh", "idddiot", "w0r|d", "t.h.e", "1", "*"):
+        lattice = list(toxicity._options(token))
+        best = max(map(cost, itertools.product(*lattice)))
+        read = toxicity.restore(token, model)
+        ways = [cost(p) for p in itertools.product(*lattice) if "".join(ch for ch, _ in p) == read]
+        assert max(ways) == pytest.approx(best, abs=1e-9), token
+
+
+def test_toxicity_of_very_long_texts_and_tokens():
+    import time
+
+    r = toxicity.Restorer(toxicity.CharModel(toxicity._count([b"stupid idiot moron the and of"] * 20)))
+    began = time.time()
+    assert len(r.token("*1**1a*" * 20_000)) > 10_000
+    assert "idiot" in r.words("some words " * 500_000 + "1d10t")
+    assert time.time() - began < 60
+
+
+def test_toxicity_without_doc_id(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None)], "doc_id long, text string")
+    rows = toxicity.toxicity(docs, spark.createDataFrame([(None, 1), (3, None)], "doc_id long, toxic int")).collect()
+    assert len(rows) == 3 and all(r.held_out is not None and r.score is not None for r in rows) and not any(r.held_out for r in rows if r.doc_id is None)
+
+
 def test_toxicity_learns_and_holds_out(spark):
     import random
 
