@@ -1,34 +1,31 @@
 """Language-model scores: a causal self-attention model over subword ids, and a word unigram base.
 
-Model. A text is its subword ids (a public byte-level BPE) and an end id. Blocks of 16 positions attend,
-causally masked, to themselves and the block before (32 positions, overlapping windows), so each id is
-scored once with 16 to 32 positions of context. The attention output gates a mixture of distributions
-over the whole vocabulary: trigrams (two ids of context, hashed) that back off to bigrams and these to
-unigrams, unigrams of document clusters, and the global unigram. Every part is normalised, so the score is
-the log10 probability of the text. N-grams are counted exactly; the tables keep the most frequent ones up
-to a fixed size and give the mass of the others to the back-off.
-
-Learning uses only rows whose crc32(doc_id as text) mod folds is not 0. The counts (unigram, cluster,
-n-gram, word) cover all of them. SAMPLE documents (a slice of SLICE ids each) only start the clusters and the
-attention weights: expectation-maximisation then runs over all training documents whole, and every block of
-every training document takes part in a round of local training in each task, whose weights are averaged by
-their number of ids.
-
-Base. Word counts are exact. Each batch of texts keeps its postings; its distinct words, in buckets by hash,
-meet those of the other batches, and the total counts come back to the batch. Nothing that grows with the
-vocabulary or the corpus reaches the driver.
+A text is its subword ids (a public byte-level BPE) and an end id; its score is the sum of their log10
+probabilities under the model of attention.py, in which attention and its output projection give the class of each
+id and exact counts of pairs of ids give the id inside the class. Windows overlap and each id is scored once.
+
+Learning uses only rows whose crc32(doc_id as text) mod folds is not 0, and all of their text. Counts of ids and of
+pairs are exact and complete: nothing is cut off, and the table of pairs stays distributed and grows with the input.
+The attention weights are trained on every id of every training document once: documents are dealt by hash to
+ROUNDS rounds of shards, in each round every shard trains on its documents, in order of their hash, from the weights
+of the round before, and the shards' weights are averaged in fixed point. So the weights, and with them all
+scores, depend on the documents alone and not on partitions or tasks.
+
+Exchange of counts. Each batch of texts asks for the counts of its distinct words and pairs, in buckets by hash;
+equal ones of all batches meet, and the sums come back to the batch. Nothing that grows with the vocabulary or
+the corpus reaches the driver; it holds the counts of the ids of the fixed subword vocabulary.
 
 Defined results: a null or empty text is the end token alone; repeated rows each give a row (and count in
-training as often); an empty table gives no rows; with no training rows all counts are 0 and score falls
-back on uniform unigrams; columns other than doc_id and text are ignored.
+training as often); an empty table gives no rows; a row without doc_id is training text; with no training rows all
+counts are 0 and score falls back on uniform ids; equal texts have equal scores; very long texts are scored whole, a
+chunk of positions at a time; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
-from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -37,22 +34,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspan.llm.attention import Attention, Vocabulary, layout
 from docspan.llm.text import MIX, cut, mix64, runs_in_partition, shuffle_width, slices_of, words_of
 
-BLOCK = 16  # scored positions of a window; it spans two blocks
-WIDTH = 16  # of embeddings and heads
-SLOTS = 2048  # embedding rows; rarer ids share the last quarter
-BIGRAMS, TRIGRAMS = 1 << 19, 1 << 20  # n-grams that the tables keep
-CONTEXTS = 1 << 20  # hashed contexts of two ids
-PARTS_OF_MIXTURE = 11  # CLUSTERS, the unigram, bigrams and trigrams
-CLUSTERS = 8
-SAMPLE = 1500  # documents that clusters and weights start from
-SLICE = 256  # ids of each of them, at most
-STEP = 4096  # positions of a training step over all documents
-CLUSTER_STEPS = 12  # over all documents, unless the fit settles before
-FLUSH = 20_000  # ids that are scored together
+ROUNDS = 3  # of training; the weights are averaged after each
+SHARD_ROWS = 4096  # documents that a shard trains on, about, ...
+SHARDS = 4096  # ... in a round of so many shards at most
+FIXED = 1 << 32  # weights are averaged and scores summed in units of 1 / FIXED
 BATCH_BYTES = 4 << 20
-PARTS = 64  # weights are averaged in so many parts
+PARTS = 64  # counts and weights are summed in so many parts
+DENSE = 1 << 24  # pairs of a batch are counted in a table up to this size
+WORDS, PAIRS, TOKENS, HEADS, IDS = range(5)  # kinds of rows
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -82,548 +74,120 @@ class Tokens:
         return np.concatenate([self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int32), self.last])
 
 
-def context_of(before: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Hashed context of two ids."""
-    h = (before.astype(np.uint64) << np.uint64(32) | last.astype(np.uint64)) * MIX
-    return ((h ^ (h >> np.uint64(31))) * MIX >> np.uint64(44)).astype(np.int64)
-
-
-class Lookup:
-    """key -> value (0 for others), by open addressing; the few keys without a near slot are left out."""
-
-    PROBES = 12
-
-    def __init__(self, keys: np.ndarray, slots: int):
-        self.bits = slots.bit_length() - 1
-        self.keys = np.full(slots, -1, np.int64)
-        left = keys
-        for probe in range(self.PROBES):
-            at = self._slot(left, probe)
-            free = np.flatnonzero(self.keys[at] < 0)
-            at, first = np.unique(at[free], return_index=True)
-            self.keys[at] = left[free[first]]
-            left = left[self.keys[self._slot(left, probe)] != left]
-            if not len(left):
-                break
-        self.values = np.zeros(slots, np.float32)
-
-    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
-        return (((keys.astype(np.uint64) * MIX) >> np.uint64(64 - self.bits)).astype(np.int64) + probe) & (len(self.keys) - 1)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Slot of each key, -1 for others."""
-        out = np.full(len(keys), -1, np.int64)
-        left = np.arange(len(keys))
-        for probe in range(self.PROBES):
-            at = self._slot(keys[left], probe)
-            own = self.keys[at]
-            hit = own == keys[left]
-            out[left[hit]] = at[hit]
-            left = left[~hit & (own >= 0)]
-            if not len(left):
-                break
-        return out
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        at = self.find(keys)
-        return np.where(at >= 0, self.values[at], np.float32(0))
-
-
-class Grams:
-    """n-gram probabilities count / (total + k) and the share k / (total + k) that backs off."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, contexts: int, k: float):
-        self.made_of = keys, counts, contexts, k
-        self.table: Lookup | None = None
-
-    def build(self) -> None:
-        """Make the table, where it is first used."""
-        keys, counts, contexts, k = self.made_of
-        self.table = Lookup(keys, 4 << max(4, int(len(keys) - 1).bit_length()))
-        at = self.table.find(keys)
-        keys, counts, at = keys[at >= 0], counts[at >= 0], at[at >= 0]
-        total = np.bincount(keys >> 16, weights=counts, minlength=contexts)
-        self.table.values[at] = counts / (total[keys >> 16] + k)
-        self.back = (k / (total + k)).astype(np.float32)
-
-    def __reduce__(self):
-        """Travels as packed counts; the table is built again where it arrives."""
-        keys, counts, contexts, k = self.made_of
-        return _grams, (_packed(np.diff(keys, prepend=0)), _packed(counts), contexts, k)
-
-    def probabilities(self, context: np.ndarray, targets: np.ndarray, back: np.ndarray) -> np.ndarray:
-        if self.table is None:
-            self.build()
-        return self.table.get(context << 16 | targets) + self.back[context] * back
-
-
-def _grams(keys: bytes, counts: bytes, contexts: int, k: float) -> Grams:
-    return Grams(np.cumsum(_unpacked(keys)), _unpacked(counts), contexts, k)
-
-
-@dataclass
-class Tables:
-    """Distributions of the mixture, from counts over all training rows."""
-
-    slot: np.ndarray  # id -> embedding row
-    unigrams: np.ndarray  # (ids, CLUSTERS + 1), the global one last
-    bigrams: Grams
-    trigrams: Grams
-
-    @classmethod
-    def of(cls, order: np.ndarray, cluster_counts: np.ndarray, bigrams: tuple[np.ndarray, np.ndarray], trigrams: tuple[np.ndarray, np.ndarray]) -> Tables:
-        vocabulary = cluster_counts.shape[1]
-        slot = np.empty(vocabulary, np.int32)
-        own = SLOTS * 3 // 4
-        slot[order] = np.where(np.arange(vocabulary) < own, np.arange(vocabulary), own + np.arange(vocabulary) % (SLOTS - own))
-        total = cluster_counts.sum(0) + 0.1
-        uni = total / total.sum()
-        clusters = (cluster_counts + 200 * uni) / (cluster_counts.sum(1, keepdims=True) + 200)
-        return cls(slot, np.vstack([clusters, uni[None]]).T.astype(np.float32).copy(), Grams(*_sorted(*bigrams), vocabulary, 20.0), Grams(*_sorted(*trigrams), CONTEXTS, 100.0))
-
-    def probabilities(self, before: np.ndarray, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """(n, PARTS_OF_MIXTURE): what each part gives the targets."""
-        out = np.empty((len(targets), PARTS_OF_MIXTURE), np.float32)
-        out[:, :-2] = self.unigrams[targets]
-        out[:, -2] = self.bigrams.probabilities(inputs.astype(np.int64), targets, out[:, -3])
-        out[:, -1] = self.trigrams.probabilities(context_of(before, inputs), targets, out[:, -2])
-        return out
-
-
-def blocks(docs: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets (-1: padding) and the first scored position of each document.
-
-    Each document starts with a block of padding, so that its first window sees no other document.
-    """
-    sizes = np.array([len(d) for d in docs])
-    spans = (sizes + BLOCK - 1) // BLOCK * BLOCK + BLOCK
-    starts = np.concatenate([[0], np.cumsum(spans)[:-1]])
-    inputs, targets = np.full(spans.sum(), end, np.int32), np.full(spans.sum(), -1, np.int32)
-    flat = np.concatenate(docs).astype(np.int32)
-    at = np.repeat(starts + BLOCK - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(len(flat))
-    targets[at] = flat
-    inside = np.ones(len(flat), bool)
-    inside[np.cumsum(sizes) - 1] = False
-    inputs[at[inside] + 1] = flat[inside]
-    return inputs, targets, starts + BLOCK
-
-
-_MASK = np.where(np.arange(2 * BLOCK)[None] <= np.arange(BLOCK)[:, None] + BLOCK, 0, -1e9).astype(np.float32)
-
-
-class Attention:
-    """One causal head over two blocks, a residual layer and the gate."""
-
-    SHAPES = {
-        "e": (SLOTS, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "x": (WIDTH, WIDTH), "b": (WIDTH,),
-        "p": (BLOCK, 2 * BLOCK), "g": (WIDTH, PARTS_OF_MIXTURE), "h": (PARTS_OF_MIXTURE,),
-    }
-
-    def __init__(self, flat: np.ndarray | None = None):
-        if flat is None:
-            random = np.random.default_rng(7)
-            flat = np.concatenate([(random.normal(0, 0.3, int(np.prod(s))) if len(s) > 1 and n != "p" else np.zeros(int(np.prod(s)))) for n, s in self.SHAPES.items()])
-        self.flat = flat.astype(np.float32)
-        self.w, at = {}, 0
-        for name, shape in self.SHAPES.items():
-            size = int(np.prod(shape))
-            self.w[name] = self.flat[at : at + size].reshape(shape)
-            at += size
-
-    def _hidden(self, slots: np.ndarray) -> tuple:
-        """Activations of every block but the first; x has all blocks."""
-        w = self.w
-        x = w["e"][slots]
-        qkv = x @ np.hstack([w["q"] / np.float32(np.sqrt(WIDTH)), w["k"], w["v"]])
-        rows, step = qkv.strides
-        windows = lambda c: np.lib.stride_tricks.as_strided(qkv[:, c * WIDTH :], (len(x) // BLOCK - 1, 2 * BLOCK, WIDTH), (rows * BLOCK, rows, step))
-        q = qkv.reshape(-1, BLOCK, 3 * WIDTH)[1:, :, :WIDTH]
-        k, v = windows(1), windows(2)
-        a = q @ k.transpose(0, 2, 1)
-        a += w["p"] + _MASK
-        np.minimum(a, 30, out=a)
-        np.exp(a, out=a)
-        a /= a.sum(-1, keepdims=True)
-        o = (a @ v).reshape(-1, WIDTH)
-        xs = x[BLOCK:]
-        y = np.tanh(xs @ w["x"] + o @ w["o"] + w["b"])
-        return x, xs, q, k, v, a, o, y
-
-    def gates(self, y: np.ndarray) -> np.ndarray:
-        g = y @ self.w["g"] + self.w["h"]
-        np.exp(np.clip(g, -30, 30, out=g), out=g)
-        return g / (g @ np.ones((PARTS_OF_MIXTURE, 1), np.float32))
-
-    def log10(self, tables: Tables, inputs: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """log10 probability of each position (0 at padding)."""
-        *_, y = self._hidden(tables.slot[inputs])
-        at = np.flatnonzero(targets[BLOCK:] >= 0)
-        before, i, t = inputs[at + BLOCK - 1], inputs[at + BLOCK], targets[at + BLOCK]
-        p = np.einsum("ij,ij->i", self.gates(y[at]), tables.probabilities(before, i, t))
-        out = np.zeros(len(targets))
-        out[at + BLOCK] = np.log10(p.astype(np.float64))
-        return out
-
-    def gradient(self, tables: Tables, inputs: np.ndarray, targets: np.ndarray) -> tuple[float, np.ndarray]:
-        """Mean negative log probability and its gradient."""
-        w, slots = self.w, tables.slot[inputs]
-        x, xs, q, k, v, a, o, y = self._hidden(slots)
-        before, i, t = inputs[BLOCK - 1 : -1], inputs[BLOCK:], targets[BLOCK:]
-        gates, p = self.gates(y), tables.probabilities(before, i, np.maximum(t, 0))
-        mixed = gates * p
-        total = mixed.sum(1, keepdims=True)
-        n = max(1, int((t >= 0).sum()))
-        dg = (gates - mixed / total) * ((t >= 0)[:, None] / np.float32(n))
-        grads = {"g": y.T @ dg, "h": dg.sum(0)}
-        dy = (dg @ w["g"].T) * (1 - y * y)
-        grads |= {"x": xs.T @ dy, "o": o.T @ dy, "b": dy.sum(0)}
-        do = (dy @ w["o"].T).reshape(-1, BLOCK, WIDTH)
-        dv = a.transpose(0, 2, 1) @ do
-        da = do @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True))
-        grads["p"] = ds.sum(0)
-        dq = (ds @ k).reshape(-1, WIDTH) / np.float32(np.sqrt(WIDTH))
-        dk = ds.transpose(0, 2, 1) @ q
-        grads["q"] = xs.T @ dq
-        whole = []
-        for part in (dk, dv):
-            of = np.zeros_like(x).reshape(-1, BLOCK, WIDTH)
-            of[1:] += part[:, BLOCK:]
-            of[:-1] += part[:, :BLOCK]
-            whole.append(of.reshape(-1, WIDTH))
-        grads |= {"k": x.T @ whole[0], "v": x.T @ whole[1]}
-        dx = whole[0] @ w["k"].T + whole[1] @ w["v"].T
-        dx[BLOCK:] += dy @ w["x"].T + dq @ w["q"].T
-        grads["e"] = np.stack([np.bincount(slots, weights=dx[:, c], minlength=SLOTS) for c in range(WIDTH)], axis=1)
-        return float(-np.log(total[t >= 0]).sum() / n), np.concatenate([grads[name].ravel() for name in self.SHAPES]).astype(np.float32)
-
-    def train(self, tables: Tables, docs: list[list[int]], end: int, epochs: int, rate: float, size: int = 32) -> None:
-        """Adam over batches of documents, in the order given."""
-        self.follow(tables, (blocks(docs[lo : lo + size], end)[:2] for _ in range(epochs) for lo in range(0, len(docs), size)), rate)
-
-    def follow(self, tables: Tables, parts: Iterable[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
-        """Adam over inputs and targets of whole blocks."""
-        m, v = np.zeros_like(self.flat), np.zeros_like(self.flat)
-        for step, (inputs, targets) in enumerate(parts, 1):
-            _, g = self.gradient(tables, inputs, targets)
-            m += 0.1 * (g - m)
-            v += 0.02 * (g * g - v)
-            self.flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-8)
-
-
-def training_steps(docs: Iterable[np.ndarray], end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Inputs and targets of STEP positions: every id of every document is a target once.
-
-    A part starts with the block before it, which is context only.
-    """
-    held, size = [], 0
-
-    def cut_up() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        inputs, targets, _ = blocks(held, end)
-        for lo in range(BLOCK, len(inputs), STEP):
-            yield inputs[lo - BLOCK : lo + STEP], targets[lo - BLOCK : lo + STEP]
-
-    for ids in docs:
-        held.append(ids)
-        size += len(ids)
-        if size > 8 * STEP:
-            yield from cut_up()
-            held, size = [], 0
-    if held:
-        yield from cut_up()
-
-
-def cluster_documents(docs: list[list[int]], vocabulary: int, steps: int = 12) -> np.ndarray:
-    """log unigrams of CLUSTERS clusters, by expectation-maximisation over whole documents."""
-    lengths = np.array([len(d) for d in docs])
-    ids = np.concatenate([np.asarray(d) for d in docs]) if docs else np.zeros(0, np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if docs else np.zeros(0, np.int64)
-    base = np.bincount(ids, minlength=vocabulary) + 0.05
-    uni = base / base.sum()
-    # seeds: documents far from those chosen before, by the share of ids in common
-    seeds = [set(docs[0])] if docs else []
-    while docs and len(seeds) < CLUSTERS:
-        far = min(range(len(docs)), key=lambda i: (max(len(s & set(docs[i])) for s in seeds) / len(set(docs[i])) if lengths[i] > 40 else 2.0, i))
-        seeds.append(set(docs[far]))
-    belong = np.zeros((len(docs), CLUSTERS))
-    for i, d in enumerate(docs):
-        own = set(d)
-        belong[i, int(np.argmax([len(own & s) / (len(s) + 20) for s in seeds]))] = 1
-    log = np.tile(np.log(uni), (CLUSTERS, 1))
-    for _ in range(steps if docs else 0):
-        weights = np.repeat(belong, lengths, axis=0)
-        counts = np.stack([np.bincount(ids, weights=weights[:, m], minlength=vocabulary) for m in range(CLUSTERS)])
-        log = np.log((counts + 100 * uni) / (counts.sum(1, keepdims=True) + 100))
-        prior = np.log((belong.sum(0) + 1) / (len(docs) + CLUSTERS))
-        fit = np.add.reduceat(log[:, ids].T, starts, axis=0) + prior
-        belong = np.exp(fit - fit.max(1, keepdims=True))
-        belong /= belong.sum(1, keepdims=True)
-    return log.astype(np.float32)
-
-
-def _held_out(folds: int):
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
-
-
-@dataclass
-class Model:
-    tables: Tables
-    attention: Attention
-
+class _Index(dict):
+    """word -> place in order of first use."""
 
-def documents(batches: Iterator[pa.RecordBatch], training: bool) -> Iterator[tuple[np.ndarray, int]]:
-    """(ids, seed) of the documents in the token rows, in order; of the training ones only, if asked."""
-    for rows in (part for whole in batches for part in slices_of(whole, 1)):
-        for batch, words, counts in zip(*(rows.column(c).to_pylist() for c in ("batch", "words", "counts"))):
-            held, sizes = _unpacked(counts), _unpacked(counts, 16 + int.from_bytes(counts[8:16], "little"))
-            ids = np.frombuffer(pa.decompress(words, decompressed_size=int(sizes.sum()) * 4, codec="zstd", asbytes=True), np.int32)
-            seeds = mix64(np.arange(len(sizes), dtype=np.uint64) + np.uint64(batch * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(2)
-            for i, part in enumerate(np.split(ids, np.cumsum(sizes)[:-1])):
-                if not (training and held[i]):
-                    yield part, int(seeds[i])
-
-
-def cluster_all(tokens: DataFrame, log: np.ndarray, vocabulary: int) -> np.ndarray:
-    """log unigrams of the clusters by expectation-maximisation over all training documents, whole, from a start."""
-    prior, fitted = np.zeros(CLUSTERS), -np.inf
-
-    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = log.T.copy()
-        counts, own, held, size = np.zeros((CLUSTERS, vocabulary)), np.zeros(CLUSTERS + 1), [], 0
-
-        def gather() -> None:
-            ids, lengths = np.concatenate(held), np.array([len(x) for x in held])
-            fit = np.add.reduceat(by_id[ids], np.concatenate([[0], np.cumsum(lengths)[:-1]]), axis=0).astype(float) + prior
-            top = fit.max(1, keepdims=True)
-            belong = np.exp(fit - top)
-            share = belong.sum(1, keepdims=True)
-            own[-1] += (top + np.log(share)).sum()
-            belong /= share
-            own[:-1] += belong.sum(0)
-            for m in range(CLUSTERS):
-                some = belong[:, m] > 1e-12
-                if some.any():
-                    counts[m] += np.bincount(ids[np.repeat(some, lengths)], weights=np.repeat(belong[some, m], lengths[some]), minlength=vocabulary)
-
-        for ids, _ in documents(batches, True):
-            held.append(ids)
-            size += len(ids)
-            if size > 100_000:
-                gather()
-                held, size = [], 0
-        if held:
-            gather()
-        if own.any():
-            for part, piece in enumerate([own, *np.array_split(counts.ravel(), PARTS)]):
-                yield _counts("em", part, piece.tobytes())
-
-    def add(rows: pa.Table) -> pa.RecordBatch:
-        return _counts("em", rows.column("part")[0].as_py(), sum(np.frombuffer(c) for c in rows.column("counts").to_pylist()).tobytes())
-
-    for _ in range(CLUSTER_STEPS):
-        rows = runs_in_partition(tokens.mapInArrow(expect, "name string, part int, counts binary"), ["part"], add, "name string, part int, counts binary").collect()
-        if not rows:
-            break
-        own, *pieces = [np.frombuffer(r.counts) for r in sorted(rows, key=lambda r: r.part)]
-        counts = np.concatenate(pieces).reshape(CLUSTERS, vocabulary)
-        uni = counts.sum(0) + 0.05
-        uni /= uni.sum()
-        log = np.log((counts + 100 * uni) / (counts.sum(1, keepdims=True) + 100)).astype(np.float32)
-        prior = np.log((own[:-1] + 1) / (own[:-1].sum() + CLUSTERS))
-        if own[-1] - fitted < 1e-4 * abs(own[-1]):
-            break
-        fitted = own[-1]
-    return log
-
-
-def _slice(ids: np.ndarray, seed: int) -> np.ndarray:
-    at = seed % max(1, len(ids) - SLICE + 1)
-    return ids[at : at + SLICE]
-
-
-def fit(tokens: DataFrame, vocabulary: int) -> Model:
-    """Learn from the training documents of the token rows."""
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = nsmallest(SAMPLE, ((seed, _slice(ids, seed).tolist()) for ids, seed in documents(batches, True)))
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in best], pa.int64()), pa.array([x for _, x in best], pa.list_(pa.int32()))], names=["seed", "ids"])
-
-    sample = [np.array(r.ids, np.int32) for r in tokens.mapInArrow(choose, "seed long, ids array<int>").orderBy("seed").limit(SAMPLE).collect()]
-    log_clusters = cluster_all(tokens, cluster_documents(sample, vocabulary), vocabulary)
-    width, end = shuffle_width(tokens.sparkSession), vocabulary - 1
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log = log_clusters.T.copy()
-        uni, held, size = np.zeros((CLUSTERS, vocabulary), np.int64), [], 0
-
-        def gather() -> Iterator[pa.RecordBatch]:
-            last = np.concatenate([x for ids in held for x in (np.array([end]), ids[:-1])])
-            before = np.concatenate([x for ids in held for x in (np.array([end] * 2)[: len(ids)], ids[:-2])])
-            ids = np.concatenate(held)
-            for name, context in (("bi", last), ("tri", context_of(before, last))):
-                keys, n = np.unique(context << 16 | ids, return_counts=True)
-                bucket = (keys >> 16) % width
-                order = np.argsort(bucket, kind="stable")
-                bounds = np.searchsorted(bucket[order], np.arange(width + 1))
-                for b in range(width):
-                    own = order[bounds[b] : bounds[b + 1]]
-                    if len(own):
-                        yield _counts(name, b, _packed(np.diff(keys[own], prepend=0)) + _packed(n[own]))
-
-        for ids, _ in documents(batches, True):
-            ids = ids.astype(np.int64)
-            np.add.at(uni[int(log[ids].sum(0).argmax())], ids, 1)
-            held.append(ids)
-            size += len(ids)
-            if size > 1_000_000:
-                yield from gather()
-                held, size = [], 0
-        if held:
-            yield from gather()
-        for part, piece in enumerate(np.array_split(uni.ravel(), PARTS)):
-            yield _counts("uni", part, _packed(piece))
-
-    def add(rows: pa.Table) -> pa.RecordBatch:
-        name, part, data = rows.column("name")[0].as_py(), rows.column("part")[0].as_py(), rows.column("counts").to_pylist()
-        if name == "uni":
-            return _counts(name, part, _packed(sum(_unpacked(c) for c in data)))
-        keys, n = _summed([_gram_counts(c) for c in data])
-        keep = max(1, (BIGRAMS if name == "bi" else TRIGRAMS) // width)
-        if len(keys) > keep:  # the most frequent; ties by key
-            chosen = np.sort(np.lexsort((keys, -n))[:keep])
-            keys, n = keys[chosen], n[chosen]
-        return _counts(name, part, _packed(np.diff(keys, prepend=0)) + _packed(n))
-
-    gathered = runs_in_partition(tokens.mapInArrow(count, "name string, part int, counts binary"), ["name", "part"], add, "name string, part int, counts binary")
-    rows = sorted(gathered.collect(), key=lambda r: r.part)
-    uni = [_unpacked(r.counts) for r in rows if r.name == "uni"]
-    uni = np.concatenate(uni).reshape(CLUSTERS, vocabulary) if uni else np.zeros((CLUSTERS, vocabulary))
-    common = np.argsort(-uni.sum(0), kind="stable")
-    none = np.zeros(0, np.int64)
-    grams = {name: [_gram_counts(r.counts) for r in rows if r.name == name] or [(none, none)] for name in ("bi", "tri")}
-    tables = Tables.of(common, uni.astype(float), *(tuple(np.concatenate(x) for x in zip(*grams[name])) for name in ("bi", "tri")))
-    attention = Attention()
-    attention.train(tables, sample, end, epochs=5, rate=0.01)
-    start = attention.flat.copy()
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = Attention(start.copy()), 0
-
-        def whole() -> Iterator[np.ndarray]:
-            nonlocal seen
-            for ids, _ in documents(batches, True):
-                seen += len(ids)
-                yield ids
-
-        own.follow(tables, training_steps(whole(), end), rate=0.001)
-        for part, piece in enumerate(np.array_split(own.flat, PARTS) if seen else []):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seen], pa.int64()), pa.array([piece.tobytes()], pa.binary())], names=["part", "n", "weights"])
-
-    def average(rows: pa.Table) -> pa.RecordBatch:
-        n = rows.column("n").to_numpy()
-        mean = sum(k * np.frombuffer(c, np.float32).astype(float) for k, c in zip(n, rows.column("weights").to_pylist())) / n.sum()
-        return pa.RecordBatch.from_arrays([rows.column("part")[:1].combine_chunks(), pa.array([mean.astype(np.float32).tobytes()], pa.binary())], names=["part", "weights"])
-
-    learnt = runs_in_partition(tokens.mapInArrow(learn, "part int, n long, weights binary"), ["part"], average, "part int, weights binary").collect()
-    if learnt:
-        attention = Attention(np.concatenate([np.frombuffer(r.weights, np.float32) for r in sorted(learnt, key=lambda r: r.part)]))
-    return Model(tables, attention)
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 def _packed(values: np.ndarray) -> bytes:
-    """Integers, as 32 bits where they fit, with their count and packed size in front."""
+    """Integers, in 16 or 32 bits where they fit, with their count and packed size in front."""
     values = np.asarray(values)
-    narrow = not len(values) or (values.min() >= -(1 << 31) and values.max() < 1 << 31)
-    data = pa.compress(np.ascontiguousarray(values, np.int32 if narrow else np.int64).tobytes(), codec="zstd", asbytes=True)
-    return (len(values) << 1 | int(narrow)).to_bytes(8, "little") + len(data).to_bytes(8, "little") + data
-
+    kind = np.uint16 if not len(values) or values.min() >= 0 and values.max() < 1 << 16 else np.int32 if values.min() >= -(1 << 31) and values.max() < 1 << 31 else np.int64
+    data = pa.compress(np.ascontiguousarray(values, kind).tobytes(), codec="zstd", asbytes=True)
+    return (len(values) << 4 | np.dtype(kind).itemsize).to_bytes(8, "little") + len(data).to_bytes(8, "little") + data
 
-def _unpacked(data: bytes, at: int = 0) -> np.ndarray:
-    """int64 values of a packed array at a place."""
-    n, size = (int.from_bytes(data[at + i : at + i + 8], "little") for i in (0, 8))
-    kind = np.dtype(np.int32 if n & 1 else np.int64)
-    raw = pa.decompress(data[at + 16 : at + 16 + size], decompressed_size=(n >> 1) * kind.itemsize, codec="zstd", asbytes=True)
-    return np.frombuffer(raw, kind).astype(np.int64)
 
+def _arrays(data: bytes) -> list[np.ndarray]:
+    """int64 values of each of the packed arrays in a row."""
+    out, at = [], 0
+    while at < len(data):
+        n, size = (int.from_bytes(data[at + i : at + i + 8], "little") for i in (0, 8))
+        kind = np.dtype({2: np.uint16, 4: np.int32, 8: np.int64}[n & 15])
+        raw = pa.decompress(memoryview(data)[at + 16 : at + 16 + size], decompressed_size=(n >> 4) * kind.itemsize, codec="zstd", asbytes=True)
+        out.append(np.frombuffer(raw, kind).astype(np.int64))
+        at += 16 + size
+    return out
 
-def _gram_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    at = 16 + int.from_bytes(data[8:16], "little")
-    return np.cumsum(_unpacked(data)), _unpacked(data, at)
 
+_ROWS = "batch long, bucket int, data binary, counts binary, kind int"
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys with the sums of their counts."""
-    keys, n = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.add.reduceat(n, at) if len(at) else n
 
+def _row(batch: int, kind: int, bucket: int, data: bytes, counts: bytes = b"") -> pa.RecordBatch:
+    columns = [pa.array([batch], pa.int64()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary()), pa.array([counts], pa.binary()), pa.array([kind], pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["batch", "bucket", "data", "counts", "kind"])
 
-def _sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    return keys[order], counts[order]
 
+def _held_out(folds: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == 0, F.lit(False))
 
-def _counts(name: str, part: int, data: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["name", "part", "counts"])
 
+def pairs_of(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs last << 16 | id of documents laid end to end, and the place of each position's pair."""
+    last = np.concatenate([[end], ids[:-1]])
+    last[np.cumsum(sizes)[:-1]] = end
+    present = np.unique(np.append(ids, end))
+    n = len(present)
+    small = np.zeros(end + 1, np.int64)
+    small[present] = np.arange(n)
+    keys = small[last] * n + small[ids]
+    if n * n > DENSE:
+        found, place = np.unique(keys, return_inverse=True)
+    else:
+        flags = np.zeros(n * n, bool)
+        flags[keys] = True
+        found = np.flatnonzero(flags)
+        table = np.empty(n * n, np.int32)
+        table[found] = np.arange(len(found))
+        place = table[keys]
+    return present[found // n] << 16 | present[found % n], place
 
-SCORES, TOKENS, HEAD = -3, -2, -1  # rows of a batch beside its words by bucket
-class _Index(dict):
-    """word -> place in order of first use."""
 
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+def pair_buckets(pairs: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
+    """Buckets of pairs: those of one last id and one class are together."""
+    return (mix64(((pairs >> 16) << 16 | group[pairs & 0xFFFF]).astype(np.uint64) * MIX) % np.uint64(width)).astype(np.int64)
 
 
-_BLOBS = "batch long, bucket int, words binary, counts binary"
+def _by_bucket(bucket: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    bounds = np.searchsorted(bucket[order], np.arange(width + 1))
+    for b in range(width):
+        if bounds[b + 1] > bounds[b]:
+            yield b, order[bounds[b] : bounds[b + 1]]
 
 
-def score(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int], str] | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords."""
-    ranks, pattern = vocabulary or default_vocabulary()
-    width = shuffle_width(docs.sparkSession)
+def scan(docs: DataFrame, folds: int, ranks: dict[bytes, int], pattern: str, width: int) -> DataFrame:
+    """Rows of every kind but pairs, of batches of documents."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, ordinal = Tokens(ranks, pattern), 0
-        task = TaskContext.get().partitionId()
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, ordinal, task = Tokens(ranks, pattern), 0, TaskContext.get().partitionId()
+        counts = np.zeros(len(ranks) + 1, np.int64)
 
         def send(ids: list, held: list, texts: list) -> Iterator[pa.RecordBatch]:
             nonlocal ordinal
             batch, ordinal = task << 24 | ordinal, ordinal + 1
-            subwords = [tokens(text) for text in texts]
+            subwords = list(map(tokens, texts))
             sizes = np.array([len(x) for x in subwords], np.int64)
-            yield _row(batch, TOKENS, pa.compress(np.concatenate(subwords).tobytes(), codec="zstd", asbytes=True), _packed(np.array(held, np.int64)) + _packed(sizes))
+            seeds = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), seed=0 if i is None else i & 0xFFFFFFFFFFFFFFFF) >> 1 for i, x in zip(ids, subwords)], np.int64)
+            flat = np.concatenate(subwords)
+            counts[:] += np.bincount(flat[np.repeat(~np.array(held, bool), sizes)], minlength=len(counts))
+            yield _row(batch, TOKENS, 0, _packed(flat), _packed(np.array(held, np.int64)) + _packed(sizes) + _packed(seeds))
+            del subwords, flat
             index = _Index()
             refs, ptr = [], [0]
             for text in texts:
-                words = words_of(text)
-                refs += map(index.__getitem__, words)
+                refs += map(index.__getitem__, words_of(text))
                 ptr.append(len(refs))
-            refs = np.array(refs, np.int64)
+            refs, spans = np.array(refs, np.int64), np.diff(ptr)
             vocab = list(index)
             bucket = np.fromiter(map(xxhash.xxh3_64_intdigest, vocab), np.uint64, len(vocab)) % np.uint64(width)
             order = np.argsort(bucket, kind="stable")
             place = np.empty(len(vocab), np.int64)
             place[order] = np.arange(len(vocab))
-            train = np.repeat(~np.array(held, bool), np.diff(ptr))
-            counts = np.bincount(place[refs[train]], minlength=len(vocab))
+            flat = place[refs]
+            n = np.bincount(flat[np.repeat(~np.array(held, bool), spans)], minlength=len(vocab))
             bounds = np.searchsorted(bucket[order], np.arange(width + 1))
-            for b in range(width):
+            for b in np.flatnonzero(np.diff(bounds)).tolist():
                 lo, hi = bounds[b], bounds[b + 1]
-                if hi > lo:
-                    yield _row(batch, b, b" ".join(vocab[i] for i in order[lo:hi]), _packed(counts[lo:hi]))
-            flat = place[refs]
-            doc = np.repeat(np.arange(len(texts)), np.diff(ptr))
-            keys, tf = np.unique(doc * (len(vocab) + 1) + flat, return_counts=True)
-            ids_known = [x is not None for x in ids]
+                yield _row(batch, WORDS, b, b" ".join(vocab[i] for i in order[lo:hi]), _packed(n[lo:hi]))
+            keys, times = np.unique(np.repeat(np.arange(len(texts)), spans) * (len(vocab) + 1) + flat, return_counts=True)
             head = [
-                np.array([x or 0 for x in ids], np.int64), np.array(ids_known, np.int64), np.array(held, np.int64), np.diff(ptr), sizes,
-                np.bincount(keys // (len(vocab) + 1), minlength=len(texts)), keys % (len(vocab) + 1), tf,
+                np.array([x or 0 for x in ids], np.int64), np.array([x is not None for x in ids], np.int64), np.array(held, np.int64), spans,
+                np.bincount(keys // (len(vocab) + 1), minlength=len(texts)), keys % (len(vocab) + 1), times,
             ]
-            yield _row(batch, HEAD, b"".join(map(_packed, head)), b"")
+            yield _row(batch, HEADS, 0, b"".join(map(_packed, head)))
 
         ids, held, texts, size = [], [], [], 0
         for batch in (part for whole in batches for part in slices_of(whole)):
@@ -637,74 +201,207 @@ def score(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int],
                     ids, held, texts, size = [], [], [], 0
         if texts:
             yield from send(ids, held, texts)
+        for part, piece in enumerate(np.array_split(counts, PARTS)):
+            if piece.any():
+                yield _row(-1, IDS, part, b"", _packed(piece))
+
+    return docs.select("doc_id", "text", _held_out(folds).alias("held")).mapInArrow(per_task, _ROWS)
+
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, totals, counts = [], {}, []
-        for part in batches:
-            for batch, bucket, words, n in zip(*(part.column(c).to_pylist() for c in ("batch", "bucket", "words", "counts"))):
-                at = np.array([totals.setdefault(w, len(totals)) for w in words.split(b" ")], np.int64)
-                asked.append((batch, bucket, at))
-                counts.append(_unpacked(n))
+def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(ids, held out, seed) of the documents of token rows."""
+    for rows in (part for whole in batches for part in slices_of(whole, 1)):
+        ids, (held, sizes, seeds) = _arrays(rows.column("data")[0].as_py())[0], _arrays(rows.column("counts")[0].as_py())
+        yield from zip(np.split(ids, np.cumsum(sizes)[:-1]), held.tolist(), seeds.tolist())
+
+
+def id_counts(rows: DataFrame, size: int) -> np.ndarray:
+    """Counts of the subword ids in the training documents. rows: of kind IDS."""
+
+    def add(parts: pa.Table) -> pa.RecordBatch:
+        return _row(-1, IDS, parts.column("bucket")[0].as_py(), b"", _packed(sum(_arrays(c)[0] for c in parts.column("counts").to_pylist())))
+
+    pieces = np.array_split(np.zeros(size, np.int64), PARTS)
+    for r in runs_in_partition(rows, ["bucket"], add, _ROWS).select("bucket", "counts").collect():
+        pieces[r.bucket] = _arrays(r.counts)[0]
+    return np.concatenate(pieces)
+
+
+def train(tokens: DataFrame, vocabulary: Vocabulary, rows: int, end: int) -> Attention:
+    """Attention weights from every training document of the token rows, of rows documents in all."""
+    shards = min(SHARDS, max(1, -(-rows // (ROUNDS * SHARD_ROWS))))
+    attention = Attention(vocabulary)
+
+    def deal(turn: int):
+        def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = []
+            for ids, out, seed in documents(batches):
+                if not out and (seed >> 4) % ROUNDS == turn:
+                    held.append(((seed >> 8) % shards, seed, ids.astype(np.uint16).tobytes()))
+                if len(held) == 512:
+                    yield _deal_batch(held)
+                    held = []
+            if held:
+                yield _deal_batch(held)
+
+        return per_task
+
+    def learn(start: np.ndarray):
+        def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n = np.zeros(len(start), np.int64), 0
+            rows = ((shard, ids) for whole in batches for part in slices_of(whole) for shard, ids in zip(part.column("shard").to_pylist(), part.column("ids").to_pylist()))
+            following = next(rows, None)
+            while following:
+                shard, own = following[0], Attention(vocabulary, start.copy())
+
+                def mine() -> Iterator[np.ndarray]:
+                    nonlocal following
+                    while following and following[0] == shard:  # noqa: B023
+                        yield np.frombuffer(following[1], np.uint16)
+                        following = next(rows, None)
+
+                own.train(mine(), end)
+                total += np.rint(own.flat.astype(float) * FIXED).astype(np.int64)
+                n += 1
+            for part, piece in enumerate(np.array_split(total, PARTS) if n else []):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([piece.tobytes()], pa.binary())], names=["part", "n", "weights"])
+
+        return per_task
+
+    def add(parts: pa.Table) -> pa.RecordBatch:
+        total = sum(np.frombuffer(c, np.int64) for c in parts.column("weights").to_pylist())
+        return pa.RecordBatch.from_arrays([parts.column("part")[:1].combine_chunks(), pa.array([sum(parts.column("n").to_pylist())], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "n", "weights"])
+
+    fields = "part int, n long, weights binary"
+    for turn in range(ROUNDS):
+        dealt = tokens.mapInArrow(deal(turn), "shard long, seed long, ids binary").repartition(shards, "shard").sortWithinPartitions("shard", "seed")
+        learnt = sorted(runs_in_partition(dealt.mapInArrow(learn(attention.flat), fields), ["part"], add, fields).collect(), key=lambda r: r.part)
+        if learnt:
+            attention = Attention(vocabulary, np.concatenate([np.frombuffer(r.weights, np.int64) / (r.n * FIXED) for r in learnt]))
+    return attention
+
+
+def _deal_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    shard, seed, ids = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(seed, pa.int64()), pa.array(ids, pa.binary())], names=["shard", "seed", "ids"])
+
+
+def _meet_words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of one partition's buckets from all batches: their total counts go back."""
+    asked, totals, counts = [], {}, []
+    for part in parts:
+        for batch, bucket, words, n in zip(*(part.column(c).to_pylist() for c in ("batch", "bucket", "data", "counts"))):
+            asked.append((batch, bucket, np.array([totals.setdefault(w, len(totals)) for w in words.split(b" ")], np.int32)))
+            counts += _arrays(n)
+    if not asked:
+        return
+    total = np.zeros(len(totals), np.int64)
+    for (_, _, at), n in zip(asked, counts):
+        total[at] += n
+    yield _row(-1, WORDS, -1, b"", _packed(np.array([total.sum(), (total > 0).sum()])))
+    for batch, bucket, at in asked:
+        yield _row(batch, WORDS, bucket, b"", _packed(total[at]))
+
+
+def pair_logs(tokens: DataFrame, vocabulary: Vocabulary, end: int, width: int) -> DataFrame:
+    """Rows of kind PAIRS: the log10 probabilities inside the class of the distinct pairs of each batch, by bucket."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in (part for whole in batches for part in slices_of(whole, 1)):
+            ids, (held, sizes, _) = _arrays(rows.column("data")[0].as_py())[0], _arrays(rows.column("counts")[0].as_py())
+            pairs, place = pairs_of(ids, sizes, end)
+            n = np.bincount(place[np.repeat(held == 0, sizes)], minlength=len(pairs))
+            for b, own in _by_bucket(pair_buckets(pairs, vocabulary.group, width), width):
+                yield _row(rows.column("batch")[0].as_py(), PAIRS, b, _packed(np.diff(pairs[own], prepend=0)), _packed(n[own]))
+
+    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = [(batch, bucket, np.cumsum(_arrays(d)[0]).astype(np.uint32), _arrays(n)[0]) for part in parts for batch, bucket, d, n in zip(*(part.column(c).to_pylist() for c in ("batch", "bucket", "data", "counts")))]
         if not asked:
             return
-        total = np.zeros(len(totals), np.int64)
-        for (_, _, at), n in zip(asked, counts):
-            total[at] += n
-        yield _row(-1, -1, b"", _packed(np.array([total.sum(), (total > 0).sum()])))
-        for batch, bucket, at in asked:
-            yield _row(batch, bucket, b"", _packed(total[at]))
-
-    held = docs.select("doc_id", "text", _held_out(folds).alias("held"))
-    scanned = cut(held.mapInArrow(scan, _BLOBS))
-    replies = cut(scanned.where("bucket >= 0").repartition(width, "bucket").mapInArrow(meet, _BLOBS))
-    model = fit(scanned.where(F.col("bucket") == TOKENS), len(ranks) + 1)
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for i in range(rows.num_rows):
-                batch, out, held, size = rows.column("batch")[i].as_py(), [], [], 0
-
-                def flush() -> None:
-                    inputs, targets, starts = blocks(held, len(ranks))
-                    out.append(np.add.reduceat(model.attention.log10(model.tables, inputs, targets), starts - BLOCK))
-
-                for ids, _ in documents(iter([rows.slice(i, 1)]), False):
-                    held.append(ids)
-                    size += len(ids)
-                    if size > FLUSH:
-                        flush()
-                        held, size = [], 0
-                if held:
-                    flush()
-                yield _row(batch, SCORES, np.concatenate(out).tobytes(), b"")
-
-    rated = scanned.where(F.col("bucket") == TOKENS).mapInArrow(rate, _BLOBS)
+        pairs, place = np.unique(np.concatenate([x[2] for x in asked]), return_inverse=True)
+        n = np.bincount(place, weights=np.concatenate([x[3] for x in asked]))  # sums of integers, exact in doubles
+        pairs = pairs.astype(np.int64)
+        context, of = np.unique((pairs >> 16) << 16 | vocabulary.group[pairs & 0xFFFF], return_inverse=True)
+        logs = vocabulary.inside(pairs & 0xFFFF, n, np.bincount(of, weights=n, minlength=len(context))[of]).astype(np.float32)
+        lo = 0
+        for batch, bucket, keys, _ in asked:
+            yield _row(batch, PAIRS, bucket, logs[place[lo : lo + len(keys)]].tobytes())
+            lo += len(keys)
+
+    return tokens.mapInArrow(ask, _ROWS).repartition(width, "bucket").mapInArrow(meet, _ROWS)
+
+
+def _sums(logs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of stretches in units of 1 / FIXED, so that they do not depend on the order of the additions."""
+    return np.add.reduceat(np.rint(logs * FIXED).astype(np.int64), starts) / FIXED
+
+
+@dataclass
+class Fitted:
+    """What score needs: the scanned rows, the tables by id and the weights."""
+
+    rows: DataFrame
+    vocabulary: Vocabulary
+    attention: Attention
+    end: int
+    width: int
+
+    def of(self, kind: int) -> DataFrame:
+        return self.rows.where(F.col("kind") == kind)
+
+
+def fit(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int], str] | None = None) -> Fitted:
+    """Scan the documents and learn from the training ones."""
+    ranks, pattern = vocabulary or default_vocabulary()
+    if len(ranks) >= 1 << 16:
+        raise ValueError("the subword vocabulary must have fewer than 65536 ids")
+    width, end = shuffle_width(docs.sparkSession), len(ranks)
+    rows = cut(scan(docs, folds, ranks, pattern, width), "kind")
+    fitted = Fitted(rows, None, None, end, width)
+    fitted.vocabulary = Vocabulary.of(id_counts(fitted.of(IDS), end + 1))
+    fitted.attention = train(fitted.of(TOKENS), fitted.vocabulary, docs.count(), end)
+    return fitted
+
+
+def score(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int], str] | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_subwords."""
+    fitted = fit(docs, folds, vocabulary)
+    width, end, tables, attention = fitted.width, fitted.end, fitted.vocabulary, fitted.attention
+    replies = cut(fitted.of(WORDS).repartition(width, "bucket").mapInArrow(_meet_words, _ROWS))
     ends = docs.where(~_held_out(folds)).count()
-    stats = [_unpacked(r.counts) for r in replies.where("batch = -1").select("counts").collect()]
+    stats = [_arrays(r.counts)[0] for r in replies.where("batch = -1").select("counts").collect()]
     n = int(sum(s[0] for s in stats)) + ends
     v = int(sum(s[1] for s in stats)) + (1 if ends else 0)
     divisor = np.log10(n + 0.1 * (v + 1))
 
     def finish(rows: pa.Table) -> pa.RecordBatch:
-        order = np.argsort(rows.column("bucket").to_numpy(), kind="stable")
-        words, counts = rows.column("words").to_pylist(), rows.column("counts").to_pylist()
-        scores, data, at, head = np.frombuffer(words[order[0]], np.float64), words[order[1]], 0, []
-        while at < len(data):
-            head.append(_unpacked(data, at))
-            at += 16 + int.from_bytes(data[at + 8 : at + 16], "little")
-        ids, known_id, held_out, n_words, n_subwords, spans, refs, tf = head
-        c = np.concatenate([_unpacked(counts[i]) for i in order[2:]]) if len(order) > 2 else np.zeros(0, np.int64)
+        kinds, buckets = rows.column("kind").to_numpy(), rows.column("bucket").to_numpy()
+        data, counts = rows.column("data"), rows.column("counts")
+
+        def in_order(kind: int) -> list[int]:
+            at = np.flatnonzero(kinds == kind)
+            return at[np.argsort(buckets[at], kind="stable")].tolist()
+
+        ids, known_id, held_out, n_words, spans, refs, times = _arrays(data[in_order(HEADS)[0]].as_py())
+        words = in_order(WORDS)
+        c = np.concatenate([_arrays(counts[i].as_py())[0] for i in words]) if words else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(ids)), spans)
-        logs = np.bincount(doc, weights=tf * np.log10(c[refs] + 0.1), minlength=len(ids)) + np.log10(ends + 0.1) - (n_words + 1) * divisor
-        known = np.bincount(doc, weights=tf * (c[refs] > 0), minlength=len(ids)).astype(np.int64) + (1 if ends else 0)
+        base = np.bincount(doc, weights=times * np.log10(c[refs] + 0.1), minlength=len(ids)) + np.log10(ends + 0.1) - (n_words + 1) * divisor
+        known = np.bincount(doc, weights=times * (c[refs] > 0), minlength=len(ids)).astype(np.int64) + (1 if ends else 0)
+        at = in_order(TOKENS)[0]
+        subwords, sizes = _arrays(data[at].as_py())[0], _arrays(counts[at].as_py())[1]
+        inputs, targets, starts = layout(np.split(subwords, np.cumsum(sizes)[:-1]), end)
+        scores = _sums(attention.log10(inputs, targets, end), starts)
+        pairs, place = pairs_of(subwords, sizes, end)
+        logs = np.empty(len(pairs))
+        logs[np.argsort(pair_buckets(pairs, tables.group, width), kind="stable")] = np.concatenate([np.frombuffer(data[i].as_py(), np.float32) for i in in_order(PAIRS)])
+        scores += _sums(logs[place], np.cumsum(sizes) - sizes)
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=known_id == 0), pa.array(held_out == 1), pa.array(n_words + 1), pa.array(known), pa.array(np.full(len(ids), n)), pa.array(logs), pa.array(scores), pa.array(n_subwords)],
+            [pa.array(ids, mask=known_id == 0), pa.array(held_out == 1), pa.array(n_words + 1), pa.array(known), pa.array(np.full(len(ids), n)), pa.array(base), pa.array(scores), pa.array(sizes)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_subwords"],
         )
 
-    together = scanned.where(F.col("bucket") == HEAD).union(rated).union(replies.where("batch >= 0"))
+    inside = cut(pair_logs(fitted.of(TOKENS), tables, end, width))
+    names = [c.split()[0] for c in _ROWS.split(", ")]
+    together = fitted.of(HEADS).select(names).union(fitted.of(TOKENS).select(names)).union(replies.where("batch >= 0").select(names)).union(inside.select(names))
     return runs_in_partition(together, ["batch"], finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_subwords long")
-
-
-def _row(batch: int, bucket: int, words: bytes, counts: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([batch], pa.int64()), pa.array([bucket], pa.int32()), pa.array([words], pa.binary()), pa.array([counts], pa.binary())], names=["batch", "bucket", "words", "counts"])

@@ -88,8 +88,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{tempfile.gettempdir()}/docspan-local"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: write the rows to a table in the shared folder and read it back.
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Cut lineage: write the rows to a table in the shared folder, in folders by a column if asked, and read it back.
 
     Unlike a checkpoint this also drops the plan's inferred constraints, which grow with every round of
     an iteration. The folder of the application goes when its driver ends.
@@ -97,7 +97,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = f"{shared_dir(spark)}/docspan-{spark.sparkContext.applicationId}"
     path = f"{root}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(root)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
