@@ -8,14 +8,18 @@ ordered by their content alone, so the best of the equal ranges is shown by both
 shingles that are not common in the corpus; a table of fixed size marks common ones, and whatever it
 marks no link is lost. Sets that show an equal range fall into one coarse group.
 
-Inside a coarse group, pairs of blocks form tiles, whose members are sorted by size; hashed bitmaps bound
-each overlap from above (a bit set on one side only is a shingle the other side lacks) and the pairs left
-are verified by intersecting the sorted arrays. A tile returns a spanning forest of its links, never all
-pairs.
+Inside a coarse group, members are laid out by size band and, inside a band, in blocks by hash. A tile is a
+pair of blocks of the same or of neighbouring bands; other pairs of bands cannot link and make no tile. In a tile the
+members are sorted by size; hashed bitmaps bound each overlap from above (a bit set on one side only is a shingle
+the other side lacks) and the pairs left are verified by intersecting the sorted arrays exactly. Every pair of a
+coarse group that may link is tested once; a tile returns the number of links of each member and a spanning
+forest of them, never all pairs.
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; equal sets
-(repeated rows too) form one member and are linked with each other; an empty table gives an empty
-result. Columns other than doc_id and text are ignored.
+(repeated rows too) form one member and are linked with each other; a row without doc_id takes part, and has the
+component_id of the others in its class (null if none has a doc_id); an empty table gives an empty result; a
+similarity of exactly the threshold links. Very long texts are one set. Columns other than doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,12 +30,12 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.text import MIX, WordHashes, connected_components, cut, mix64, runs_in_partition, shingle_hashes, shuffle_width, slices_of, word_hashes, words_of
+from docspan.llm.text import MIX, WordHashes, connected_components, cut, hub_links, join_skewed, mix64, runs_in_partition, shingle_hashes, shuffle_width, slices_of, word_hashes, words_of
 
-BLOCK = 128  # members of a block; a tile holds two blocks at most
+BLOCK = 512  # members of a block, about; a tile holds two blocks at most
 COMMON = 1 << 20  # shingles that count as common, at most; the most frequent ones
 COMMON_TEXTS = 8  # different texts of its tasks that hold a common shingle, at least
 COMMON_BITS = 24  # the table of common shingles has 2 ** 24 bits
@@ -53,6 +57,11 @@ class Bands:
             self.high.append(max(self.low[-1], int(self.low[-1] / self.t)))
         return int(np.searchsorted(np.array(self.high), n))
 
+    def column(self, n: Column) -> Column:
+        """The band of a size as a Column."""
+        self.of(1 << 31)
+        return F.size(F.filter(F.lit(self.high), lambda h: h < n))
+
     def ranges(self, band: int) -> tuple[int, int]:
         """(m, e) for pairs whose smaller set is in the band."""
         k = int(self.high[band] * (1 - self.t) / self.t)
@@ -112,18 +121,16 @@ def _folded(words: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(words.reshape(-1, size), axis=0) if len(words) > size else words
 
 
-def member_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, sid (hash of the whole set; null for an empty one), n_shingles; and rows of bucket >= 0 with packed counts
+def member_sets(docs: DataFrame, k: int, width: int) -> DataFrame:
+    """doc_id, rid, sid (hash of the whole set; null for an empty one), n_shingles; and rows of bucket >= 0 with packed counts
     of the shingles that several different texts of a task hold."""
-    width = max(shuffle_width(docs.sparkSession), 1)
-
     def counted(sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         hashes, n = np.unique(np.concatenate(sets), return_counts=True)
         hashes, n = hashes[n > 1], n[n > 1]
         bucket = (hashes % np.uint64(width)).astype(np.int64)
         for b in np.unique(bucket).tolist():
             own = bucket == b
-            yield _member([None], [None], [None], [b], [hashes[own].tobytes() + n[own].astype(np.uint64).tobytes()])
+            yield _member([None], [None], [None], [None], [b], [hashes[own].tobytes() + n[own].astype(np.uint64).tobytes()])
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, seen, held, size = WordHashes(), set(), [], 0
@@ -141,21 +148,21 @@ def member_sets(docs: DataFrame, k: int) -> DataFrame:
                     yield from counted(held)
                     seen, held, size = set(), [], 0
             n = len(ids)
-            yield _member(batch.column("doc_id"), ids, sizes, [-1] * n, [None] * n)
+            yield _member(batch.column("doc_id"), batch.column("rid"), ids, sizes, [-1] * n, [None] * n)
         if held:
             yield from counted(held)
 
-    return docs.select("doc_id", "text").mapInArrow(per_batch, "doc_id long, sid long, n_shingles long, bucket int, counts binary")
+    return docs.select("doc_id", "rid", "text").mapInArrow(per_batch, "doc_id long, rid long, sid long, n_shingles long, bucket int, counts binary")
 
 
-def _member(doc_id, sid: list, n: list, bucket: list, counts: list) -> pa.RecordBatch:
-    columns = [doc_id if isinstance(doc_id, pa.Array) else pa.array(doc_id, pa.int64()), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(bucket, pa.int32()), pa.array(counts, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "sid", "n_shingles", "bucket", "counts"])
+def _member(*columns) -> pa.RecordBatch:
+    kinds = (("doc_id", pa.int64()), ("rid", pa.int64()), ("sid", pa.int64()), ("n_shingles", pa.int64()), ("bucket", pa.int32()), ("counts", pa.binary()))
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kind) for c, (_, kind) in zip(columns, kinds)], names=[name for name, _ in kinds])
 
 
-def common_shingles(counts: DataFrame) -> np.ndarray:
+def common_shingles(counts: DataFrame, width: int) -> np.ndarray:
     """Table of the most frequent shingles, summed by bucket across tasks. counts: bucket, counts."""
-    keep = max(1, COMMON // max(shuffle_width(counts.sparkSession), 1))
+    keep = max(1, COMMON // width)
 
     def add(rows: pa.Table) -> pa.RecordBatch | None:
         parts = [np.frombuffer(c, np.uint64).reshape(2, -1) for c in rows.column("counts").to_pylist()]
@@ -171,10 +178,8 @@ def common_shingles(counts: DataFrame) -> np.ndarray:
     return common_table(np.concatenate(found) if found else np.zeros(0, np.uint64))
 
 
-def coarse_links(docs: DataFrame, k: int, threshold: Fraction, table: np.ndarray) -> DataFrame:
-    """(a, b) set ids: each set that shows a range, with the smallest set that shows the same one."""
-    spark = docs.sparkSession
-    width = max(shuffle_width(spark), 1)
+def coarse_links(docs: DataFrame, k: int, threshold: Fraction, table: np.ndarray, width: int) -> DataFrame:
+    """(a, b) set ids: links that connect the sets that show the same range."""
 
     def send(sigs: list[np.ndarray], ids: list[np.ndarray]) -> pa.RecordBatch:
         sig, sid = np.concatenate(sigs), np.concatenate(ids)
@@ -216,11 +221,8 @@ def coarse_links(docs: DataFrame, k: int, threshold: Fraction, table: np.ndarray
         del parts
         order = np.lexsort((sid, sig))
         sig, sid = sig[order], sid[order]
-        new = np.empty(len(sig), bool)
-        new[0] = True
-        new[1:] = sig[1:] != sig[:-1]
-        first = sid[np.flatnonzero(new)[np.cumsum(new) - 1]]
-        links = np.unique(np.stack([first, sid], 1)[sid != first], axis=0)
+        once = np.concatenate([[True], (sig[1:] != sig[:-1]) | (sid[1:] != sid[:-1])])
+        links = np.unique(hub_links(sid[once], sig[once]), axis=0)
         for lo in range(0, len(links), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(links[lo : lo + 100_000, 0]), pa.array(links[lo : lo + 100_000, 1])], names=["a", "b"])
 
@@ -228,98 +230,149 @@ def coarse_links(docs: DataFrame, k: int, threshold: Fraction, table: np.ndarray
     return packed.repartition(width, "bucket").mapInArrow(meet, "a long, b long").distinct()
 
 
-def _forest(sids: list[int], sizes: np.ndarray, raw: list[bytes], side: np.ndarray, t: Fraction) -> list[tuple[int, int]]:
-    """Spanning forest of the links of a tile; side: the block of each member, -1 for a tile of one block."""
-    p, q = t.numerator, t.denominator
-    order = np.argsort(sizes, kind="stable")
-    arrays = [np.frombuffer(raw[i], np.uint64) for i in order]
-    sizes, side, sids = sizes[order], side[order], [sids[i] for i in order]
-    maps = [bitmap(a) for a in arrays]
-    parent = list(range(len(sids)))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
-    widths = np.array([len(m) for m in maps])
-    for i in range(len(sids) - 1):
+class Tile:
+    """Links among the members of a tile; side: the block of each member, all alike for a tile of one block."""
+
+    def __init__(self, sids: np.ndarray, sizes: np.ndarray, copies: np.ndarray, raw: list[bytes], side: np.ndarray, t: Fraction):
+        order = np.argsort(sizes, kind="stable")
+        self.sids, self.sizes, self.copies, self.side, self.t = sids[order], sizes[order], copies[order], side[order], t
+        arrays = [np.frombuffer(raw[i], np.uint64) for i in order]
+        self.maps = [bitmap(a) for a in arrays]
+        self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
+        known, self.flat = np.unique(np.concatenate(arrays), return_inverse=True)  # sorted arrays of small numbers
+        self.marks = np.zeros(len(known), np.uint8)
+        self.folded: dict[int, tuple[int, np.ndarray]] = {}
+
+    def _maps(self, width: int) -> tuple[int, np.ndarray]:
+        """First member whose bitmap has the width at least, and the bitmaps from it on, folded to the width."""
+        if width not in self.folded:
+            first = next(i for i, m in enumerate(self.maps) if len(m) >= width)
+            self.folded[width] = first, np.stack([_folded(m, width) for m in self.maps[first:]])
+        return self.folded[width]
+
+    def overlaps(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Exact sizes of the intersections of one sorted array with others."""
+        self.marks[self.flat[self.offsets[i] : self.offsets[i + 1]]] = 1
+        lengths = self.sizes[others]
+        ends = np.cumsum(lengths)
+        if len(others) == others[-1] - others[0] + 1:
+            hits = self.marks[self.flat[self.offsets[others[0]] : self.offsets[others[-1] + 1]]]
+        else:
+            hits = self.marks[self.flat[np.repeat(self.offsets[others] - (ends - lengths), lengths) + np.arange(ends[-1])]]
+        self.marks[self.flat[self.offsets[i] : self.offsets[i + 1]]] = 0
+        total = np.concatenate([[0], np.cumsum(hits, dtype=np.int64)])
+        return total[ends] - total[ends - lengths]
+
+    def links_of(self, i: int) -> np.ndarray:
+        """The members after i, in order of size, that link with it."""
+        p, q, sizes = self.t.numerator, self.t.denominator, self.sizes
         end = int(np.searchsorted(sizes, sizes[i] * q // p, side="right"))
         if end <= i + 1:
-            continue
-        others = np.arange(i + 1, end)
-        if side[i] >= 0:
-            others = others[side[others] != side[i]]
-        ri = root(i)
-        others = np.array([j for j in others if root(j) != ri], np.int64)
-        if not len(others):
-            continue
-        w = int(widths[i])  # the smaller set has the smaller bitmap; larger ones are folded onto it
-        mine = maps[i]
-        theirs = np.stack([_folded(maps[j], w) for j in others])
+            return np.zeros(0, np.int64)
+        first, maps = self._maps(len(self.maps[i]))  # larger bitmaps are folded onto the smaller set's
+        mine, theirs = maps[i - first], maps[i + 1 - first : end - first]
         lacks = np.bitwise_count(mine & ~theirs).sum(1, dtype=np.int64)
         extra = np.bitwise_count(theirs & ~mine).sum(1, dtype=np.int64)
-        bound = np.minimum(sizes[i] - lacks, sizes[others] - extra)
-        good = others[(p + q) * bound >= p * (sizes[i] + sizes[others])]
-        for j in good.tolist():
-            if root(j) == root(i):
+        bound = np.minimum(sizes[i] - lacks, sizes[i + 1 : end] - extra)
+        good = (p + q) * bound >= p * (sizes[i] + sizes[i + 1 : end])
+        if self.side[0] != self.side[-1] or (self.side != self.side[0]).any():
+            good &= self.side[i + 1 : end] != self.side[i]
+        others = i + 1 + np.flatnonzero(good)
+        if not len(others):
+            return others
+        both = self.overlaps(i, others)
+        return others[q * both >= p * (sizes[i] + sizes[others] - both)]
+
+    def solve(self) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+        """(forest, links of each member, documents that they stand for)."""
+        n = len(self.sids)
+        label, forest = np.arange(n), []
+        sets, docs = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for i in range(n - 1):
+            js = self.links_of(i)
+            if not len(js):
                 continue
-            both = len(np.intersect1d(arrays[i], arrays[j], assume_unique=True))
-            if q * both >= p * (len(arrays[i]) + len(arrays[j]) - both):
-                parent[root(j)] = root(i)
-                links.append((sids[i], sids[j]))
-    return links
-
-
-def exact_links(docs: DataFrame, members: DataFrame, groups: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """Verified links inside coarse groups, as a spanning forest of every tile."""
-    spark = docs.sparkSession
-    reps = members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
-    sized = groups.groupBy("label").agg(F.count("*").alias("g"))
-    wanted = cut(groups.join(sized, "label").withColumnRenamed("node", "sid").join(reps, "sid").select("sid", "rep", "label", "g", "n"))
-    if wanted.count() <= BROADCAST_MEMBERS:
+            sets[i] += len(js)
+            sets[js] += 1
+            docs[i] += self.copies[js].sum()
+            docs[js] += self.copies[i]
+            roots, first = np.unique(label[js], return_index=True)
+            for root, j in zip(roots.tolist(), js[first].tolist()):
+                if root != label[i]:
+                    forest.append((int(self.sids[i]), int(self.sids[j])))
+                    label[label == root] = label[i]
+        return forest, sets, docs
+
+
+def exact_links(docs: DataFrame, heads: DataFrame, groups: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """Verified links inside coarse groups: rows (a, b) of a spanning forest of every tile, and rows (a, null, sets, docs)
+    with the number of links of a set in a tile."""
+    bands = Bands(threshold)
+    placed = groups.withColumnRenamed("node", "sid").join(heads.select("sid", "rid", "n", "copies"), "sid").withColumn("band", bands.column(F.col("n")))
+    placed = cut(placed.select("sid", "rid", "label", "n", "copies", "band"))
+    sized = placed.groupBy("label", "band").agg(F.count("*").alias("g")).groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("g") / BLOCK).cast("int")))).alias("blocks"))
+    wanted = cut(join_skewed(placed, cut(sized), "label"))
+    if wanted.limit(BROADCAST_MEMBERS + 1).count() <= BROADCAST_MEMBERS:
         wanted = F.broadcast(wanted)
-    chosen = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep")
+    chosen = docs.select("rid", "text").join(wanted, "rid").drop("rid")
+    passed = ["sid", "label", "n", "copies", "band"]
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in (part for whole in batches for part in slices_of(whole)):
             sets = [shingle_hashes(word_hashes(words_of(t), memo), k).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("sid", "label", "g", "n")] + [pa.array(sets, pa.binary())], names=["sid", "label", "g", "n", "shingles"])
-
-    sets = chosen.select("sid", "label", "g", "n", "text").mapInArrow(arrays, "sid long, label long, g long, n long, shingles binary").dropDuplicates(["sid"])
-    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
-    placed = sets.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-    tiles = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "n", "shingles"
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*passed, "blocks")), pa.array(sets, pa.binary())], names=[*passed, "blocks", "shingles"])
+
+    sets = chosen.select(*passed, "blocks", "text").mapInArrow(arrays, "sid long, label long, n long, copies long, band int, blocks map<int,int>, shingles binary").dropDuplicates(["sid"])
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks")[F.col("band")]).cast("int")
+    mine = F.struct("band", own.alias("block"))
+    near = F.flatten(
+        F.transform(
+            F.filter(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1), lambda b: F.map_contains_key("blocks", b)),
+            lambda b: F.transform(F.sequence(F.lit(0), F.element_at("blocks", b) - 1), lambda block: F.struct(b.alias("band"), block.alias("block"))),
+        )
     )
+    tiles = sets.withColumn("mine", mine).withColumn("other", F.explode(near))
+    low, high = F.least("mine", "other"), F.greatest("mine", "other")
+    tiles = tiles.select("label", low["band"].alias("i"), low["block"].alias("ii"), high["band"].alias("j"), high["block"].alias("jj"), F.xxhash64("mine").alias("side"), "sid", "n", "copies", "shingles")
 
     def verify(tile: pa.Table) -> pa.RecordBatch | None:
         if tile.num_rows < 2:
             return None
-        block = tile.column("block").to_numpy()
-        one = tile.column("i")[0].as_py() == tile.column("j")[0].as_py()
-        links = _forest(tile.column("sid").to_pylist(), tile.column("n").to_numpy(), tile.column("shingles").to_pylist(), np.full(len(block), -1) if one else block, threshold)
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"]) if links else None
+        side, one = tile.column("side").to_numpy(), all(tile.column(a)[0].as_py() == tile.column(b)[0].as_py() for a, b in (("i", "j"), ("ii", "jj")))
+        if not one and (side == side[0]).all():
+            return None
+        work = Tile(tile.column("sid").to_numpy(), tile.column("n").to_numpy(), tile.column("copies").to_numpy(), tile.column("shingles").to_pylist(), side, threshold)
+        forest, linked, linked_docs = work.solve()
+        at = np.flatnonzero(linked)
+        if not len(at):
+            return None
+        none = [None] * len(at)
+        a, b = [x for x, _ in forest] + work.sids[at].tolist(), [x for _, x in forest] + none
+        empty = [None] * len(forest)
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, empty + linked[at].tolist(), empty + linked_docs[at].tolist())], names=["a", "b", "sets", "docs"])
 
-    return runs_in_partition(tiles, ["label", "i", "j"], verify, "a long, b long")
+    return runs_in_partition(tiles, ["label", "i", "ii", "j", "jj"], verify, "a long, b long, sets long, docs long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), set_links (forest links of its set)."""
-    docs = docs.select("doc_id", "text")
-    passed = cut(member_sets(docs, k))
-    members = passed.where("bucket = -1").select("doc_id", "sid", "n_shingles")
-    table = common_shingles(passed.where("bucket >= 0").select("bucket", "counts"))
-    groups = connected_components(coarse_links(docs, k, threshold, table))
-    links = cut(exact_links(docs, members, groups, k, threshold))
-    classes = connected_components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("set_links"))
-    heads = members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("head"))
-    named = heads.join(classes, F.col("sid") == F.col("node"), "left").join(degree.withColumnRenamed("node", "dnode"), F.col("sid") == F.col("dnode"), "left")
-    named = named.select("sid", "head", F.coalesce("label", "sid").alias("class"), F.coalesce("set_links", F.lit(0)).alias("set_links"))
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (documents linked with it), set_links
+    (different shingle sets linked with its own)."""
+    width = shuffle_width(docs.sparkSession, docs.count())
+    docs = docs.select("doc_id", "text").withColumn("rid", F.xxhash64("doc_id", "text"))
+    passed = cut(member_sets(docs, k, width))
+    members = passed.where("bucket = -1").select("doc_id", "rid", "sid", "n_shingles")
+    table = common_shingles(passed.where("bucket >= 0").select("bucket", "counts"), width)
+    heads = cut(members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("head"), F.min("rid").alias("rid"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")))
+    groups = connected_components(coarse_links(docs, k, threshold, table, width))
+    found = cut(exact_links(docs, heads, groups, k, threshold))
+    classes = connected_components(found.where("b is not null").select("a", "b"))
+    degrees = found.where("b is null").groupBy(F.col("a").alias("sid")).agg(F.sum("sets").alias("set_links"), F.sum("docs").alias("doc_links"))
+    named = heads.join(classes.select(F.col("node").alias("sid"), "label"), "sid", "left").join(degrees, "sid", "left")
+    links = F.col("copies") - 1 + F.coalesce("doc_links", F.lit(0))
+    named = cut(named.select("sid", "head", F.coalesce("label", "sid").alias("class"), F.coalesce("set_links", F.lit(0)).alias("set_links"), links.alias("n_links")))
     ids = named.groupBy("class").agg(F.min("head").alias("component_id"))
-    by_set = named.join(ids, "class").select("sid", "component_id", "set_links")
-    return members.join(by_set, "sid", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("set_links", F.lit(0)).alias("set_links"))
+    by_set = cut(join_skewed(named, cut(ids), "class").select("sid", "component_id", "n_links", "set_links"))
+    out = join_skewed(members.select("doc_id", "sid", "n_shingles"), by_set, "sid")
+    none = F.lit(0).cast("long")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", none).alias("n_links"), F.coalesce("set_links", none).alias("set_links"))
