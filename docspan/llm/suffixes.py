@@ -3,18 +3,19 @@
 Every 200-byte string (window) is owned by one anchor, the 32-byte gram of smallest hash inside it; equal
 windows are owned by equal anchors at the same offset. So only windows of anchors that occur twice can
 repeat, and the text is cut into anchor runs (consecutive windows with the same owner). Runs that are equal
-as a whole repeat without further work. The other runs of an anchor that occurs twice go, with their bytes,
-to shards by anchor. A shard sorts its suffixes to 200 bytes by Larsson-Sadakane refinement in numpy (ranks
-of h bytes refine the groups that are still tied to 2h bytes) and takes the common prefixes of neighbours,
-clipped at 200; neighbours that share 200 bytes repeat. Common prefixes are found eight bytes at a time for
-all neighbours at once in place of Kasai's position-by-position loop, whose values they are.
+as a whole, by a 128-bit hash of their bytes, repeat without further work. The other runs of an anchor that occurs
+twice go, with their bytes, to shards by anchor. A shard sorts its suffixes to 200 bytes by Larsson-Sadakane
+refinement in numpy (ranks of h bytes refine the groups that are still tied to 2h bytes) and finds the common
+prefixes of neighbours by Kasai's rule, in many stretches of the text at once: a suffix shares one byte less with
+the suffix before it than its predecessor in the text did. Neighbours that share 200 bytes repeat.
 An anchor with many runs is split into several shards. Windows that are not settled inside such a shard, and
-one of each kind that is, meet those of the other shards by binary search in sorted fingerprints, dealt out
+one of each kind that is, meet those of the other shards by binary search in sorted 128-bit fingerprints, dealt out
 by fingerprint so that no task holds them all.
 
 Defined results: texts are their UTF-8 bytes; null and empty texts have no bytes; texts shorter than a window
-lose nothing; repeated rows are documents of their own, and each loses all its bytes if it has 200; an empty
-table gives no rows; columns other than doc_id and text are ignored.
+lose nothing; repeated rows are documents of their own, and each loses all its bytes if it has 200; a row without
+doc_id is a document; an empty table gives no rows; of equal strings (ties) all go, the first too; very long texts
+are cut into runs a stretch at a time; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspan.llm.text import MIX, cut, mix64, runs_in_partition, shuffle_width, slices_of
+from docspan.llm.text import MIX, MIX2, cut, join_skewed, mix64, runs_in_partition, shuffle_width, slices_of
 
 WINDOW = 200
 GRAM = 32
@@ -37,6 +38,7 @@ STRETCH = 1 << 22  # bytes of a text that are taken up at once
 BATCH_BYTES = 8 << 20
 SHARD_RUNS = 100  # runs of one anchor in a shard, at most
 SHARD_BYTES = 1 << 20  # shards are sorted together up to this size
+STEPS = 64  # positions of a stretch in Kasai's rule
 ONCE, SAME, DIFFERENT, CHIEF = 1, 2, 3, 4  # how often an anchor or a run occurs; the run that stands for equal ones
 
 
@@ -65,16 +67,16 @@ def anchor_runs(raw: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tupl
     return starts, np.diff(np.append(starts, n)), h[owner]
 
 
-def text_runs(raw: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor hash, hash of the run's bytes) over a whole text."""
+def text_runs(raw: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(first window, number of windows, anchor hash, low and high half of the 128-bit hash of the run's bytes) over a whole text."""
     parts, view = [], memoryview(raw)
     for lo in range(0, max(1, len(raw) - window + 1), STRETCH):
         piece = np.frombuffer(view[lo : lo + STRETCH + window - 1], np.uint8)
         starts, counts, anchors = anchor_runs(piece, window, gram)
         ends = starts + counts + window - 1
-        digest = xxhash.xxh3_64_intdigest
-        whole = np.fromiter((digest(view[a:b]) for a, b in zip((starts + lo).tolist(), (ends + lo).tolist())), np.uint64, len(starts))
-        parts.append((starts + lo, counts, anchors, whole))
+        digest = xxhash.xxh3_128_digest
+        whole = np.frombuffer(b"".join(digest(view[a:b]) for a, b in zip((starts + lo).tolist(), (ends + lo).tolist())), np.uint64).reshape(-1, 2)
+        parts.append((starts + lo, counts, anchors, whole[:, 0], whole[:, 1]))
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -87,8 +89,8 @@ def eight_bytes(text: np.ndarray) -> np.ndarray:
     return k[: len(text)]
 
 
-def sorted_windows(text: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """The given starts in the order of their next window bytes (Larsson-Sadakane refinement)."""
+def sorted_suffixes(text: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """All places of the text in the order of their next window bytes (Larsson-Sadakane refinement); ties by place."""
     n = len(text)
     k8 = eight_bytes(text)
     order = np.argsort(k8, kind="stable")
@@ -110,7 +112,16 @@ def sorted_windows(text: np.ndarray, starts: np.ndarray, window: int = WINDOW) -
         rank[order] = refined
         sizes = np.bincount(rank[:n], minlength=n)
         h *= 2
-    return starts[np.argsort((rank[starts] << 32) | (rank[starts + window - h] + 1), kind="stable")]
+    out = np.empty(n, np.int64)
+    alone = sizes[rank[:n]] == 1
+    out[rank[:n][alone]] = np.flatnonzero(alone)
+    tied = np.flatnonzero(~alone)
+    if len(tied):
+        tied = tied[np.argsort((rank[tied] << 32) | (rank[tied + window - h] + 1), kind="stable")]
+        a = rank[tied]
+        new = np.concatenate([[True], a[1:] != a[:-1]])
+        out[a + np.arange(len(tied)) - _group_starts(new)] = tied
+    return out
 
 
 def _group_starts(new: np.ndarray) -> np.ndarray:
@@ -118,26 +129,60 @@ def _group_starts(new: np.ndarray) -> np.ndarray:
     return at[np.cumsum(new) - 1]
 
 
-def common_prefixes(k8: np.ndarray, order: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Common prefix of each start with the one before it in order, in whole eights and clipped at window."""
-    out = np.zeros(len(order), np.int64)
-    left = np.arange(1, len(order))
-    for at in [*range(0, window - 8, 8), window - 8]:
-        same = k8[order[left] + at] == k8[order[left - 1] + at]
-        left = left[same]
-        out[left] = at + 8
-        if not len(left):
-            break
+_BYTE = [np.uint64(1 << 8 * i) for i in range(1, 8)]
+
+
+def kasai(k8: np.ndarray, order: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Common prefix of each place with the one before it in order, up to window bytes, by place.
+
+    Kasai's rule: if place i shares h bytes with the place p before it, then i + 1 shares h - 1 with p + 1, and with
+    all that lies between them in the order, if p + 1 comes before i + 1 (which ties beyond the window can turn
+    round; then the prefix is measured anew). Stretches of STEPS places go through the text side by side.
+    """
+    n = len(order)
+    place = np.empty(n + 1, np.int64)
+    place[order], place[n] = np.arange(n), n
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    padded = np.concatenate([k8, np.zeros(window + 8, np.uint64)])
+    out = np.zeros(n, np.int64)
+    lanes = np.arange(0, n, STEPS)
+    h, last = np.zeros(len(lanes), np.int64), np.full(len(lanes), -1, np.int64)
+    for step in range(STEPS):
+        i = lanes + step
+        if i[-1] >= n:  # only the last stretch can be shorter
+            lanes, i, h, last = lanes[:-1], i[:-1], h[:-1], last[:-1]
+            if not len(i):
+                break
+        p = before[i]
+        follows = (last >= 0) & (place[last + 1] < place[i])
+        h = np.where(follows & (p >= 0), np.maximum(h - 1, 0), 0)
+        limit = np.where(p >= 0, np.minimum(window, n - np.maximum(i, p)), 0)
+        active = np.flatnonzero(h < limit)
+        while len(active):
+            reach = h[active]
+            differ = padded[i[active] + reach] ^ padded[p[active] + reach]
+            same = differ == 0
+            ended = differ[~same]
+            h[active[~same]] += 7 - sum((ended >= b).astype(np.int64) for b in _BYTE)
+            h[active[same]] += 8
+            active = active[same & (h[active] < limit[active])]
+        h = np.minimum(h, limit)
+        out[i] = h
+        last = p
     return out
 
 
 def fingerprints(k8: np.ndarray, starts: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """64-bit hashes of windows."""
-    h = np.full(len(starts), np.uint64(window))
+    """(2, n): low and high half of 128-bit hashes of windows, from two chains of multiplications."""
+    low, high = np.full(len(starts), np.uint64(window)), np.full(len(starts), ~np.uint64(window))
     for at in [*range(0, window - 8, 8), window - 8]:
-        h = (h ^ k8[starts + at]) * MIX
-        h ^= h >> np.uint64(29)
-    return mix64(h)
+        part = k8[starts + at]
+        low = (low ^ part) * MIX
+        low ^= low >> np.uint64(29)
+        high = (high + part) * MIX2
+        high ^= high >> np.uint64(32)
+    return np.stack([mix64(low), mix64(high)])
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -178,7 +223,7 @@ def _place_batch(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
 
 def repeated_places(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """key, runs: (first window, number) of repeated windows, by document key; a key may have several rows. docs: key, text."""
-    width = shuffle_width(docs.sparkSession)
+    width = shuffle_width(docs.sparkSession, docs.count())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, ordinal = TaskContext.get().partitionId(), 0
@@ -187,13 +232,16 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             nonlocal ordinal
             batch, ordinal = task << 24 | ordinal, ordinal + 1
             keys = np.repeat(np.array([h[0] for h in held], np.int64), [len(h[1]) for h in held])
-            starts, counts, anchors, whole = (np.concatenate(x) for x in list(zip(*held))[1:])
+            starts, counts, anchors, whole, half = (np.concatenate(x) for x in list(zip(*held))[1:])
             refs = []
-            for kind, hashes in ((0, anchors), (1, mix64(anchors * MIX + whole))):
-                by = np.lexsort((whole, hashes))
-                at = np.flatnonzero(np.concatenate([[True], hashes[by][1:] != hashes[by][:-1]]))
+            for kind, hashes, other in ((0, anchors, whole), (1, mix64(anchors * MIX + whole), half)):
+                by = np.lexsort((other, hashes))
+                new = np.concatenate([[True], hashes[by][1:] != hashes[by][:-1]])
+                if kind == 1:  # runs are equal if both halves are
+                    new[1:] |= other[by][1:] != other[by][:-1]
+                at = np.flatnonzero(new)
                 n = np.diff(np.append(at, len(by)))
-                low, high = whole[by][at], whole[by][at + n - 1]
+                low, high = other[by][at], other[by][at + n - 1]
                 distinct = hashes[by][at]
                 ref = np.empty(len(by), np.int64)
                 ref[by] = np.repeat(np.arange(len(at)), n)
@@ -207,8 +255,7 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
                 for b in range(width):
                     own = order[bounds[b] : bounds[b + 1]]
                     if len(own):
-                        data = np.concatenate([distinct[own], low[own]]) if kind == 0 else distinct[own]
-                        yield _ask(batch, b, kind, data.tobytes(), codes[own].tobytes())
+                        yield _ask(batch, b, kind, np.concatenate([distinct[own], low[own]]).tobytes(), codes[own].tobytes())
             # refs rise and fall with hashes, so they take their bytes; starts and counts compress
             head = [keys.tobytes(), starts.astype(np.int64).tobytes(), counts.astype(np.int64).tobytes(), refs[0].astype(np.int64).tobytes(), refs[1].astype(np.int64).tobytes(), anchors.tobytes()]
             yield _ask(batch, -1, -1, _pack(np.frombuffer(b"".join(head), np.int64)), b"")
@@ -232,11 +279,13 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             if not mine:
                 continue
             sizes = [len(x[4]) for x in mine]
-            hashes = np.concatenate([x[3][:n] for x, n in zip(mine, sizes)])
-            runs = np.concatenate([x[3][n:] for x, n in zip(mine, sizes)]) if kind == 0 else np.zeros(len(hashes), np.uint64)
+            hashes, runs = (np.concatenate([x[3][lo * n : (lo + 1) * n] for x, n in zip(mine, sizes)]) for lo in (0, 1))
             codes = np.concatenate([x[4] for x in mine])
-            order = np.lexsort((np.arange(len(hashes)), runs, hashes) if kind == 0 else (np.arange(len(hashes)), hashes))
-            at = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]))
+            order = np.lexsort((np.arange(len(hashes)), runs, hashes))
+            new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+            if kind == 1:
+                new[1:] |= runs[order][1:] != runs[order][:-1]
+            at = np.flatnonzero(new)
             n = np.diff(np.append(at, len(order)))
             code = np.maximum.reduceat(codes[order], at)
             code = np.where(n > 1, np.maximum(code, SAME), code)
@@ -284,7 +333,7 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
 def shared_windows(docs: DataFrame, open_runs: DataFrame, window: int) -> DataFrame:
     """key, runs of the windows in open runs (k, open) that repeat in another run of the same anchor."""
-    width = shuffle_width(docs.sparkSession)
+    width = shuffle_width(docs.sparkSession, docs.count())
     joined = docs.join(open_runs, F.col("key") == F.col("k"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,8 +351,8 @@ def shared_windows(docs: DataFrame, open_runs: DataFrame, window: int) -> DataFr
 
     runs = joined.select("key", "text", "open").mapInArrow(extract, "anchor long, key long, start long, n long, bytes binary")
     runs = cut(runs)
-    large = runs.groupBy("anchor").agg(F.count("*").alias("times")).where(F.col("times") > SHARD_RUNS).select(F.col("anchor").alias("a"), F.ceil(F.col("times") / SHARD_RUNS).cast("int").alias("shards"))
-    dealt = runs.join(large, F.col("anchor") == F.col("a"), "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("shard", F.pmod(F.xxhash64("key", "start"), F.col("shards")).cast("int"))
+    large = runs.groupBy("anchor").agg(F.count("*").alias("times")).where(F.col("times") > SHARD_RUNS).select("anchor", F.ceil(F.col("times") / SHARD_RUNS).cast("int").alias("shards"))
+    dealt = join_skewed(runs, cut(large), "anchor").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("shard", F.pmod(F.xxhash64("key", "start"), F.col("shards")).cast("int"))
     dealt = dealt.select("anchor", "shard", "shards", "key", "start", "n", "bytes").repartition(width, "anchor", "shard").sortWithinPartitions("anchor", "shard")
 
     def sort_shard(rows: dict[str, np.ndarray | list]) -> Iterator[pa.RecordBatch]:
@@ -318,31 +367,33 @@ def shared_windows(docs: DataFrame, open_runs: DataFrame, window: int) -> DataFr
         k8 = eight_bytes(text)
         of = np.full(len(text), -1, np.int64)
         of[starts] = np.arange(len(starts))
-        order = sorted_windows(text, starts, window)
-        same = common_prefixes(k8, order, window) >= window
-        twice = same.copy()
-        twice[:-1] |= same[1:]
+        order = sorted_suffixes(text, window)
+        kind = np.cumsum(kasai(k8, order, window)[order] < window)  # equal windows are of one kind
+        window_of = of[order]
+        kind, window_of = kind[window_of >= 0], window_of[window_of >= 0]  # places near the end of a run start no window
+        new = np.concatenate([[True], kind[1:] != kind[:-1]])
+        size = np.diff(np.append(np.flatnonzero(new), len(kind)))
         repeated = np.zeros(len(starts), bool)
-        repeated[of[order[twice]]] = True
+        repeated[window_of[np.repeat(size > 1, size)]] = True
         found = list(_places(*_consecutive(rows["key"][run[repeated]], rows["start"][run[repeated]] + within[repeated])))
         for lo in range(0, len(found), 5_000):
             part = found[lo : lo + 5_000]
             yield _batch({"key": ([k for k, _ in part], pa.int64()), "runs": ([r for _, r in part], pa.binary()), "bucket": ([-1] * len(part), pa.int32()), "data": ([None] * len(part), pa.binary())})
         # of split anchors, one window of each kind meets the other shards
         kind_first = np.zeros(len(starts), bool)
-        kind_first[of[order[~same]]] = True
+        kind_first[window_of[new]] = True
         away = np.flatnonzero(kind_first & (rows["shards"][run] > 1))
         if not len(away):
             return
         prints = fingerprints(k8, starts[away], window)
-        bucket = (prints % np.uint64(width)).astype(np.int64)
+        bucket = (prints[0] % np.uint64(width)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        away, prints = away[order], prints[order]
+        away, prints = away[order], prints[:, order].view(np.int64)
         bounds = np.searchsorted(bucket[order], np.arange(width + 1))
         for b in range(width):
             own = away[bounds[b] : bounds[b + 1]]
             if len(own):
-                data = [prints[bounds[b] : bounds[b + 1]].view(np.int64), rows["key"][run[own]], rows["start"][run[own]] + within[own], repeated[own].astype(np.int64)]
+                data = [*prints[:, bounds[b] : bounds[b + 1]], rows["key"][run[own]], rows["start"][run[own]] + within[own], repeated[own].astype(np.int64)]
                 yield _batch({"key": ([0], pa.int64()), "runs": ([None], pa.binary()), "bucket": ([b], pa.int32()), "data": ([_pack(np.concatenate(data))], pa.binary())})
 
     def sort_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,12 +430,16 @@ def shared_windows(docs: DataFrame, open_runs: DataFrame, window: int) -> DataFr
     sorted_ = cut(dealt.mapInArrow(sort_shards, "key long, runs binary, bucket int, data binary"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(d, np.int64).reshape(4, -1) for batch in batches for d in batch.column("data").to_pylist()]
+        parts = [_unpack(d, np.int64).reshape(5, -1) for batch in batches for d in batch.column("data").to_pylist()]
         if not parts:
             return
-        prints, keys, starts, known = np.concatenate(parts, axis=1)
-        merged = np.sort(prints)
-        times = np.searchsorted(merged, prints, side="right") - np.searchsorted(merged, prints, side="left")
+        low, high, keys, starts, known = np.concatenate(parts, axis=1)
+        order = np.lexsort((high, low))
+        new = np.concatenate([[True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])])
+        numbers = np.cumsum(new)  # sorted; a fingerprint is one number
+        prints = np.empty(len(order), np.int64)
+        prints[order] = numbers
+        times = np.searchsorted(numbers, prints, side="right") - np.searchsorted(numbers, prints, side="left")
         new = (times > 1) & (known == 0)
         found = list(_places(*_consecutive(keys[new], starts[new])))
         if found:

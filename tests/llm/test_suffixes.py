@@ -58,14 +58,47 @@ def test_texts_in_stretches(monkeypatch):
     assert parts[1].sum() == len(raw) - 199 and set(whole[2]) == set(parts[2])
 
 
-@pytest.mark.parametrize("n", [50, 700])
-def test_sorted_windows(n):
+def lcp(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize(("n", "letters", "steps"), [(50, 2, 64), (700, 2, 64), (3000, 1, 7), (3000, 3, 64), (1, 2, 64), (900, 2, 1)])
+def test_suffix_order_and_kasai(n, letters, steps, monkeypatch):
     import numpy as np
 
-    text = np.random.default_rng(n).integers(97, 99, n + 200, dtype=np.uint8)
-    starts = np.arange(n)
-    order = suffixes.sorted_windows(text, starts)
-    keys = [text[i : i + 200].tobytes() for i in order]
+    monkeypatch.setattr(suffixes, "STEPS", steps)
+    r = np.random.default_rng(n)
+    text = r.integers(97, 97 + letters, n, dtype=np.uint8)
+    if letters == 3:  # long repeats
+        text = np.concatenate([text, text[100:900], text[:700], text[100:900]])
+    raw = text.tobytes()
+    order = suffixes.sorted_suffixes(text)
+    assert sorted(order.tolist()) == list(range(len(text)))
+    keys = [raw[i : i + 200] for i in order]
     assert keys == sorted(keys)
-    same = suffixes.common_prefixes(suffixes.eight_bytes(text), order)
-    assert [x >= 200 for x in same[1:]] == [a == b for a, b in zip(keys, keys[1:])]
+    got = suffixes.kasai(suffixes.eight_bytes(text), order)[order]
+    assert got.tolist() == [0, *(lcp(a, b) for a, b in zip(keys, keys[1:]))]
+
+
+def test_hot_anchor_and_rows_without_doc_id(spark, monkeypatch):
+    from docspan.llm import text
+
+    monkeypatch.setattr(text, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(text, "HOT_ROWS", 2)
+    monkeypatch.setattr(suffixes, "SHARD_RUNS", 5)
+    common = "the passage that many documents share, " * 6
+    rows = [(i if i % 7 else None, f"lead {i} " + common + f" tail {i * i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(brute([t for _, t in rows]))
+    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(docs).collect()) == want
+
+
+def test_a_very_long_text(spark):
+    import random
+
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefgh", k=r.randint(2, 8))) for _ in range(3000)]
+    long = " ".join(r.choices(words, k=500_000))
+    docs = spark.createDataFrame([(1, long), (2, long[1_000_000:1_000_500])], "doc_id long, text string")
+    got = {x.doc_id: (x.n_removed, x.n_spans) for x in suffixes.remove_repeats(docs).collect()}
+    assert got == {1: (500, 1), 2: (500, 1)}
