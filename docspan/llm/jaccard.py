@@ -357,7 +357,8 @@ def exact_links(docs: DataFrame, heads: DataFrame, groups: DataFrame, k: int, th
 
 def jaccard_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (documents linked with it), set_links
-    (different shingle sets linked with its own)."""
+    (different shingle sets linked with its own), row_hash (of doc_id and text), class_id (a shingle set's hash that names
+    the class; null for an empty set)."""
     width = shuffle_width(docs.sparkSession, docs.count())
     docs = docs.select("doc_id", "text").withColumn("rid", F.xxhash64("doc_id", "text"))
     passed = cut(member_sets(docs, k, width))
@@ -372,7 +373,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
     links = F.col("copies") - 1 + F.coalesce("doc_links", F.lit(0))
     named = cut(named.select("sid", "head", F.coalesce("label", "sid").alias("class"), F.coalesce("set_links", F.lit(0)).alias("set_links"), links.alias("n_links")))
     ids = named.groupBy("class").agg(F.min("head").alias("component_id"))
-    by_set = cut(join_skewed(named, cut(ids), "class").select("sid", "component_id", "n_links", "set_links"))
-    out = join_skewed(members.select("doc_id", "sid", "n_shingles"), by_set, "sid")
+    by_set = cut(join_skewed(named, cut(ids), "class").select("sid", "component_id", "n_links", "set_links", F.col("class").alias("class_id")))
+    out = join_skewed(members, by_set, "sid")
     none = F.lit(0).cast("long")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", none).alias("n_links"), F.coalesce("set_links", none).alias("set_links"))
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", none).alias("n_links"), F.coalesce("set_links", none).alias("set_links"), F.col("rid").alias("row_hash"), "class_id")

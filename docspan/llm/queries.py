@@ -47,7 +47,8 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.summarise(surrogates.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    """With the secret of the session's setting spark.docspan.surrogates.key."""
+    return surrogates.summarise(surrogates.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"), surrogates.secret_key(spark)))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select(*first, "n_lines", "n_letters", "failed", "policy")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy drops, alone and given the others."""
+    return quality.ablation(quality.quality_ledger(_table(spark, sf_dir, "documents")))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-word shingles; a document that holds 0.8 of an item's is contaminated."""
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -67,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scores, op3_sentencepiece, op4_chat_formatting, op5_suffix_array_dedup, op6_secret_scan, op7_pii_surrogates, op8_quality_rules, op9_benchmark_decontamination, op10_toxicity)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_lm_scores, op3_sentencepiece, op4_chat_formatting, op5_suffix_array_dedup, op6_secret_scan, op7_pii_surrogates, op8_quality_rules, quality_ablation, op9_benchmark_decontamination, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,13 +4,20 @@ Structured entities (e-mail, phone, card, national id, IPv4) are replaced by a k
 strings of their own format, so replacements keep the format, differ for different entities, never equal
 the original and agree wherever the entity occurs, in any document. The permutation is one long cycle: a
 Feistel cipher P, walked until it stays inside the domain, gives x -> P^-1(P(x) + 1). Card numbers stay
-valid or invalid by their check digit. Names after a title get a surrogate of the same gender, script and
-letter case; later mentions of the full or family name follow it. Name surrogates come from lists, so each
-is checked against the names and surrogates of its document and drawn anew on a collision.
+valid or invalid by their check digit.
+
+Persons are names after a title, after a cue such as "my name is", and listed given names with a family name
+behind them. A family name becomes the keyed permutation of all names of its own pattern of vowels, consonants and
+letter case in its script, so different family names get different surrogates in the whole corpus and one
+name always the same. A given name becomes one of the list of its gender and script, by keyed hash of name and
+gender; where two given names of a document would meet, the later one gets a second name, a permutation of its own
+letters, so they stay apart. Later mentions of the full, given or family name follow.
 
 Defined results: a null text stays null and an empty one empty, with no entities; repeated rows are replaced
-alike; where detections overlap, the one that starts first and then the longer one counts; an empty table
-gives an empty table; other columns pass through unchanged.
+alike; where detections overlap, the one that starts first and then the longer one counts; names that differ in
+letter case only are one name; an empty table gives an empty table; very long texts are read whole, in time that
+grows in proportion; other columns pass through unchanged, whatever their names (the column of spans takes a free
+one). The key has to be secret, as whoever knows it can invert the permutations; callers pass it.
 """
 
 from __future__ import annotations
@@ -21,14 +28,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docspan.llm.text import slices_of
+from docspan.llm.text import free_name, slices_of
 
 KINDS = ("email", "card", "phone", "national_id", "ip", "person")
-DEFAULT_KEY = "docspan-surrogates"  # production callers pass a secret of their own
+KEY_SETTING = "spark.docspan.surrogates.key"  # setting of the session that holds the secret
+TEST_KEY = "docspan-surrogates"  # stands in where the session has none, for tests and synthetic tables only
 
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _DIGITS = re.compile(r"\d[\d ().-]{5,}\d")
@@ -60,7 +68,15 @@ _SYLLABLES = {
     "cyrillic": "ба ве го да зе ка ло ма не по ра си та фо ха ше".split(),
     "greek": "βα γε δο ζα θε κα λο μα νε πα ρο σα τε φο χα".split(),
 }
+#: Words that a name follows.
+CUES = ("my name is", "name:", "named", "signed,", "sincerely,", "regards,", "dear", "ich heiße", "je m'appelle", "me llamo", "меня зовут", "με λένε")
+#: Letters that may stand for each other in a name, by script.
+LETTERS = ("aeiouy", "bcdfghjklmnpqrstvwxz", "àáâãäåèéêëìíîïòóôõöùúûüýÿ", "çñčšžćđłńśźż", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ")
+_CLASS_OF = {c: i for i, letters in enumerate(LETTERS) for c in letters}
 _WORD = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
+_LISTED = {name: gender for (_, gender), names in GIVEN.items() for name in names}
+_CUED = re.compile(rf"(?<!\w)(?i:{'|'.join(sorted(map(re.escape, CUES), key=len, reverse=True))})\s({_WORD})(?: ({_WORD}))?")
+_GIVEN = re.compile(rf"(?<!\w)({'|'.join(sorted(_LISTED, key=len, reverse=True))}) ({_WORD})")
 _PERSON = re.compile(rf"(?<!\w)({'|'.join(sorted(TITLES, key=len, reverse=True))})\.? ({_WORD})(?: ({_WORD}))?")
 
 
@@ -186,18 +202,35 @@ def _cased(new: str, like: str) -> str:
     return new.upper() if like.isupper() and len(like) > 1 else new.lower() if like.islower() else new[:1].upper() + new[1:]
 
 
-def surname_for(name: str, key: bytes, draw: int) -> str:
-    bits, syllables = _number(key, "family", name.casefold(), draw), _SYLLABLES[script_of(name)]
-    out = ""
-    for _ in range(4):
-        bits, i = divmod(bits, len(syllables))
-        out += syllables[i]
-    return _cased(out, name)
+def family_for(name: str, key: bytes) -> str:
+    """The keyed permutation of names with the same pattern of letter classes; each letter keeps its case."""
+    lower = [c.lower() for c in name]
+    classes = [_CLASS_OF.get(c, -1) for c in lower]
+    n, x = 1, 0
+    for c, k in zip(lower, classes):
+        if k >= 0:
+            x = x * len(LETTERS[k]) + LETTERS[k].index(c)
+            n *= len(LETTERS[k])
+    if n == 1:  # a script without letter classes: syllables by keyed hash
+        bits, syllables, out = _number(key, "family", name.casefold()), _SYLLABLES["latin"], ""
+        for _ in range(5):
+            bits, i = divmod(bits, len(syllables))
+            out += syllables[i]
+        return out.capitalize()
+    y = Permutation(key, "family|" + ",".join(c if k < 0 else str(k) for c, k in zip(lower, classes)), n)(x)
+    out = []
+    for c, k in zip(reversed(name), reversed(classes)):
+        if k >= 0:
+            y, d = divmod(y, len(LETTERS[k]))
+            c = LETTERS[k][d].upper() if c.isupper() else LETTERS[k][d]
+        out.append(c)
+    return "".join(reversed(out))
 
 
-def given_for(name: str, gender: str, key: bytes, draw: int) -> str:
-    names = GIVEN[script_of(name), gender]
-    return _cased(names[_number(key, "given", gender, name.casefold(), draw) % len(names)], name)
+def given_for(name: str, gender: str, key: bytes) -> str:
+    """A listed name of the gender and script; never the name itself."""
+    names = [x for x in GIVEN[script_of(name), gender] if x.casefold() != name.casefold()]
+    return _cased(names[_number(key, "given", gender, name.casefold()) % len(names)], name)
 
 
 @dataclass(frozen=True)
@@ -208,15 +241,35 @@ class Entity:
     new: str
 
 
-def detect(text: str) -> list[tuple[int, int, str, re.Match]]:
-    """Non-overlapping structured entities and titled names, by start."""
-    found: list[tuple[int, int, str, re.Match]] = []
+def persons(text: str) -> list[tuple[int, int, str, tuple]]:
+    """Names behind titles and cues, and listed given names with a family name: (start, end, kind, (gender, given, family) as spans)."""
+    found = []
+    for m in _PERSON.finditer(text):
+        found.append((m.start(), m.end(), TITLES[m[1]], m.span(2), m.span(3)))
+    lowered = text.lower()
+    if any(cue in lowered for cue in CUES):
+        found += [(m.start(1), m.end(), None, m.span(1), m.span(2)) for m in _CUED.finditer(text)]
+    found += [(m.start(), m.end(), _LISTED[m[1]], m.span(1), m.span(2)) for m in _GIVEN.finditer(text)]
+    out = []
+    for start, end, gender, first, last in found:
+        if not text[first[0]].isupper() or text[first[0] : first[1]] in TITLES:
+            continue
+        if last[0] < 0 or not text[last[0]].isupper():
+            last, end = None, first[1]
+        gender = gender or _LISTED.get(text[first[0] : first[1]], "n")
+        out.append((start, end, "person", (gender, first, last) if last else (gender, None, first)))
+    return out
+
+
+def detect(text: str) -> list[tuple[int, int, str, tuple | None]]:
+    """Non-overlapping structured entities and names, by start."""
+    found: list[tuple[int, int, str, tuple | None]] = []
     if "@" in text:
-        found += [(m.start(), m.end(), "email", m) for m in _EMAIL.finditer(text)]
+        found += [(m.start(), m.end(), "email", None) for m in _EMAIL.finditer(text)]
     if _DIGITS.search(text):
         for kind, pattern in (("card", _CARD), ("phone", _PHONE), ("national_id", _NATIONAL), ("ip", _IP)):
-            found += [(m.start(), m.end(), kind, m) for m in pattern.finditer(text)]
-    found += [(m.start(), m.end(), "person", m) for m in _PERSON.finditer(text) if m[2][0].isupper() or script_of(m[2]) != "latin" and m[2][0].isupper()]
+            found += [(m.start(), m.end(), kind, None) for m in pattern.finditer(text)]
+    found += persons(text)
     out, at = [], 0
     for hit in sorted(found, key=lambda h: (h[0], -h[1], KINDS.index(h[2]))):
         if hit[0] >= at:
@@ -230,41 +283,37 @@ def replace_entities(text: str, key: bytes) -> tuple[str, list[Entity]]:
     hits = detect(text)
     if not hits:
         return text, []
-    entities, family, given = [], {}, {}
-    people = [h[3] for h in hits if h[2] == "person"]
-    taken = {g.casefold() for m in people for g in m.groups()[1:] if g}
-
-    def draw(table: dict, name: str, make) -> str:
-        own = name.casefold()
-        if own not in table:
-            for n in range(1000):
-                new = make(n)
-                if new.casefold() not in taken:
-                    break
-            else:
-                new = make(0) + surname_for(name, key, 1000 + len(table)).lower()
-            taken.add(new.casefold())
-            table[own] = new
-        return _cased(table[own], name)
-
-    for start, end, kind, m in hits:
+    entities: list[Entity] = []
+    given: dict[tuple[str, str], str] = {}  # (name, gender) -> surrogate
+    mentions: dict[str, str] = {}  # any name -> the surrogate of its first use
+
+    def given_name(name: str, gender: str) -> str:
+        own = name.casefold(), gender
+        if own not in given:
+            new = given_for(name, gender, key)
+            if new.casefold() in map(str.casefold, given.values()):
+                new += "-" + _cased(family_for(name.capitalize(), key), name)
+            given[own] = new
+        return _cased(given[own], name) if "-" not in given[own] else given[own]
+
+    for start, end, kind, person in hits:
         if kind != "person":
-            entities.append(Entity(kind, start, end, _STRUCTURED[kind](m.group(), key)))
+            entities.append(Entity(kind, start, end, _STRUCTURED[kind](text[start:end], key)))
             continue
-        gender, first, last = TITLES[m[1]], m[2], m[3] if m[3] and m[3][0].isupper() else None
-        if last:
-            entities.append(Entity(kind, m.start(2), m.end(2), draw(given, first, lambda n: given_for(first, gender, key, n))))
-            entities.append(Entity(kind, m.start(3), m.end(3), draw(family, last, lambda n: surname_for(last, key, n))))
-        else:
-            entities.append(Entity(kind, m.start(2), m.end(2), draw(family, first, lambda n: surname_for(first, key, n))))
-    if family:
-        taken_spans = [(e.start, e.end) for e in entities]
-        names = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, {**given, **family}), key=len, reverse=True))})(?!\w)", re.IGNORECASE)
-        for m in names.finditer(text):
-            if m.group()[0].isupper() and not any(s < m.end() and m.start() < e for s, e in taken_spans):
-                own = m.group().casefold()
-                if own in family or own in given:
-                    entities.append(Entity("person", m.start(), m.end(), _cased(family.get(own) or given[own], m.group())))
+        gender, first, last = person
+        for span, new in ((first, lambda x: given_name(x, gender)), (last, lambda x: family_for(x, key))):  # noqa: B023
+            if span:
+                name = text[span[0] : span[1]]
+                entities.append(Entity(kind, *span, new(name)))
+                mentions.setdefault(name.casefold(), entities[-1].new)
+    if mentions:
+        taken = bytearray(len(text))
+        for e in entities:
+            taken[e.start : e.end] = b"\1" * (e.end - e.start)
+        for m in re.finditer(_WORD, text):
+            new = mentions.get(m.group().casefold())
+            if new and m.group()[0].isupper() and not taken[m.start()]:
+                entities.append(Entity("person", m.start(), m.end(), _cased(new, m.group()) if "-" not in new else new))
     entities.sort(key=lambda e: e.start)
     out, at = [], 0
     for e in entities:
@@ -276,24 +325,28 @@ def replace_entities(text: str, key: bytes) -> tuple[str, list[Entity]]:
 _SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def replace_pii(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """docs with surrogates in text, and the column pii: kind and span in the source of each entity."""
-    columns = [c for c in docs.columns if c != "pii"]
-    docs = docs.select(*columns)
-    schema = T.StructType([*docs.schema.fields, T.StructField("pii", _SPAN)])
+def secret_key(spark: SparkSession) -> str:
+    """The session's secret, or the key for tests where it has none."""
+    return spark.conf.get(KEY_SETTING, TEST_KEY)
+
+
+def replace_pii(docs: DataFrame, key: str, spans: str = "pii") -> DataFrame:
+    """docs with surrogates in text, and a column (spans, or the next free name) of kind and span in the source of each entity."""
+    columns, spans = docs.columns, free_name(docs, spans)
+    schema = T.StructType([*docs.schema.fields, T.StructField(spans, _SPAN)])
     secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
     at = columns.index("text")
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices_of(whole)):
-            texts, spans = [], []
+            texts, found = [], []
             for text in batch.column(at).to_pylist():
                 new, entities = replace_entities(text, secret) if text else (text, [])
                 texts.append(new)
-                spans.append([{"kind": e.kind, "start": e.start, "end": e.end} for e in entities])
+                found.append([{"kind": e.kind, "start": e.start, "end": e.end} for e in entities])
             arrays = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(spans, span)], names=[*columns, "pii"])
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(found, span)], names=[*columns, spans])
 
     return docs.mapInArrow(per_batch, schema)
 
