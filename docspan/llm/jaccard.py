@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 
 from docspan.llm.text import MIX, WordHashes, connected_components, cut, hub_links, join_skewed, mix64, runs_in_partition, shingle_hashes, shuffle_width, slices_of, word_hashes, words_of
 
-BLOCK = 512  # members of a block, about; a tile holds two blocks at most
+BLOCK = 256  # members of a block, about; a tile holds two blocks at most
 COMMON = 1 << 20  # shingles that count as common, at most; the most frequent ones
 COMMON_TEXTS = 8  # different texts of its tasks that hold a common shingle, at least
 COMMON_BITS = 24  # the table of common shingles has 2 ** 24 bits
 COUNTED = 4_000_000  # shingles that a task counts together
 FLUSH_BYTES = 8 << 20  # packed signatures are sent on when they reach this size
-BROADCAST_MEMBERS = 500_000  # ids of 8 bytes that may be broadcast; beyond it the join shuffles
+BROADCAST_MEMBERS = 200_000  # ids of 8 bytes that may be broadcast; beyond it the join shuffles
 
 
 class Bands:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 MIX = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 _MEMO_LIMIT = 500_000
-BROADCAST_ROWS = 300_000  # rows of a few numbers that may be broadcast
+BROADCAST_ROWS = 100_000  # rows of a few numbers that may be broadcast
 HOT_ROWS = 1_000  # rows of a key that may meet in one task in any case
 WIDE_ROWS = 50_000  # rows of a table that a bucket may stand for
 

@@ -63,7 +63,7 @@ def group_of_near_copies(n, seed=2):
     return rows
 
 
-@pytest.mark.parametrize("block", [512, 20])
+@pytest.mark.parametrize("block", [256, 20])
 def test_every_link_is_counted(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = group_of_near_copies(150)
