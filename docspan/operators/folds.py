@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docspan.operators.runs import fold_runs
+
 
 def build_blocks(lines: DataFrame, key: str, ordinal: str, text: str, page: str) -> DataFrame:
     """n_lines, text in order and number of pages of each block."""
@@ -20,62 +24,105 @@ def build_blocks(lines: DataFrame, key: str, ordinal: str, text: str, page: str)
 def admit(calls: DataFrame, key: str, call: str, ts: str, limit: int, seconds: int) -> DataFrame:
     """Sequential admission: fewer than limit admitted calls within the seconds before.
 
-    The state is the admitted calls of one window; a key's calls stream through in Arrow batches.
+    The state is the admitted calls of one window; a key's calls stream through in parts.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", call])
+    def fold(parts: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         open_: deque[int] = deque()
-        out = []
-        for t in pdf["t"]:
-            while open_ and open_[0] <= t - seconds * 1_000_000:
-                open_.popleft()
-            out.append(len(open_) < limit)
-            if out[-1]:
-                open_.append(t)
-        return pd.DataFrame({call: pdf[call], "allowed": out})
+        for part in parts:
+            out = []
+            for t in part.column("t").to_pylist():
+                while open_ and open_[0] <= t - seconds * 1_000_000:
+                    open_.popleft()
+                out.append(len(open_) < limit)
+                if out[-1]:
+                    open_.append(t)
+            yield pa.RecordBatch.from_arrays([part.column(call).combine_chunks(), pa.array(out, pa.bool_())], names=[call, "allowed"])
 
     rows = calls.select(key, call, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
-    return rows.groupBy(key).applyInPandas(fold, f"{call} long, allowed boolean")
+    return fold_runs(rows, key, ["t", call], fold, f"{call} long, allowed boolean")
 
 
 def longest_run(rows: DataFrame, key: str, ordinal: str, value: str) -> DataFrame:
-    """Length of the longest non-decreasing subsequence (patience sorting)."""
+    """Length of the longest non-decreasing subsequence (patience sorting); the state is its tails."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(parts: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         tails: list[float] = []
-        for v in pdf.sort_values(ordinal)[value]:
-            at = bisect_right(tails, v)
-            tails[at : at + 1] = [v]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "longest": [len(tails)]})
+        for part in parts:
+            name = part.column(key)[0].as_py()
+            for v in part.column(value).to_pylist():
+                at = bisect_right(tails, v)
+                tails[at : at + 1] = [v]
+        yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([len(tails)], pa.int32())], names=[key, "longest"])
 
-    return rows.select(key, ordinal, value).groupBy(key).applyInPandas(fold, f"{key} long, longest int")
+    return fold_runs(rows.select(key, ordinal, value), key, [ordinal], fold, f"{key} long, longest int")
 
 
-def kendall(rows: DataFrame, key: str, ordinal: str, value: str) -> DataFrame:
-    """Kendall tau of value against ordinal by key, in n log n: inversions are counted by insertion into a sorted list."""
+def in_longest_run(rows: DataFrame, key: str, ordinal: str, value: str) -> DataFrame:
+    """key, ordinal, in_order: whether a row is on the longest non-decreasing subsequence (the one that patience sorting
+    ends with; with fewer than two rows none is)."""
+
+    def fold(parts: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        tails: list[float] = []
+        ends: list[int] = []
+        before: list[int] = []
+        ordinals: list[int] = []
+        for part in parts:
+            name = part.column(key)[0].as_py()
+            ordinals += part.column(ordinal).to_pylist()
+            for v in part.column(value).to_pylist():
+                at = bisect_right(tails, v)
+                tails[at : at + 1] = [v]
+                before.append(ends[at - 1] if at else -1)
+                ends[at : at + 1] = [len(before) - 1]
+        on = [False] * len(before)
+        i = ends[-1] if len(before) > 1 else -1
+        while i >= 0:
+            on[i] = True
+            i = before[i]
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(on), pa.int64()), pa.array(ordinals, pa.int64()), pa.array(on)], names=[key, ordinal, "in_order"])
+
+    return fold_runs(rows.select(key, ordinal, value), key, [ordinal], fold, f"{key} long, {ordinal} long, in_order boolean")
+
+
+def _inversions(values: np.ndarray) -> tuple[int, int]:
+    """(rising pairs, falling pairs) of a sequence, by merging ranks from the bottom up."""
+    n, rank = len(values), np.unique(values, return_inverse=True)[1]
+    counts = np.bincount(rank)
+    equal = int((counts * (counts - 1) // 2).sum())
+    falling, size = 0, 1
+    rank = rank.astype(np.int64)
+    while size < n:
+        block = np.arange(n) // (2 * size)
+        left = (np.arange(n) // size) % 2 == 0
+        keys = block * (n + 1) + rank
+        for_left = np.sort(keys[left])
+        right = keys[~left]
+        ends = np.searchsorted(for_left, (block[~left] + 1) * (n + 1))
+        falling += int((ends - np.searchsorted(for_left, right, side="right")).sum())
+        size *= 2
+    return n * (n - 1) // 2 - equal - falling, falling
+
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        from bisect import bisect_left, insort
+def kendall(rows: DataFrame, key: str, ordinal: str, value: str) -> DataFrame:
+    """Kendall tau of value against ordinal by key, in n log² n; keys with two rows or more."""
 
-        seen: list[float] = []
-        up = down = 0
-        for v in pdf.sort_values(ordinal)[value]:
-            up += bisect_left(seen, v)
-            down += len(seen) - bisect_right(seen, v)
-            insort(seen, v)
-        tau = round((up - down) / (up + down), 6) if up + down else None
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "tau": [tau], "n": [len(seen)]})
+    def fold(parts: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        held = list(parts)
+        values = np.concatenate([p.column(value).to_numpy() for p in held])
+        if len(values) > 1:
+            up, down = _inversions(values)
+            tau = round((up - down) / (up + down), 6) if up + down else None
+            yield pa.RecordBatch.from_arrays([pa.array([held[0].column(key)[0].as_py()], pa.int64()), pa.array([tau], pa.float64())], names=[key, "tau"])
 
-    return rows.select(key, ordinal, value).groupBy(key).applyInPandas(fold, f"{key} long, tau double, n int").where("n > 1").drop("n")
+    return fold_runs(rows.select(key, ordinal, value), key, [ordinal], fold, f"{key} long, tau double")
 
 
 def stratified(rows: DataFrame, stratum: str, key: str, size: int, seed: int) -> DataFrame:
     """A seeded sample with each stratum's share of size rows: the smallest hashes of each stratum."""
     w = Window.partitionBy(stratum)
     counts = rows.groupBy(stratum).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    quota = F.bround(size * F.col("n") / F.col("total"), 0)
+    quota = F.bround(size * F.col("n") / rows.agg(F.count("*")).scalar(), 0)
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
-    ranked = rows.join(F.broadcast(counts.crossJoin(F.broadcast(total))), stratum).withColumn("k", F.row_number().over(w.orderBy(order, key)))
+    ranked = rows.join(counts, stratum).withColumn("k", F.row_number().over(w.orderBy(order, key)))
     return ranked.where(F.col("k") <= quota).select(key, stratum)

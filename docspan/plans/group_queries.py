@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from docspan.functions import patterns as P
 from docspan.functions import text as X
 from docspan.operators import folds, marking
+from docspan.operators import windows as W
 from docspan.plans import views as V
 from docspan.plans.catalogue import Catalogue
 
@@ -81,12 +82,11 @@ def sibling_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with g as (select o_custkey, o_orderkey, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as nxt from orders)
-select o_custkey, o_orderkey as after_key, nxt as before_key, unnest(range(o_orderkey + 1, least(nxt, o_orderkey + 6))) as missing from g where nxt > o_orderkey + 1""")
+select o_custkey, o_orderkey + 1 as first_missing, nxt - 1 as last_missing, nxt - o_orderkey - 1 as n_missing from g where nxt > o_orderkey + 1""")
 def numbering_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Missing numbers between consecutive siblings (the first five of each gap)."""
-    g = T(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("after_key"), F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("before_key"))
-    g = g.where(F.col("before_key") > F.col("after_key") + 1)
-    return g.select("*", F.explode(F.sequence(F.col("after_key") + 1, F.least(F.col("before_key") - 1, F.col("after_key") + 5))).alias("missing"))
+    """Every gap between consecutive siblings: the first and the last missing number, and how many there are."""
+    g = T(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("nxt"))
+    return g.where("nxt > o_orderkey + 1").selectExpr("o_custkey", "o_orderkey + 1 as first_missing", "nxt - 1 as last_missing", "nxt - o_orderkey - 1 as n_missing")
 
 
 @query("select o_orderpriority as section, count(*) filter (where o_orderstatus = 'F') as answered, count(*) filter (where o_orderstatus = 'F') >= 100 as satisfied from orders group by 1")
@@ -203,12 +203,12 @@ def mapping_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(V.with_(V.LINES, body="""
-, f as (select doc_id, source, line, cast(round_even(least(ord, 50) / 10.0::double, 0) as bigint) as bucket from lines where length(line) > 0),
+, f as (select doc_id, source, line, cast(round_even(ord / 10.0::double, 0) as bigint) as bucket from lines where length(line) > 0),
 d as (select source, count(distinct doc_id) as docs from f group by 1)
 select source, line, bucket, count(distinct doc_id) as n from f join d using (source) group by source, line, bucket, docs having count(distinct doc_id) >= greatest(3, cast(floor(0.1::double * docs) as bigint))"""))
 def repeated_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that recur at about the same place in at least a tenth of a source's documents, and in three."""
-    f = V.lines(spark, sf_dir).where(F.length("line") > 0).select("doc_id", "source", "line", F.bround(F.least("ord", F.lit(50)) / 10.0, 0).cast("long").alias("bucket"))
+    f = V.lines(spark, sf_dir).where(F.length("line") > 0).select("doc_id", "source", "line", F.bround(F.col("ord") / 10.0, 0).cast("long").alias("bucket"))
     docs = f.select("source", "doc_id").distinct().groupBy("source").agg(F.count("*").alias("docs"))
     n = f.distinct().groupBy("source", "line", "bucket").agg(F.count("*").alias("n"))
     return n.join(docs, "source").where(F.col("n") >= F.greatest(F.lit(3), F.floor(0.1 * F.col("docs")))).select("source", "line", "bucket", "n")
@@ -255,10 +255,10 @@ def progress_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select event_id, case when ts < (select max(ts) from events) - interval 20 minute then 'failed' else 'processing' end as state from events where event_type in ('view', 'click')")
 def stale_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs without news for twenty minutes count as failed. The latest time is one value and is broadcast."""
+    """Runs without news for twenty minutes count as failed; the latest time is a scalar subquery."""
     e = T(spark, sf_dir, "events")
-    last = F.broadcast(e.agg(F.max("ts").alias("last")))
-    return e.where(F.col("event_type").isin("view", "click")).crossJoin(last).select("event_id", F.when(F.col("ts") < F.col("last") - F.expr("interval 20 minutes"), "failed").otherwise("processing").alias("state"))
+    last = e.agg(F.max("ts")).scalar()
+    return e.where(F.col("event_type").isin("view", "click")).select("event_id", F.when(F.col("ts") < last - F.expr("interval 20 minutes"), "failed").otherwise("processing").alias("state"))
 
 
 @query("select event_id, count(*) over (partition by user_id order by ts range between interval 1 hour preceding and current row) as calls from events")
@@ -296,9 +296,9 @@ def weighted_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select s_suppkey, row_number() over (order by case when s_acctbal < 0 then 1 else 0 end, s_nationkey % 3, -s_acctbal, s_name) as place from supplier where s_nationkey <> 3")
 def provider_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Configured providers by composite rank. The chain is a short list; its order is global by nature."""
-    w = Window.orderBy(F.when(F.col("s_acctbal") < 0, 1).otherwise(0), F.col("s_nationkey") % 3, -F.col("s_acctbal"), "s_name")
-    return T(spark, sf_dir, "supplier").where("s_nationkey <> 3").select("s_suppkey", F.row_number().over(w).cast("long").alias("place"))
+    """Configured providers by composite rank: those that failed last, then the tier, then the balance."""
+    s = T(spark, sf_dir, "supplier").where("s_nationkey <> 3").withColumn("tier", F.when(F.col("s_acctbal") < 0, 3).otherwise(0) + F.col("s_nationkey") % 3)
+    return W.global_rank(s.withColumn("down", -F.col("s_acctbal")), "tier", F.col("tier").cast("double"), "down", "s_name").select("s_suppkey", "place")
 
 
 @query(V.with_(V.LINES, body="""
@@ -397,3 +397,21 @@ select o_custkey, cast(max(len(tails)) as integer) as longest from r group by 1"
 def lis_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length of the longest non-decreasing subsequence of totals, by customer."""
     return folds.longest_run(T(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("""
+with recursive o as (select o_custkey, o_orderkey, o_totalprice as v, row_number() over (partition by o_custkey order by o_orderkey) as k, count(*) over (partition by o_custkey) as n from orders),
+r as (
+  select o_custkey, k, [v] as tails, [1] as ends, [0] as before from o where k = 1
+  union all
+  select o.o_custkey, o.k,
+    list_concat(list_concat(r.tails[1:c], [o.v]), r.tails[c + 2:]), list_concat(list_concat(r.ends[1:c], [cast(o.k as integer)]), r.ends[c + 2:]),
+    list_append(r.before, case when c = 0 then 0 else r.ends[c] end)
+  from (select r.*, o.v as ov, len(list_filter(r.tails, lambda t: t <= o.v)) as c from r join o on o.o_custkey = r.o_custkey and o.k = r.k + 1) r
+  join o on o.o_custkey = r.o_custkey and o.k = r.k + 1),
+f as (select o_custkey, before, ends[len(ends)] as last from r join (select o_custkey, max(k) as k from r group by 1) using (o_custkey, k) where k > 1),
+t as (select o_custkey, before, cast(last as integer) as spot from f union all select o_custkey, before, cast(before[spot] as integer) from t where before[spot] > 0)
+select o.o_custkey, o.o_orderkey, t.spot is not null as in_order from o left join t on o.o_custkey = t.o_custkey and o.k = t.spot""")
+def lis_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which totals are on the longest non-decreasing subsequence of their customer."""
+    return folds.in_longest_run(T(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice")

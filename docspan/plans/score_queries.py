@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from docspan.functions import patterns as P
 from docspan.operators import alignment, marking
 from docspan.operators import similarity as S
+from docspan.operators import windows as W
 from docspan.plans import views as V
 from docspan.plans.catalogue import Catalogue
 
@@ -34,27 +35,25 @@ def _scores(name: str, terms: str) -> str:
 TRIGRAM, LEXICAL = _scores("scores", _GRAMS), _scores("lexical", _WORDS)
 
 
-def _trigram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.trigram_scores(V.table(spark, sf_dir, "documents"), V.table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
-
-
-def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.lexical_scores(V.table(spark, sf_dir, "documents"), V.table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+def _found(spark: SparkSession, sf_dir: str, measure: str = "trigram", *columns: str) -> DataFrame:
+    """doc_id, the given columns and the scored questions of each document."""
+    return S.scored(V.table(spark, sf_dir, "documents").select("doc_id", *columns, "text"), V.table(spark, sf_dir, "benchmark"), "doc_id", "item_id", measure)
 
 
 @query(f"with {TRIGRAM} select * from scores where score >= 0.3")
 def trigram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trigram(spark, sf_dir).where("score >= 0.3")
+    return S.pairs_of(_found(spark, sf_dir), "doc_id", "item_id", 0.3)
 
 
 @query(f"with {LEXICAL} select * from lexical where score >= 0.3")
 def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexical(spark, sf_dir).where("score >= 0.3")
+    return S.pairs_of(_found(spark, sf_dir, "lexical"), "doc_id", "item_id", 0.3)
 
 
 @query(f"with {TRIGRAM}, {LEXICAL} select doc_id, item_id, max(score) as score from (select * from scores union all select * from lexical) group by 1, 2 having max(score) >= 0.3")
 def stronger_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.stronger_of(_trigram(spark, sf_dir), _lexical(spark, sf_dir), "doc_id", "item_id").where("score >= 0.3")
+    both = S.stronger_of(V.table(spark, sf_dir, "documents").select("doc_id", "text"), V.table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return S.pairs_of(both, "doc_id", "item_id", 0.3)
 
 
 _TWO = f"""with {TRIGRAM}, r as (select *, row_number() over (partition by doc_id order by score desc, item_id) as k from scores),
@@ -64,38 +63,42 @@ two as (select doc_id, max(item_id) filter (where k = 1) as best, max(score) fil
 @query(f"{_TWO} select *, round(score - second_score, 6) >= {MARGIN} as decided from two")
 def place_top2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best question and runner-up of each block, with the decisive margin."""
-    return S.best_two(_trigram(spark, sf_dir), "doc_id", "item_id", MARGIN)
+    return S.best_two(_found(spark, sf_dir), "doc_id", MARGIN)
 
 
 @query(f"{_TWO} select doc_id, score as ceiling, second_score as runner_up from two")
 def ceilings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.best_two(_trigram(spark, sf_dir), "doc_id", "item_id", MARGIN).select("doc_id", F.col("score").alias("ceiling"), F.col("second_score").alias("runner_up"))
+    return S.best_two(_found(spark, sf_dir), "doc_id", MARGIN).select("doc_id", F.col("score").alias("ceiling"), F.col("second_score").alias("runner_up"))
 
 
 @query(f"with {TRIGRAM}, n as (select count(*) as n from benchmark), m as (select doc_id, sum(score::decimal(18,6))::double as total from scores group by 1) select doc_id, item_id, cast(floor((score - total / n) * 1000 + 0.0000001) as bigint) as centred from scores join m using (doc_id), n where score - total / n >= 0.1000001")
 def centred_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deviation from the block's mean over all questions, where it is a tenth or more."""
     n = V.table(spark, sf_dir, "benchmark").count()
-    s = _trigram(spark, sf_dir).withColumn("c", F.col("score") - F.sum(F.col("score").cast("decimal(18,6)")).over(Window.partitionBy("doc_id")).cast("double") / n)
-    return s.where("c >= 0.1000001D").select("doc_id", "item_id", F.floor(F.col("c") * 1000 + 0.0000001).cast("long").alias("centred"))
+    total = F.aggregate("pairs", F.lit(0).cast("decimal(38,6)"), lambda t, p: (t + p["score"].cast("decimal(18,6)")).cast("decimal(38,6)")).cast("double")
+    s = S.pairs_of(_found(spark, sf_dir).withColumn("mean", total / n).withColumn("pairs", F.transform("pairs", lambda p: F.struct(p["item"].alias("item"), (p["score"] - F.col("mean")).alias("score")))), "doc_id", "item_id", 0.1000001)
+    return s.select("doc_id", "item_id", F.floor(F.col("score") * 1000 + 0.0000001).cast("long").alias("centred"))
 
 
 @query(f"{_TWO} select doc_id, best, row_number() over (order by score desc, doc_id) as place from two where round(score - second_score, 6) >= {MARGIN}")
 def decided_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decided blocks, strongest first. The report's order is global by nature."""
-    two = S.best_two(_trigram(spark, sf_dir), "doc_id", "item_id", MARGIN).where("decided")
-    return two.select("doc_id", "best", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")).cast("long").alias("place"))
+    """Decided blocks, strongest first: places inside ranges of the score, behind the sizes of the ranges before."""
+    two = S.best_two(_found(spark, sf_dir), "doc_id", MARGIN).where("decided").select("doc_id", "best", "score")
+    return W.global_rank(two, "score", -two["score"], "doc_id").select("doc_id", "best", "place")
 
 
-@query("""with d as (select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as j, count(*) over (partition by source) as m from documents),
-b as (select item_id, row_number() over (order by item_id) - 1 as i, count(*) over () as n from benchmark where item_id < 10)
-select doc_id, item_id, round(1 - abs(coalesce(i / nullif(n - 1, 0)::double, 0) - coalesce(j / nullif(m - 1, 0)::double, 0)), 6) as prior from d, b""")
+@query(f"""with {TRIGRAM}, d as (select doc_id, row_number() over (partition by source order by doc_id) - 1 as j, count(*) over (partition by source) as m from documents),
+b as (select item_id, row_number() over (order by item_id) - 1 as i, count(*) over () as n from benchmark)
+select doc_id, item_id, round(1 - abs(coalesce(i / nullif(n - 1, 0)::double, 0) - coalesce(j / nullif(m - 1, 0)::double, 0)), 6) as prior from scores join d using (doc_id) join b using (item_id) where score >= 0.3""")
 def order_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prior of place for ten questions against all blocks: the questions are a stated set of ten and are broadcast."""
+    """Prior of place of every scored pair: a question's place among all questions against the block's in its source."""
     w = Window.partitionBy("source")
-    d = V.table(spark, sf_dir, "documents").select("doc_id", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("j"), F.count("*").over(w).alias("m"))
-    b = V.table(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", (F.row_number().over(Window.orderBy("item_id")) - 1).alias("i"), F.count("*").over(Window.partitionBy()).alias("n"))
-    return d.crossJoin(F.broadcast(b)).select("doc_id", "item_id", F.round(S.order_prior(F.col("i"), F.col("n"), F.col("j"), F.col("m")), 6).alias("prior"))
+    blocks = V.table(spark, sf_dir, "documents").select("doc_id", "text", (F.row_number().over(w.orderBy("doc_id")) - 1).alias("j"), F.count("*").over(w).alias("m"))
+    items = V.table(spark, sf_dir, "benchmark")
+    found = S.scored(blocks, items, "doc_id", "item_id", "trigram").select("doc_id", "j", "m", F.explode(F.filter("pairs", lambda p: p["score"] >= 0.3)).alias("p"))
+    places = W.global_rank(items.select("item_id"), "item_id", items["item_id"]).select(F.col("item_id").alias("item"), (F.col("place") - 1).alias("i"))
+    n = items.agg(F.count("*")).scalar()
+    return found.join(places, F.col("p.item") == F.col("item")).select("doc_id", F.col("item").alias("item_id"), F.round(S.order_prior(F.col("i"), n, F.col("j"), F.col("m")), 6).alias("prior"))
 
 
 @query(f"""with {TRIGRAM}, n as (select count(*) as n from benchmark), m as (select doc_id, sum(score) as total, max(score) as best from scores group by 1),
@@ -105,37 +108,34 @@ where score >= 0.70 * best and score > 0.1""")
 def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live cells: deviation plus length support, within 0.70 of the block's best and above the floor."""
     n = V.table(spark, sf_dir, "benchmark").count()
-    w = Window.partitionBy("doc_id")
-    s = _trigram(spark, sf_dir).withColumn("total", F.sum("score").over(w)).withColumn("best", F.max("score").over(w)).where("score >= 0.70 * best and score > 0.1")
+    found = _found(spark, sf_dir, "trigram", "n_chars").withColumns({"total": S.total_score(), "best": S.best_score(), "words": F.greatest(F.lit(1.0), F.col("n_chars") / 6.0)})
+    s = found.select("doc_id", "total", "words", F.explode(F.filter("pairs", lambda p: (p["score"] >= 0.70 * F.col("best")) & (p["score"] > 0.1))).alias("p"))
     items = V.table(spark, sf_dir, "benchmark").select("item_id", F.greatest(F.lit(6.0), F.length("text") / 6.0).alias("expected"))
-    docs = V.table(spark, sf_dir, "documents").select("doc_id", F.greatest(F.lit(1.0), F.col("n_chars") / 6.0).alias("words"))
-    joined = s.join(items, "item_id").join(docs, "doc_id")
-    return joined.select("doc_id", "item_id", F.round(F.col("score") - F.col("total") / n + 0.2 * F.least("words", "expected") / F.greatest("words", "expected"), 5).alias("cell"))
+    return s.join(items, F.col("p.item") == F.col("item_id")).select("doc_id", "item_id", F.round(F.col("p.score") - F.col("total") / n + 0.2 * F.least("words", "expected") / F.greatest("words", "expected"), 5).alias("cell"))
 
 
 _PLAUSIBLE = S.threshold(0.0, 0.30, 0.20)
 
 
-@query(f"with {TRIGRAM} select item_id, count(s.doc_id) > 0 as plausible from benchmark left join (select item_id, doc_id from scores where score >= 0.9) s using (item_id) group by 1")
+@query(f"with {TRIGRAM} select item_id, count(s.doc_id) > 0 as plausible, count(s.doc_id) as blocks from benchmark left join (select item_id, doc_id from scores where score >= {_PLAUSIBLE}) s using (item_id) group by 1")
 def plausible_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether some block is a plausible answer of each question."""
-    hits = _trigram(spark, sf_dir).where("score >= 0.9").select("item_id", F.lit(True).alias("hit")).distinct()
-    return V.table(spark, sf_dir, "benchmark").select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("plausible"))
+    """Whether some block reaches a fifth of the measure's band for each question, and how many do."""
+    hits = S.pairs_of(_found(spark, sf_dir), "doc_id", "item_id", _PLAUSIBLE).groupBy("item_id").agg(F.count("*").alias("n"))
+    return V.table(spark, sf_dir, "benchmark").select("item_id").join(hits, "item_id", "left").select("item_id", F.col("n").isNotNull().alias("plausible"), F.coalesce("n", F.lit(0)).alias("blocks"))
 
 
 @query(f"with {TRIGRAM}, c as (select doc_id, item_id, score from scores where item_id = doc_id % 40), r as (select doc_id, max(score) as best from scores group by 1) select doc_id, item_id, best - score >= {S.threshold(0.0, 0.30, 0.15)} as outscored from c join r using (doc_id)")
 def rival_outscored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether another question beats the claimed one by 0.15 of the measure's band."""
-    s = _trigram(spark, sf_dir).withColumn("best", F.max("score").over(Window.partitionBy("doc_id")))
-    return s.where(F.col("item_id") == F.col("doc_id") % 40).select("doc_id", "item_id", (F.col("best") - F.col("score") >= S.threshold(0.0, 0.30, 0.15)).alias("outscored"))
+    s = _found(spark, sf_dir).select("doc_id", (F.col("doc_id") % 40).alias("item_id"), S.best_score().alias("best"), S.score_of(F.col("doc_id") % 40).alias("score")).where("score is not null")
+    return s.select("doc_id", "item_id", (F.col("best") - F.col("score") >= S.threshold(0.0, 0.30, 0.15)).alias("outscored"))
 
 
 @query(f"""with {TRIGRAM}, r as (select doc_id, max(score) as best from scores group by 1), c as (select d.doc_id, d.doc_id % 50 as claimed, s.score, r.best from documents d left join scores s on s.doc_id = d.doc_id and s.item_id = d.doc_id % 50 left join r on r.doc_id = d.doc_id)
 select doc_id, case when score is null then case when doc_id % 3 = 0 then 'unverified' else 'disputed' end when best - score >= 0.045 and doc_id % 2 = 1 then 'disputed' when score >= 0.6 then 'confirmed' when doc_id % 2 = 0 then 'confirmed' else 'unverified' end as status from c""")
 def anchor_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of the written label of each block (claimed question: doc_id % 50)."""
-    s = _trigram(spark, sf_dir).withColumn("best", F.max("score").over(Window.partitionBy("doc_id"))).where(F.col("item_id") == F.col("doc_id") % 50).select("doc_id", "score", "best")
-    d = V.table(spark, sf_dir, "documents").select("doc_id").join(s, "doc_id", "left")
+    d = _found(spark, sf_dir).select("doc_id", S.best_score().alias("best"), S.score_of(F.col("doc_id") % 50).alias("score"))
     status = marking.anchor_status(F.col("score").isNotNull(), F.col("doc_id") % 3 == 0, F.col("best") - F.col("score") >= 0.045, F.col("doc_id") % 2 == 0, F.col("score") >= 0.6)
     return d.select("doc_id", status.alias("status"))
 
@@ -161,8 +161,8 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of twenty blocks of a source against all questions, as score pairs."""
     docs = V.table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("bj"))
     docs = docs.withColumn("segment", F.concat_ws(":", "source", F.expr(f"(bj - 1) div {_DOCS}").cast("string")))
-    scores = S.trigram_scores(docs, V.table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
-    return scores.join(docs.select("doc_id", "segment", "bj"), "doc_id").select("segment", F.col("item_id").alias("qi"), "bj", F.col("item_id").alias("question"), F.col("doc_id").alias("block"), "score")
+    found = S.scored(docs, V.table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "trigram")
+    return found.select("segment", "bj", F.col("doc_id").alias("block"), F.explode("pairs").alias("p")).select("segment", F.col("p.item").alias("qi"), "bj", F.col("p.item").alias("question"), "block", F.col("p.score").alias("score"))
 
 
 @query()

@@ -78,20 +78,20 @@ def ink_cover_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(hits, "a_id", "left").select(F.col("a_id").alias("id"), F.col("n").isNotNull().alias("covered"), F.coalesce("n", F.lit(0)).alias("n_lines"))
 
 
-@query(sql(f"select distinct b.id from boxes a join boxes b on a.page = b.page and a.id % 7 = 0 and b.id % 2 = 1 and a.id <> b.id and {_AREA.format('a')} <= 0.10 and ({_INTER}) / {_AREA.format('b')} >= 0.3"))
+@query(sql(f"select distinct b.id from boxes a join boxes b on a.page = b.page and a.id % 7 = 0 and b.id % 7 <> 0 and {_AREA.format('a')} <= 0.10 and ({_INTER}) / {_AREA.format('b')} >= 0.3"))
 def excluded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of which 30 % lie in a struck or bled region (every seventh box)."""
-    a, b = _halves(spark, sf_dir, "id % 7 = 0", "id % 2 = 1")
-    inside = (F.col("a_id") != F.col("b_id")) & (G.area(G.box("a_")) <= 0.10) & (G.intersection(G.box("a_"), G.box("b_")) / G.area(G.box("b_")) >= 0.3)
+    a, b = _halves(spark, sf_dir, "id % 7 = 0", "id % 7 <> 0")
+    inside = (G.area(G.box("a_")) <= 0.10) & (G.intersection(G.box("a_"), G.box("b_")) / G.area(G.box("b_")) >= 0.3)
     return S.overlap_pairs(a, b, inside).select(F.col("b_id").alias("id")).distinct()
 
 
 @query(sql(f"""
-, s as (select a.id as ink, b.id % 10 as block, round(sum(({_INTER}) / {_AREA.format('a')}), 6) as share from boxes a join boxes b on a.page = b.page and a.id % 3 = 0 and b.id % 3 = 1 and ({_INTER}) > 0 group by 1, 2)
+, s as (select a.id as ink, b.id % 10 as block, round(sum(({_INTER}) / {_AREA.format('a')}), 6) as share from boxes a join boxes b on a.page = b.page and a.id % 3 = 0 and b.id % 3 <> 0 and ({_INTER}) > 0 group by 1, 2)
 select ink, arg_max(block, (share, -block)) as block, max(share) as share from s group by 1 having max(share) >= 0.3"""))
 def ink_best_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block with the largest part of each ink region, if that is 30 %."""
-    a, b = _halves(spark, sf_dir, "id % 3 = 0", "id % 3 = 1")
+    a, b = _halves(spark, sf_dir, "id % 3 = 0", "id % 3 <> 0")
     both = G.intersection(G.box("a_"), G.box("b_"))
     s = S.overlap_pairs(a, b, both > 0).groupBy(F.col("a_id").alias("ink"), (F.col("b_id") % 10).alias("block")).agg(F.round(F.sum(both / G.area(G.box("a_"))), 6).alias("share"))
     return s.groupBy("ink").agg(F.max_by("block", F.struct("share", -F.col("block"))).alias("block"), F.max("share").alias("share")).where("share >= 0.3")
@@ -174,12 +174,12 @@ def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql("""
-, o as (select *, lag(y1) over w as up, lead(y0) over w as down from boxes where id % 5 = 0 window w as (partition by page order by y0, id))
+, o as (select *, lag(y1) over w as up, lead(y0) over w as down from boxes window w as (partition by page order by y0, id))
 select id, round(case when up is null then y0 else (up + y0) / 2 end, 6) as top, round(case when down is null then y1 else (y1 + down) / 2 end, 6) as bottom from o"""))
 def box_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands that meet halfway between neighbouring rows."""
     w = Window.partitionBy("page").orderBy("y0", "id")
-    o = V.boxes(spark, sf_dir).where("id % 5 = 0").withColumn("up", F.lag("y1").over(w)).withColumn("down", F.lead("y0").over(w))
+    o = V.boxes(spark, sf_dir).withColumn("up", F.lag("y1").over(w)).withColumn("down", F.lead("y0").over(w))
     return o.select("id", F.round(F.coalesce((F.col("up") + F.col("y0")) / 2, F.col("y0")), 6).alias("top"), F.round(F.coalesce((F.col("y1") + F.col("down")) / 2, F.col("y1")), 6).alias("bottom"))
 
 
