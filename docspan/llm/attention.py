@@ -14,6 +14,7 @@ where u is normalised inside the class. Both factors sum to 1.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,15 @@ CHUNK = 4096  # positions that are scored or trained on together
 RATE = 0.01
 
 
+def reuse_memory() -> None:
+    """Let the process keep the memory of freed arrays: mapping fresh pages for every array costs a fifth of the time."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 64 << 20)  # M_MMAP_THRESHOLD
+        ctypes.CDLL(None).mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 @dataclass
 class Vocabulary:
     """Tables by id, from the counts over all training documents."""
@@ -140,6 +150,7 @@ class Attention:
 
     def log10(self, inputs: np.ndarray, targets: np.ndarray, end: int) -> np.ndarray:
         """log10 probability of the class of each position (0 at padding), a chunk at a time."""
+        reuse_memory()
         out = np.zeros(len(targets))
         for n, (i, t) in enumerate(chunks(inputs, targets, end)):
             *_, g, total = self._forward(self.vocabulary.slot[i])
@@ -170,21 +181,23 @@ class Attention:
         ds -= a * (ds @ _ONES)
         grads["p"] = ds.sum(0)
         dk = ds.transpose(0, 2, 1) @ q
-        dqkv = np.zeros((len(x) // BLOCK, BLOCK, 2 * HEAD + WIDTH), np.float32)
+        dqkv = np.empty((len(x) // BLOCK, BLOCK, 2 * HEAD + WIDTH), np.float32)
+        dqkv[0] = 0
         dqkv[1:, :, :HEAD] = ds @ k
-        for part, lo, hi in ((dk, HEAD, 2 * HEAD), (dv, 2 * HEAD, 2 * HEAD + WIDTH)):
-            dqkv[1:, :, lo:hi] += part[:, BLOCK:]
-            dqkv[:-1, :, lo:hi] += part[:, :BLOCK]
+        dqkv[1:, :, HEAD : 2 * HEAD], dqkv[1:, :, 2 * HEAD :] = dk[:, BLOCK:], dv[:, BLOCK:]
+        dqkv[:-1, :, HEAD : 2 * HEAD] += dk[:, :BLOCK]
+        dqkv[:-1, :, 2 * HEAD :] += dv[:, :BLOCK]
         dqkv = dqkv.reshape(len(x), -1)
         grads["qkv"] = x.T @ dqkv
         dx = dqkv @ w["qkv"].T
         dx[BLOCK:] += dy @ w["x"].T
-        cells = (slots.astype(np.int64) * WIDTH)[:, None] + np.arange(WIDTH)
-        grads["e"] = np.bincount(cells.ravel(), weights=dx.ravel(), minlength=SLOTS * WIDTH).astype(np.float32)
+        columns = np.ascontiguousarray(dx.T)
+        grads["e"] = np.stack([np.bincount(slots, weights=c, minlength=SLOTS) for c in columns], axis=1).astype(np.float32)
         return loss, np.concatenate([grads[name].ravel() for name in self.shapes])
 
     def train(self, docs: Iterable[np.ndarray], end: int, rate: float = RATE) -> None:
         """Adam over all ids of the documents in their order, each a target once."""
+        reuse_memory()
         m, v = np.zeros_like(self.flat), np.zeros_like(self.flat)
         for step, (inputs, targets) in enumerate(training_chunks(docs, end), 1):
             _, g = self.gradient(inputs, targets)

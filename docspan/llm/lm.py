@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspan.llm.attention import Attention, Vocabulary, layout
-from docspan.llm.text import MIX, cut, mix64, runs_in_partition, shuffle_width, slices_of, words_of
+from docspan.llm.text import MIX, cut, delete, mix64, runs_in_partition, shuffle_width, slices_of, words_of
 
 ROUNDS = 3  # of training; the weights are averaged after each
 SHARD_ROWS = 4096  # documents that a shard trains on, about, ...
@@ -118,7 +118,9 @@ def pairs_of(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray,
     """The distinct pairs last << 16 | id of documents laid end to end, and the place of each position's pair."""
     last = np.concatenate([[end], ids[:-1]])
     last[np.cumsum(sizes)[:-1]] = end
-    present = np.unique(np.append(ids, end))
+    seen = np.zeros(end + 1, bool)
+    seen[ids] = seen[end] = True
+    present = np.flatnonzero(seen)
     n = len(present)
     small = np.zeros(end + 1, np.int64)
     small[present] = np.arange(n)
@@ -161,12 +163,11 @@ def scan(docs: DataFrame, folds: int, ranks: dict[bytes, int], pattern: str, wid
             subwords = list(map(tokens, texts))
             sizes = np.array([len(x) for x in subwords], np.int64)
             seeds = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), seed=0 if i is None else i & 0xFFFFFFFFFFFFFFFF) >> 1 for i, x in zip(ids, subwords)], np.int64)
-            flat = np.concatenate(subwords)
-            counts[:] += np.bincount(flat[np.repeat(~np.array(held, bool), sizes)], minlength=len(counts))
+            hide, flat = ~np.array(held, bool), np.concatenate(subwords)
+            counts[:] += np.bincount(flat[np.repeat(hide, sizes)], minlength=len(counts))
             yield _row(batch, TOKENS, 0, _packed(flat), _packed(np.array(held, np.int64)) + _packed(sizes) + _packed(seeds))
             del subwords, flat
-            index = _Index()
-            refs, ptr = [], [0]
+            index, refs, ptr = _Index(), [], [0]
             for text in texts:
                 refs += map(index.__getitem__, words_of(text))
                 ptr.append(len(refs))
@@ -177,7 +178,7 @@ def scan(docs: DataFrame, folds: int, ranks: dict[bytes, int], pattern: str, wid
             place = np.empty(len(vocab), np.int64)
             place[order] = np.arange(len(vocab))
             flat = place[refs]
-            n = np.bincount(flat[np.repeat(~np.array(held, bool), spans)], minlength=len(vocab))
+            n = np.bincount(flat[np.repeat(hide, spans)], minlength=len(vocab))
             bounds = np.searchsorted(bucket[order], np.arange(width + 1))
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 lo, hi = bounds[b], bounds[b + 1]
@@ -237,7 +238,7 @@ def train(tokens: DataFrame, vocabulary: Vocabulary, rows: int, end: int) -> Att
             held = []
             for ids, out, seed in documents(batches):
                 if not out and (seed >> 4) % ROUNDS == turn:
-                    held.append(((seed >> 8) % shards, seed, ids.astype(np.uint16).tobytes()))
+                    held.append(((seed >> 8) % shards, seed, _packed(ids)))
                 if len(held) == 512:
                     yield _deal_batch(held)
                     held = []
@@ -257,7 +258,7 @@ def train(tokens: DataFrame, vocabulary: Vocabulary, rows: int, end: int) -> Att
                 def mine() -> Iterator[np.ndarray]:
                     nonlocal following
                     while following and following[0] == shard:  # noqa: B023
-                        yield np.frombuffer(following[1], np.uint16)
+                        yield _arrays(following[1])[0]
                         following = next(rows, None)
 
                 own.train(mine(), end)
@@ -368,6 +369,7 @@ def score(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int],
     fitted = fit(docs, folds, vocabulary)
     width, end, tables, attention = fitted.width, fitted.end, fitted.vocabulary, fitted.attention
     replies = cut(fitted.of(WORDS).repartition(width, "bucket").mapInArrow(_meet_words, _ROWS))
+    delete(docs.sparkSession, f"{fitted.rows.table_path}/kind={WORDS}")  # counted and answered
     ends = docs.where(~_held_out(folds)).count()
     stats = [_arrays(r.counts)[0] for r in replies.where("batch = -1").select("counts").collect()]
     n = int(sum(s[0] for s in stats)) + ends
