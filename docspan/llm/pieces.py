@@ -12,12 +12,16 @@ Between a character and a following word mark no piece can merge, so all paths m
 chunk only the stretches before the first and after the last such place need a row for each state.
 
 Defined results: null and empty texts have no pieces and decode to the empty text; as in the model, the
-word mark U+2581 in a text reads as a space; repeated rows each give a row; an empty table gives no
-rows; columns other than doc_id and text are ignored.
+word mark U+2581 in a text reads as a space; repeated rows each give a row; a row without doc_id is a document; an
+empty table gives no rows; of pieces of equal score the leftmost merges first; very long texts are encoded in chunks;
+columns other than doc_id and text are ignored, whatever their names. In decoding, null ids are no pieces, control
+ids and ids outside the vocabulary have no text, the unknown id reads as the model's sign for it, and bytes that are
+no UTF-8 read as U+FFFD.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import re
 from collections.abc import Iterator
@@ -36,6 +40,7 @@ MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _INSIDE = re.compile(f"(?<=[^{MARK}]){MARK}")
 NO = -np.inf
+UNKNOWN = " ⁇ ".encode()  # fixed value: how the model's library shows id 0
 
 
 def load_vocabulary(model_file: str) -> tuple[dict[str, tuple[int, float]], dict[int, int]]:
@@ -86,6 +91,8 @@ class Encoder:
         self.pieces, self.byte_ids = pieces, byte_ids
         self.longest = max(map(len, pieces))
         self.bytes_of = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
+        self.byte_of = {i: b for b, i in byte_ids.items()}
+        codecs.register_error("sign_for_each_byte", lambda e: ("\ufffd", e.start + 1))
         self.score_of = {p: score for p, (_, score) in pieces.items()}
         self.reach: dict[str, int] = {}  # length of the longest piece with the same first three characters
         for p in pieces:
@@ -205,9 +212,18 @@ class Encoder:
         return list(chain.from_iterable(map(self.words.__getitem__, text.split(" "))))
 
     def decode(self, ids: list[int]) -> str:
+        """The text of ids that encode made."""
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "surrogatepass")
         return text[1:] if text[:1] == " " else text
 
+    def read(self, ids: list[int | None]) -> str:
+        """The text of any ids."""
+        shown = [i for i in ids if i == 0 or i in self.bytes_of]
+        raw = b"".join(UNKNOWN if i == 0 else self.bytes_of[i] for i in shown)
+        if shown and shown[0] not in self.byte_of and raw[:1] == b" " and shown[0]:
+            raw = raw[1:]
+        return raw.decode("utf-8", "sign_for_each_byte")
+
     def states(self, behind: str, ahead: str) -> list[tuple[int, int]]:
         """Pieces that cover the character before a cut, as (characters before it, after it)."""
         return [
@@ -385,3 +401,16 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, chunk: int
     whole = traced.groupBy(F.col("doc_id").alias("t_doc"), F.col("h").alias("t_h")).agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("chunks"))
     big = long.join(whole, F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("h") == F.col("t_h"))).select("doc_id", "text", "copies", "chunks").mapInArrow(join_up, result)
     return small.unionByName(big)
+
+
+def decode_documents(encoded: DataFrame, model_file: str | None = None) -> DataFrame:
+    """doc_id, text of rows with doc_id and ids (array<int>)."""
+    pieces, byte_ids = load_vocabulary(model_file or default_model())
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(pieces, byte_ids)
+        for batch in (part for whole in batches for part in slices_of(whole)):
+            texts = [encoder.read(ids or []) for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return encoded.select("doc_id", "ids").mapInArrow(per_batch, "doc_id long, text string")

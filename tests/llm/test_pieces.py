@@ -35,5 +35,27 @@ def test_matrices_compose(library):
     assert np.array_equal(left, right)
 
 
+def test_decoding_equals_library(spark, library):
+    docs = documents(spark, [*texts(), *AWKWARD])
+    encoded = pieces.encode_documents(docs, chunk=64).selectExpr("*", "'clash' as text")
+    got = sorted((r.doc_id, r.text) for r in pieces.decode_documents(encoded).collect())
+    assert got == sorted((r.doc_id, (r.text or "").replace("▁", " ")) for r in docs.collect())
+    import random
+
+    r = random.Random(3)
+    rows = [(i, [r.randrange(3, 32_000) if r.random() < 0.8 else r.randrange(3, 259) for _ in range(r.randint(0, 40))]) for i in range(200)] + [(900, [1, 15, 2, 0, 99]), (901, None), (902, [])]
+    got = dict(pieces.decode_documents(spark.createDataFrame(rows, "doc_id long, ids array<int>")).collect())
+    assert all(got[i] == (library.decode(ids) if ids else "") for i, ids in rows)
+
+
+def test_a_very_long_text_and_rows_without_doc_id(spark, library):
+    long = "word and more, " * 40_000
+    rows = [(None, long), (None, long), (None, "short"), (4, None)]
+    got = pieces.encode_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_pieces) for r in got) == sorted((i or 0, len(library.encode(t or ""))) for i, t in rows)
+    assert max(r.n_chunks for r in got) > 5 and all(r.round_trip for r in got)
+
+
 def test_empty_table(spark):
     assert pieces.encode_documents(documents(spark, [])).count() == 0
+    assert pieces.decode_documents(pieces.encode_documents(documents(spark, []))).count() == 0
