@@ -37,6 +37,20 @@ def paper_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAPER_LINES = f"paper_lines as (select p_partkey // 40 as paper_id, p_partkey % 40 as ord, {_PAPER.format(tens='(p_partkey // 10)')} as text from part)"
 
+_LABELLED = """case p_partkey % 26 when 0 then '{n}. Define the law' when 1 then '{n}  (a)   Draw a diagram.' when 2 then '(i) State it' when 3 then 'Q{n} (5 Marks)'
+ when 4 then 'Q.{n} (b) Explain' when 5 then 'Question {n}. Describe' when 6 then '2 (i) (a) Why' when 7 then '(II.) x' when 8 then '( a ) State' when 9 then '{n} . Define'
+ when 10 then 'T{n} Prove it' when 11 then '13 [4 marks]' when 12 then '1.5 kg of copper' when 13 then 'In 1947 India' when 14 then 'a) Define' when 15 then 'iv. Name two'
+ when 16 then '2 a) Why' when 17 then 'Quote the source.' when 18 then '2 (íi) The sílt' when 19 then 'Q.3 (à) What is' when 20 then '11(a)Draw' when 21 then '  3)'
+ when 22 then 'B1 Running header' when 23 then '1947 was a year' when 24 then '5 (see below) and go on' else p_name end"""
+
+
+def labelled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """paper_id, ord, text: papers of 260 lines that open with labels of every form, and with what only looks like one."""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey div 260 as paper_id", "p_partkey % 260 as ord", _LABELLED.replace("'{n}", "(1 + p_partkey % 23) || '").replace("{n}", "' || (1 + p_partkey % 23) || '") + " as text")
+
+
+LABELLED_LINES = "labelled_lines as (select p_partkey // 260 as paper_id, p_partkey % 260 as ord, " + _LABELLED.replace("'{n}", "(1 + p_partkey % 23) || '").replace("{n}", "' || (1 + p_partkey % 23) || '") + " as text from part)"
+
 _BOX = (
     "o_orderkey as id", "o_orderkey % 200 as page", "o_custkey * 37 % 400 / 1000.0D as x0", "(o_orderkey * 31 + o_custkey * 17) % 900 / 1000.0D as y0",
     "(o_custkey * 37 % 400 + 80 + o_custkey % 120) / 1000.0D as x1", "((o_orderkey * 31 + o_custkey * 17) % 900 + 15 + o_orderkey % 45) / 1000.0D as y1",
