@@ -126,3 +126,21 @@ def stratified(rows: DataFrame, stratum: str, key: str, size: int, seed: int) ->
     order = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
     ranked = rows.join(counts, stratum).withColumn("k", F.row_number().over(w.orderBy(order, key)))
     return ranked.where(F.col("k") <= quota).select(key, stratum)
+
+
+def claim_in_order(rows: DataFrame, key: str, ordinal: str, left: str, right: str) -> DataFrame:
+    """The rows that claim both their sides, in order: each side is claimed once a key. The state is what is claimed."""
+
+    def fold(parts: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        lefts: set = set()
+        rights: set = set()
+        for part in parts:
+            keep = []
+            for a, b in zip(part.column(left).to_pylist(), part.column(right).to_pylist()):
+                keep.append(a not in lefts and b not in rights)
+                if keep[-1]:
+                    lefts.add(a)
+                    rights.add(b)
+            yield from part.filter(pa.array(keep, pa.bool_())).combine_chunks().to_batches()
+
+    return fold_runs(rows.select(key, ordinal, left, right), key, [ordinal], fold, f"{key} long, {ordinal} long, {left} long, {right} long")

@@ -28,9 +28,9 @@ class Catalogue:
 
 
 def _modules() -> list[Catalogue]:
-    from docspan.plans import group_queries, rule_queries, score_queries, spatial_queries, stream_queries, text_queries
+    from docspan.plans import detail_queries, group_queries, rule_queries, score_queries, source_queries, spatial_queries, stream_queries, text_queries
 
-    return [text_queries.CATALOGUE, group_queries.CATALOGUE, spatial_queries.CATALOGUE, score_queries.CATALOGUE, rule_queries.CATALOGUE, stream_queries.CATALOGUE]
+    return [text_queries.CATALOGUE, group_queries.CATALOGUE, spatial_queries.CATALOGUE, score_queries.CATALOGUE, rule_queries.CATALOGUE, detail_queries.CATALOGUE, source_queries.CATALOGUE, stream_queries.CATALOGUE]
 
 
 def queries() -> dict[str, Query]:

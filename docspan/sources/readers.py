@@ -57,6 +57,11 @@ def read_golden(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(schema.GOLDEN).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "truth.json").json(folder)
 
 
+def golden_from(reader, folder: str) -> DataFrame:
+    """Samples that write_golden wrote, one a line."""
+    return reader.schema(schema.GOLDEN).json(folder)
+
+
 def write_golden(samples: DataFrame, folder: str) -> None:
     samples.write.mode("overwrite").json(folder)
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspan.sources.place import new_folder
+
 PAGE_KEY = r"^[0-9a-f]{16}/p[0-9]{4}\.png$"
 STALE_MINUTES = 20
 
@@ -35,15 +37,14 @@ class VersionedStore:
         return self.history().groupBy("key").agg(newest).select("key", "r.*")
 
     def save(self, rows: DataFrame) -> DataFrame:
-        """rows: key, expect_version (0 for a new key), updated_at, body. Returns the rejected rows."""
+        """rows: key, expect_version (0 for a new key), updated_at, body. Returns the rejected rows, from a table of their own."""
         one = rows.groupBy("key").agg(F.min(F.struct("expect_version", "updated_at", "body")).alias("r")).select("key", "r.*")
-        checked = one.join(self.latest().select("key", F.col("version").alias("current")), "key", "left").withColumn("current", F.coalesce("current", F.lit(0).cast("long"))).persist()
-        accepted = checked.where("expect_version = current").select("key", (F.col("current") + 1).alias("version"), "updated_at", "body")
-        rejected = checked.where("expect_version <> current").select("key", "expect_version", "current").toLocalIterator()
-        rejected = self.spark.createDataFrame(list(rejected), "key string, expect_version long, current long")
-        accepted.write.mode("append").parquet(self.folder)
-        checked.unpersist()
-        return rejected
+        current = self.latest().select("key", F.col("version").alias("current"))
+        place = new_folder(self.spark, "save")
+        one.join(current, "key", "left").withColumn("current", F.coalesce("current", F.lit(0).cast("long"))).write.parquet(place)
+        checked = self.spark.read.parquet(place)
+        checked.where("expect_version = current").select("key", (F.col("current") + 1).alias("version"), "updated_at", "body").write.mode("append").parquet(self.folder)
+        return checked.where("expect_version <> current").select("key", "expect_version", "current")
 
 
 def settle(documents: DataFrame, now: str) -> DataFrame:

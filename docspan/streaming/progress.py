@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,21 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docspan.sources.place import new_folder
+
 EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()),
     T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType()),
 ])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder for a stream's output and checkpoint, in the folder that the cluster shares."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = "/tmp/checkpoints/docspan"
-        spark.conf.set("spark.checkpoint.dir", place)
-    return f"{place}/stream-{uuid.uuid4().hex}"
-
-
 def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
     """The event files of a folder as a stream, with an event time that can carry a watermark."""
     stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).parquet(folder)
@@ -35,7 +27,7 @@ def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet
 def _to_table(result: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what is there and return every version of its rows with the batch that wrote it."""
     spark = result.sparkSession
-    place = shared_folder(spark)
+    place = new_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         # a batch that runs again after a failure overwrites its own folder
@@ -86,3 +78,9 @@ def admission(events: DataFrame, limit: int, seconds: int) -> DataFrame:
     rows = events.withWatermark("ts", "1 day").select("user_id", "event_id", "ts", F.unix_micros("ts").alias("t"))
     out = rows.groupBy("user_id").applyInPandasWithState(step, "event_id long, allowed boolean", "calls array<long>", "append", GroupStateTimeout.EventTimeTimeout)
     return _to_table(out, "append").drop("batch")
+
+
+def progress_log(events: DataFrame) -> DataFrame:
+    """event_id, user_id, event_type, terminal of every event that the stream has seen, appended as it comes."""
+    rows = events.select("event_id", "user_id", "event_type", (F.col("event_type") == "error").alias("terminal"))
+    return _to_table(rows, "append").drop("batch")
