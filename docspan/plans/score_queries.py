@@ -175,7 +175,34 @@ def claims_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.claim_groups(_segments(spark, sf_dir), "segment", MARGIN)
 
 
-@query()
+def _classified_sql() -> str:
+    """The paper-line classifier as a recursion over the lines of a paper."""
+    from docspan.plans.text_queries import label_sql, q
+
+    test = lambda p: f"regexp_matches(x.plain, {q(p)})"
+    rubric = " or ".join(f"contains(lower(x.plain), {q(p)})" for p in P.INSTRUCTION_PHRASES)
+    quotes = "['\"', '“', '‘', '''']"
+    return f"""with recursive {V.PAPER_LINES}, {label_sql("paper_lines")},
+x as (select l.paper_id, row_number() over (partition by l.paper_id order by l.ord) as k, l.ord, l.text, trim(l.text) as plain, p.raw is not null as label, length(p.remainder) as rest, regexp_full_match(p.tokens[1], '[0-9]{{1,3}}') as numbered from paper_lines l left join parsed p using (paper_id, ord)),
+n as (select a.paper_id, a.k, min(b.k) as spot from x a join x b on a.paper_id = b.paper_id and b.k between a.k + 1 and a.k + 12 and (length(b.plain) >= 12 or b.label) where a.label group by 1, 2),
+y as (select n.paper_id, n.k, not x.label as body_below from n join x on x.paper_id = n.paper_id and x.k = n.spot),
+f as (select x.*, coalesce(rest >= 3, false) or coalesce(body_below, false) as has_body, {test(P.SECTION_HEADER)} as header, {rubric} as rubric,
+  list_contains({quotes}, substr(x.plain, 1, 1)) as quote, {test(P.ONLY_MARKS)} as only_marks, {test(P.PAGE_NUMBER)} as page_number, {test(P.PER_QUESTION_MARKS)} or {test(P.MARKS_EACH)} as per, {test(P.BRACKETED_ASIDE)} as aside,
+  {test(P.POINTS_AT_ITS_PARTS)} and (x.plain like '%:' or {test(P.INVITES_ANSWERS)}) as heading, {test(P.POINTS_AT_MATERIAL)} as points from x left join y on y.paper_id = x.paper_id and y.k = x.k),
+s as (
+  select paper_id, 0::bigint as k, false as started, false as opened, '' as previous, '' as role from f group by 1
+  union all
+  select paper_id, k, started or role = 'question_start', case when role in ('question_start', 'section_header') then false else opened or pointed end, case when role in ('section_header', 'instruction', 'furniture', 'material') then '' else role end, role from (
+    select *, points and first_role in ('instruction', 'furniture', 'question_continuation') as pointed, case when points and first_role in ('instruction', 'furniture', 'question_continuation') then 'instruction' else first_role end as role from (
+      select f.paper_id, f.k, s.started, s.opened, f.points, case when f.plain = '' then 'furniture' when s.opened and not header and not rubric and not label then 'material' when quote then 'material' when header then 'section_header'
+        when only_marks then 'marks' when page_number then 'furniture' when rubric or per then 'instruction' when aside then 'furniture'
+        when label then case when not has_body then 'furniture' when s.started or numbered then 'question_start' else 'instruction' end
+        when heading then 'instruction' when s.previous in ('question_start', 'question_continuation', 'stem') then 'question_continuation' else 'furniture' end as first_role
+      from s join f on f.paper_id = s.paper_id and f.k = s.k + 1)))
+select f.paper_id, f.ord, s.role, f.text from s join f on f.paper_id = s.paper_id and f.k = s.k"""
+
+
+@query(_classified_sql())
 def classify_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.classify_papers(V.paper_lines(spark, sf_dir))
 

@@ -168,7 +168,19 @@ def column_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("page").agg(F.count_if(F.col("hole") >= 7).alias("gutters"), F.count("*").alias("covered"))
 
 
-@query()
+_CUTS = """
+, p as (select page, min(x0) as l, greatest(max(x1) - min(x0), 0.000000001) as span from boxes group by 1),
+n as (select b.*, p.l, p.span from boxes b join p using (page) where x1 - x0 < 0.62 * span),
+c as (select distinct page, unnest(range(cast(floor((x0 - l) / span * 200) as bigint), least(200, cast(floor((x1 - l) / span * 200) as bigint) + 1))) as bin from n),
+b as (select page, unnest(range(0, 200)) as bin from p), h as (select b.page, b.bin, max(case when c.bin is not null then b.bin end) over (partition by b.page order by b.bin) as filled from b left join c using (page, bin)),
+g as (select h.page, l + (h.bin - 3.5) / 200 * span as cut from h join p using (page) where h.bin - coalesce(filled, -1) = 7 and h.bin > 7),
+k as (select boxes.id, count(g.cut) as col from boxes left join g on boxes.page = g.page and (boxes.x0 + boxes.x1) / 2 > g.cut group by 1),
+s as (select page, col, count(*) as n from boxes join k using (id) group by 1, 2), f as (select page, count(*) < 2 or min(n) < 3 as one, count(*) as cols from s group by 1),
+o as (select page, id, case when one then 0 else col end::integer as col, one, x0, y0 from boxes join k using (id) join f using (page))
+select page, id, col, cast(row_number() over (partition by page order by col, y0, x0, id) as integer) as place, case when one then 1.0 else 0.75 end::double as confidence from o"""
+
+
+@query(sql(_CUTS))
 def column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.column_order(V.boxes(spark, sf_dir))
 
@@ -183,7 +195,11 @@ def box_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select("id", F.round(F.coalesce((F.col("up") + F.col("y0")) / 2, F.col("y0")), 6).alias("top"), F.round(F.coalesce((F.col("y1") + F.col("down")) / 2, F.col("y1")), 6).alias("bottom"))
 
 
-@query()
+@query(V.with_(V.BOXES.replace("boxes as", "recursive boxes as", 1), body="""
+, e as (select a.id as a, b.id as b from boxes a join boxes b on a.page = b.page and a.id <> b.id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1),
+reach as (select id as a, id as b from boxes union select r.a, e.b from reach r join e on r.b = e.a),
+g as (select a as id, min(b) as first from reach group by 1)
+select page, first, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, count(*) as n from boxes join g using (id) group by 1, 2"""))
 def merge_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.merge_overlapping(V.boxes(spark, sf_dir))
 
@@ -202,7 +218,12 @@ def page_iou_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(i, "page", "left").select("page", F.round(i_ / (F.col("t") - i_), 6).alias("iou"))
 
 
-@query()
+@query(V.with_(V.BOXES.replace("boxes as", "recursive boxes as", 1), body=f"""
+, p as (select a.page, a.id as t, b.id as p, {_IOU} as score from boxes a join boxes b on a.page = b.page and a.id % 2 = 0 and b.id % 2 = 1 and ({_INTER}) > 0 where {_IOU} >= 0.3),
+c as (select page, t, list(p order by score desc, p) as ps, row_number() over (partition by page order by t) as k from p group by 1, 2),
+r as (select page, k, ps[1:1] as used from c where k = 1 union all select c.page, c.k, list_concat(r.used, (list_filter(c.ps, lambda x: not list_contains(r.used, x)))[1:1]) from r join c on c.page = r.page and c.k = r.k + 1),
+n as (select page, count(*) as n_truth from boxes where id % 2 = 0 group by 1), f as (select page, max(len(used)) as n_found from r group by 1)
+select page, n_truth, coalesce(n_found, 0) as n_found from n left join f using (page)"""))
 def greedy_line_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = V.boxes(spark, sf_dir)
     return S.greedy_recall(b.where("id % 2 = 0"), b.where("id % 2 = 1"), 0.30)

@@ -44,20 +44,20 @@ def label_section_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _label_sql(view: str) -> str:
+def label_sql(view: str) -> str:
     """The label of every line of a view that has one; the view has text, and prefixes from the letters of its paper."""
     group = lambda c, p: f"nullif(regexp_extract({c}, {q(p)}, 1), '')"
     return f"""
 seen as (select paper_id, regexp_extract(trim(text), {q(labels.SECTION_LETTER)}, 1) as letter, count(distinct try_cast(regexp_extract(trim(text), '^[A-Z]\\s?(\\d{{1,3}})\\b', 1) as integer)) as n from {view} group by 1, 2),
-a as (select *, translate(text, '{labels.FROM}', '{labels.TO}') as plain from {view}),
-b as (select a.*, {group("plain", P.QUESTION_LEAD)} as question, s.letter as letter from a left join seen s on a.paper_id = s.paper_id and s.n >= 3 and s.letter <> '' and s.letter = regexp_extract(plain, {q(labels.SECTION_LETTER)}, 1)),
-c as (select *, case when question is null then letter end as section, coalesce(question, case when letter is not null then {group("plain", labels.SECTION_REST)} end) as lead from b),
-d as (select *, coalesce(lead, regexp_replace(plain, '^\s+', '')) as body from c),
-e as (select *, case when lead is not null then {group("body", labels.AFTER_LEAD)} else coalesce({group("body", labels.WITH_ELEMENT)}, {group("body", labels.WITH_NUMBER)}, {group("body", labels.WITH_BRACKET)}) end as found from d),
-f as (select *, length(plain) - length(body) + length(found) as stop, regexp_extract_all(found, {q(P.LABEL_TOKEN)}) as tokens from e where found is not null),
+label_a as (select *, translate(text, '{labels.FROM}', '{labels.TO}') as plain from {view}),
+label_b as (select a.*, {group("plain", P.QUESTION_LEAD)} as question, s.letter as letter from label_a a left join seen s on a.paper_id = s.paper_id and s.n >= 3 and s.letter <> '' and s.letter = regexp_extract(plain, {q(labels.SECTION_LETTER)}, 1)),
+label_c as (select *, case when question is null then letter end as section, coalesce(question, case when letter is not null then {group("plain", labels.SECTION_REST)} end) as lead from label_b),
+label_d as (select *, coalesce(lead, regexp_replace(plain, '^\s+', '')) as body from label_c),
+label_e as (select *, case when lead is not null then {group("body", labels.AFTER_LEAD)} else coalesce({group("body", labels.WITH_ELEMENT)}, {group("body", labels.WITH_NUMBER)}, {group("body", labels.WITH_BRACKET)}) end as found from label_d),
+label_f as (select *, length(plain) - length(body) + length(found) as stop, regexp_extract_all(found, {q(P.LABEL_TOKEN)}) as tokens from label_e where found is not null),
 parsed as (select paper_id, ord, trim(regexp_replace(substr(text, 1, stop), '\\s+', ' ', 'g')) as raw, tokens, section, regexp_replace(substr(text, stop + 1), '^\s+|\s+$', '', 'g') as remainder,
   case when found like '(%' then 'parenthesised' when lead is not null or regexp_matches(tokens[1], '^[0-9]') then 'numeric' else 'trailing_punct' end as style
-  from f where substr(plain, stop + 1, 1) = '' or regexp_matches(substr(plain, stop + 1, 1), '^\s'))"""
+  from label_f where substr(plain, stop + 1, 1) = '' or regexp_matches(substr(plain, stop + 1, 1), '^\s'))"""
 
 
 def _labels(lines: DataFrame) -> DataFrame:
@@ -66,13 +66,13 @@ def _labels(lines: DataFrame) -> DataFrame:
     return found.select("paper_id", "ord", "label.*")
 
 
-@query("with " + V.LABELLED_LINES + "," + _label_sql("labelled_lines") + " select paper_id, ord, raw, array_to_string(tokens, ',') as tokens, style, section, remainder from parsed")
+@query("with " + V.LABELLED_LINES + "," + label_sql("labelled_lines") + " select paper_id, ord, raw, array_to_string(tokens, ',') as tokens, style, section, remainder from parsed")
 def label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of every form, with the section letters that each paper is seen to use."""
     return _labels(V.labelled_lines(spark, sf_dir)).withColumn("tokens", F.array_join("tokens", ","))
 
 
-@query("with " + V.LABELLED_LINES + "," + _label_sql("labelled_lines") + " select paper_id, array_to_string(list_concat(case when section is null then [] else [section] end, tokens), '/') as qid, count(*) as times, min(ord) as first_ord, max(length(remainder)) >= 3 as has_text from parsed group by 1, 2")
+@query("with " + V.LABELLED_LINES + "," + label_sql("labelled_lines") + " select paper_id, array_to_string(list_concat(case when section is null then [] else [section] end, tokens), '/') as qid, count(*) as times, min(ord) as first_ord, max(length(remainder)) >= 3 as has_text from parsed group by 1, 2")
 def canonical_qids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identities of a paper's labels, how often each comes, and whether some line of it carries a question."""
     found = _labels(V.labelled_lines(spark, sf_dir)).withColumn("qid", labels.canonical_qid(F.col("section"), F.col("tokens")))
