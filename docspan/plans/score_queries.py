@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspan.functions import patterns as P
+from docspan.functions import text as X
 from docspan.operators import alignment, marking
 from docspan.operators import similarity as S
 from docspan.operators import windows as W
@@ -157,22 +158,33 @@ def embed_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DOCS = 20
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments of twenty blocks of a source against all questions, as score pairs."""
-    docs = V.table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("bj"))
+def _sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[tuple[int, tuple[str, ...], float]]]:
+    """Segments of twenty blocks of a source against all questions: scored pairs, lengths, continuations and written labels."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    docs = V.table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars", F.row_number().over(w).alias("bj"))
     docs = docs.withColumn("segment", F.concat_ws(":", "source", F.expr(f"(bj - 1) div {_DOCS}").cast("string")))
-    found = S.scored(docs, V.table(spark, sf_dir, "benchmark"), "doc_id", "item_id", "trigram")
-    return found.select("segment", "bj", F.col("doc_id").alias("block"), F.explode("pairs").alias("p")).select("segment", F.col("p.item").alias("qi"), "bj", F.col("p.item").alias("question"), "block", F.col("p.score").alias("score"))
+    benchmark = V.table(spark, sf_dir, "benchmark")
+    found = S.scored(docs.withColumn("goes_on", X.mentions_continuation(F.col("text"))), benchmark, "doc_id", "item_id", "trigram")
+    blocks = found.select(
+        "segment", F.col("bj").alias("ordinal"), F.col("doc_id").alias("block"), "pairs", (F.col("n_chars") / 6.0).alias("words"), F.col("n_chars").alias("chars"), F.coalesce("goes_on", F.lit(False)).alias("goes_on"),
+        (F.col("doc_id") % 3 == 0).alias("runs_on"), F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") % 50).alias("label"),
+    )
+    items = benchmark.select("item_id", F.greatest(F.lit(6.0), F.length("text") / 6.0).alias("e")).orderBy("item_id").limit(S.SENT_POSTINGS).collect()
+    return blocks, [(r.item_id, (str(r.item_id // 5), str(r.item_id % 5)), r.e) for r in items]
 
 
 @query()
 def align_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.align_groups(_segments(spark, sf_dir), "segment")
+    """The best monotone path of every segment."""
+    blocks, items = _sheets(spark, sf_dir)
+    return alignment.by_sheet(blocks, items, alignment.align_sheet, "segment").drop("how")
 
 
 @query()
 def claims_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.claim_groups(_segments(spark, sf_dir), "segment", MARGIN)
+    """Labels, decided blocks, continuations, joins and the path for the rest; how tells the pass."""
+    blocks, items = _sheets(spark, sf_dir)
+    return alignment.by_sheet(blocks, items, alignment.assign, "segment").withColumnRenamed("how", "by")
 
 
 def _classified_sql() -> str:

@@ -1,6 +1,6 @@
-import itertools
 import random
 
+import numpy as np
 import pytest
 
 from docspan.operators import alignment, folds, labels, marking, spatial
@@ -16,6 +16,14 @@ from docspan.operators import alignment, folds, labels, marking, spatial
         ("Question 4. Explain", ["4"], "Explain"),
         ("2(b) Explain", ["2", "b"], "Explain"),
         ("(ii) Draw", ["ii"], "Draw"),
+        ("2 (i) (a) Why", ["2", "i", "a"], "Why"),
+        ("(II.) x", ["II"], "x"),
+        ("( a ) State", ["a"], "State"),
+        ("1 . Define", ["1"], "Define"),
+        ("13 [4 marks]", ["13"], "[4 marks]"),
+        ("2 (íi) The sílt", ["2", "ii"], "The sílt"),
+        ("2 a) Why", ["2", "a"], "Why"),
+        ("11  (a)   Draw", ["11", "a"], "Draw"),
     ],
 )
 def test_labels(text, tokens, rest):
@@ -28,57 +36,93 @@ def test_no_label(text):
     assert labels.parse_label(text) is None
 
 
+def test_section_letters():
+    assert labels.parse_label("T1 Prove it") is None
+    found = labels.parse_label("T1 Prove it", frozenset("T"))
+    assert (found.tokens, found.section, found.remainder, found.style) == (("1",), "T", "Prove it", "numeric")
+    assert labels.parse_label("Q2 (5 Marks)", frozenset("Q")).section is None
+
+
 def test_deaccent_keeps_length():
     assert labels.deaccent("é½漢x") == "e1漢x"
 
 
-def brute_align(scores, n, m):
-    best = None
-    for choice in itertools.product([None, *range(n)], repeat=m):
-        used = [q for q in choice if q is not None]
-        if used != sorted(used):
-            continue
-        value, previous, ok = 0.0, None, True
-        for j, q in enumerate(choice):
-            if q is None:
-                value += alignment.SKIP_BLOCK
-                previous = None
-                continue
-            if scores[q][j] == float("-inf"):
-                ok = False
-                break
-            if previous == q:
-                value += alignment.CONTINUE + scores[q][j]
-            elif q in choice[:j]:
-                ok = False
-                break
-            else:
-                value += scores[q][j]
-            previous = q
-        if ok:
-            value += alignment.SKIP_QUESTION * (n - len(set(used)))
-            best = value if best is None else max(best, value)
-    return best
-
-
-def path_value(scores, got, n):
-    value, previous = 0.0, None
-    for j, q in enumerate(got):
-        if q is None:
-            value += alignment.SKIP_BLOCK
-        else:
-            value += scores[q][j] + (alignment.CONTINUE if q == previous else 0)
-        previous = q
-    return value + alignment.SKIP_QUESTION * (n - len({q for q in got if q is not None}))
+def best_value(scores, goes_on, agrees, share, i=0, j=0, state="free"):
+    """The value of the best path, by trying every move."""
+    n, m, low = len(scores), len(scores[0]), float("-inf")
+    if i == n and j == m:
+        return 0.0
+    ways = []
+    go = lambda value, *to: ways.append(value + best_value(scores, goes_on, agrees, share, *to))
+    if i < n and j < m and scores[i][j] > low:
+        go(scores[i][j], i + 1, j + 1, "match")
+    if state in ("match", "on") and j < m and scores[i - 1][j] > low:
+        go(alignment.CONTINUE + 0.5 * goes_on[j - 1] + (agrees[j] == i - 1) + scores[i - 1][j], i, j + 1, "on")
+    if state in ("match", "share") and i < n and scores[i][j - 1] > low and share(i, j - 1) is not None:
+        go(alignment.SHARE + scores[i][j - 1] + share(i, j - 1), i + 1, j, "share")
+    if i < n:
+        go(alignment.SKIP_QUESTION, i + 1, j, "free")
+    if j < m:
+        go(alignment.SKIP_BLOCK, i, j + 1, "free")
+    return max(ways)
+
+
+def value_of(pairs, scores, goes_on, agrees, share):
+    """The value of the path that gives the pairs."""
+    n, m = len(scores), len(scores[0])
+    value = alignment.SKIP_QUESTION * (n - len({i for i, _ in pairs})) + alignment.SKIP_BLOCK * (m - len({j for _, j in pairs}))
+    before = None
+    for i, j in pairs:
+        value += scores[i][j]
+        if before and before[0] == i:
+            value += alignment.CONTINUE + 0.5 * goes_on[j - 1] + (agrees[j] == i)
+        elif before and before[1] == j:
+            value += alignment.SHARE + share(i, j)
+        before = i, j
+    return value
 
 
 def test_alignment_is_best_monotone_path():
-    random.seed(3)
-    for _ in range(60):
-        n, m = random.randint(1, 3), random.randint(1, 4)
-        scores = [[random.choice([random.random() - 0.2, float("-inf")]) for _ in range(m)] for _ in range(n)]
-        got = alignment.align(scores, [False] * m)
-        assert path_value(scores, got, n) == pytest.approx(brute_align(scores, n, m))
+    r = random.Random(3)
+    shared = went_on = 0
+    for _ in range(150):
+        n, m = r.randint(1, 4), r.randint(1, 4)
+        scores = [[r.choice([float("-inf"), r.uniform(-0.3, 0.9)]) for _ in range(m)] for _ in range(n)]
+        goes_on, agrees = [r.random() < 0.3 for _ in range(m)], [r.choice([None, r.randrange(n)]) for _ in range(m)]
+        table = {(i, j): r.choice([None, 0.55, -0.9]) for i in range(n) for j in range(m)}
+        share = lambda i, j: table[i, j]  # noqa: B023, E731
+        pairs = alignment.align(scores, goes_on, agrees, share)
+        assert pairs == sorted(pairs)
+        assert value_of(pairs, scores, goes_on, agrees, share) == pytest.approx(best_value(scores, goes_on, agrees, share))
+        shared += any(a[1] == b[1] for a, b in zip(pairs, pairs[1:]))
+        went_on += any(a[0] == b[0] for a, b in zip(pairs, pairs[1:]))
+    assert shared > 3 and went_on > 3
+
+
+def test_relatives_and_parts():
+    s = alignment.Sheet(np.zeros((5, 1)), paths=[("1",), ("2",), ("11", "a"), ("11", "b"), ("11",)])
+    assert s.related(0, 1) and not s.parts(0, 1) and s.related(2, 3) and s.parts(2, 3) and s.parts(2, 4) and not s.related(0, 2)
+
+
+def test_decisive_questions_keep_their_blocks():
+    sim = np.array([[0.9, 0.2], [0.65, 0.2], [0.0, 0.2]])
+    assert alignment.decided(alignment.pair_scores(alignment.Sheet(sim))) == [0, None]
+    parts = alignment.Sheet(sim, paths=[("3", "a"), ("3", "b"), ("4",)])
+    assert alignment.decided(alignment.pair_scores(parts)) == [None, None]
+
+
+def test_passes_of_an_assignment():
+    sim = np.array([[0.9, 0.0, 0.0, 0.0, 0.6], [0.0, 0.8, 0.1, 0.0, 0.0], [0.0, 0.0, 0.0, 0.7, 0.0]])
+    sheet = alignment.Sheet(sim, chars=[50, 50, 8, 50, 50], runs_on=[False, False, True, False, False], labels=[(2, 0), (2, 3)])
+    got = alignment.assign(sheet)
+    assert (2, 0, "label") in got and (1, 1, "decided") in got and (1, 2, "decided") in got or (1, 2, "continuation") in got
+    assert [j for _, j, _ in got] == sorted(j for _, j, _ in got)
+
+
+def test_agreement_looks_past_fragments():
+    sim = np.array([[0.9, 0.0, 0.9, 0.1], [0.0, 0.0, 0.0, 0.9]])
+    sheet = alignment.Sheet(sim, chars=[40, 6, 40, 40])
+    assert alignment.agreements(sheet, alignment.pair_scores(sheet)) == [None, None, 0, None]
 
 
 def test_classifier_roles():
