@@ -8,6 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly where it has fewer partitions than the cluster has cores (a small table in one file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 Fold = Callable[[Iterator[pa.Table]], Iterator[pa.RecordBatch]]
 
 

@@ -36,9 +36,9 @@ def _scores(name: str, terms: str) -> str:
 TRIGRAM, LEXICAL = _scores("scores", _GRAMS), _scores("lexical", _WORDS)
 
 
-def _found(spark: SparkSession, sf_dir: str, measure: str = "trigram", *columns: str) -> DataFrame:
+def _found(spark: SparkSession, sf_dir: str, *measures: str, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the given columns and the scored questions of each document."""
-    return S.scored(V.table(spark, sf_dir, "documents").select("doc_id", *columns, "text"), V.table(spark, sf_dir, "benchmark"), "doc_id", "item_id", measure)
+    return S.scored(V.table(spark, sf_dir, "documents").select("doc_id", *columns, "text"), V.table(spark, sf_dir, "benchmark"), "doc_id", "item_id", *(measures or ("trigram",)))
 
 
 @query(f"with {TRIGRAM} select * from scores where score >= 0.3")
@@ -53,8 +53,7 @@ def lexical_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {TRIGRAM}, {LEXICAL} select doc_id, item_id, max(score) as score from (select * from scores union all select * from lexical) group by 1, 2 having max(score) >= 0.3")
 def stronger_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = S.stronger_of(V.table(spark, sf_dir, "documents").select("doc_id", "text"), V.table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
-    return S.pairs_of(both, "doc_id", "item_id", 0.3)
+    return S.pairs_of(_found(spark, sf_dir, "trigram", "lexical"), "doc_id", "item_id", 0.3)
 
 
 _TWO = f"""with {TRIGRAM}, r as (select *, row_number() over (partition by doc_id order by score desc, item_id) as k from scores),
@@ -109,7 +108,7 @@ where score >= 0.70 * best and score > 0.1""")
 def score_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Live cells: deviation plus length support, within 0.70 of the block's best and above the floor."""
     n = V.table(spark, sf_dir, "benchmark").count()
-    found = _found(spark, sf_dir, "trigram", "n_chars").withColumns({"total": S.total_score(), "best": S.best_score(), "words": F.greatest(F.lit(1.0), F.col("n_chars") / 6.0)})
+    found = _found(spark, sf_dir, columns=("n_chars",)).withColumns({"total": S.total_score(), "best": S.best_score(), "words": F.greatest(F.lit(1.0), F.col("n_chars") / 6.0)})
     s = found.select("doc_id", "total", "words", F.explode(F.filter("pairs", lambda p: (p["score"] >= 0.70 * F.col("best")) & (p["score"] > 0.1))).alias("p"))
     items = V.table(spark, sf_dir, "benchmark").select("item_id", F.greatest(F.lit(6.0), F.length("text") / 6.0).alias("expected"))
     return s.join(items, F.col("p.item") == F.col("item_id")).select("doc_id", "item_id", F.round(F.col("p.score") - F.col("total") / n + 0.2 * F.least("words", "expected") / F.greatest("words", "expected"), 5).alias("cell"))
