@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from docspan.llm import decontaminate, jaccard, pieces, surrogates, toxicity
 from docspan.llm.text import cut, delete, free_name, scratch, shared_dir
+from docspan.operators.runs import spread
 
 BROADCAST_IDS = 1_000_000  # row hashes that may be broadcast; beyond it the join shuffles
 
@@ -90,7 +91,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     The tables that a stage needs on its way, and the output of the stage before, go once its own output is written.
     """
     place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for i, (name, stage) in enumerate(STAGES):
         out = f"{place}/{i}-{name}"
         with scratch(spark):
