@@ -146,12 +146,7 @@ p as (select a.vec_id, b.vec_id as other, round(list_dot_product(a.v, b.v) / a.n
 r as (select *, row_number() over (partition by vec_id order by score desc, other) as k from p) select vec_id, other, score, k from r where k <= 3""")
 def embed_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest vectors of the same label."""
-    e = V.table(spark, sf_dir, "embeddings").withColumn("norm", F.sqrt(S.dot(F.col("embedding"), F.col("embedding"))))
-    a = e.select("vec_id", "label", "embedding", "norm")
-    b = e.select(F.col("vec_id").alias("other"), F.col("label").alias("o_label"), F.col("embedding").alias("o_embedding"), F.col("norm").alias("o_norm"))
-    p = a.join(b, (F.col("label") == F.col("o_label")) & (F.col("vec_id") != F.col("other")))
-    p = p.select("vec_id", "other", F.round(S.dot(F.col("embedding"), F.col("o_embedding")) / F.col("norm") / F.col("o_norm"), 6).alias("score"))
-    return p.withColumn("k", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "other")).cast("long")).where("k <= 3")
+    return S.nearest(V.table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding", 3)
 
 
 _DOCS = 20

@@ -246,3 +246,16 @@ def test_review_scalars(spark):
     assert (row.f, row.g, row.h, row.i, row.j) == ("The answer gives the value 15 m/s", "Units present", 62.5, None, 8.0)
     assert tuple(row.k) == (2.5, True) and tuple(row.l) == (None, False) and tuple(row.m) == (None, True) and row.n == "3.5 / 5"
     assert row.o.endswith("…") and len(row.o) == 61 and row.p == "reading · page 2 of 5" and row.q == "Q 5." and abs(row.r - 2 / 3) < 1e-9 and abs(row.s - 21) < 1e-6 and row.t == "zero"
+
+
+def test_nearest_vectors_in_tiles(spark, monkeypatch):
+    from docspan.operators import similarity
+
+    monkeypatch.setattr(similarity, "VECTORS", 7)
+    r = random.Random(9)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)], i % 3) for i in range(90)]
+    got = {(x.vec_id, x.k): x.other for x in similarity.nearest(spark.createDataFrame(rows, "vec_id long, v array<double>, g int"), "vec_id", "g", "v", 3).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows}
+    for i, _, g in rows:
+        others = sorted((-round(float(unit[i] @ unit[j]), 6), j) for j, _, h in rows if h == g and j != i)
+        assert [got[i, k] for k in (1, 2, 3)] == [j for _, j in others[:3]]
