@@ -356,11 +356,12 @@ def fit(docs: DataFrame, folds: int = 10, vocabulary: tuple[dict[bytes, int], st
     ranks, pattern = vocabulary or default_vocabulary()
     if len(ranks) >= 1 << 16:
         raise ValueError("the subword vocabulary must have fewer than 65536 ids")
-    width, end = shuffle_width(docs.sparkSession), len(ranks)
+    n_rows = docs.count()
+    width, end = shuffle_width(docs.sparkSession, n_rows), len(ranks)
     rows = cut(scan(docs, folds, ranks, pattern, width), "kind")
     fitted = Fitted(rows, None, None, end, width)
     fitted.vocabulary = Vocabulary.of(id_counts(fitted.of(IDS), end + 1))
-    fitted.attention = train(fitted.of(TOKENS), fitted.vocabulary, docs.count(), end)
+    fitted.attention = train(fitted.of(TOKENS), fitted.vocabulary, n_rows, end)
     return fitted
 
 

@@ -24,9 +24,10 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 from docspan.llm.text import cut, slices_of
 
 CHUNK = 65_536  # characters of a chunk
+SHORT = 32  # characters of a stretch that is merged instead of searched
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _INSIDE = re.compile(f"(?<=[^{MARK}]){MARK}")
@@ -67,23 +69,31 @@ def default_model() -> str:
 
 
 class _Words(dict):
-    """word without spaces -> ids of the word behind a mark."""
+    """word without spaces -> packed ids of the word behind a mark."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         e = self.encoder
         if "\n" in word and e.apart:
             first, *rest = word.split("\n")  # nothing merges with a line feed, so paths meet around it too
-            return self[first] + tuple(x for part in rest for x in (*e.apart, *(e.segment(part) if part else ())))
+            return self[first] + b"".join([e.apart + (e.segment(part) if part else b"") for part in rest])
         if len(self) > 300_000:
             self.clear()
-        got = self[word] = tuple(e.ids(e.walk(MARK + word)))
+        got = self[word] = pack_ids(e.ids(e.path(MARK + word)))
         return got
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    packed = array("i", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class Encoder:
     """Lattice encoder of one vocabulary; remembers which neighbours agree and the encodings of words."""
 
@@ -99,9 +109,12 @@ class Encoder:
             if len(p) > 2 and len(p) > self.reach.get(p[:3], 0):
                 self.reach[p[:3]] = len(p)
         self.agreed: dict[tuple[str, str], bool] = {}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
         self.words = _Words(self)
-        self.apart = () if any("\n" in p for p in pieces) else tuple(self.ids(["\n"]))  # a line feed that no piece holds
+        self.apart = b"" if any("\n" in p for p in pieces) else pack_ids(self.ids(["\n"]))  # a line feed that no piece holds
+        shown = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        self.lengths = np.array([len(x) for x in shown], np.int64)
+        self.starts, self.shown = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(shown), np.uint8)
 
     def merged(self, text: str) -> list[str]:
         """The pieces of a short string by merging: best score first, leftmost on ties."""
@@ -178,6 +191,10 @@ class Encoder:
                 at, last, size = at - len(b), path[-1] if path else "", len(b) - 1
         return path
 
+    def path(self, text: str) -> list[str]:
+        """The path of finite weight through a whole stretch: a short one is merged, which ends in the same pieces."""
+        return self.merged(text) if len(text) <= SHORT else self.walk(text)
+
     def ids(self, parts: list[str]) -> list[int]:
         out = []
         for p in parts:
@@ -187,33 +204,32 @@ class Encoder:
                 out += [self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass")]
         return out
 
-    def segment(self, text: str) -> tuple[int, ...]:
-        """Ids of a stretch that starts and ends where all paths meet."""
+    def segment(self, text: str) -> bytes:
+        """Packed ids of a stretch that starts and ends where all paths meet."""
         got = self.memo.get(text)
         if got is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
-            got = self.memo[text] = tuple(self.ids(self.walk(text)))
+            got = self.memo[text] = pack_ids(self.ids(self.path(text)))
         return got
 
-    def meeting(self, text: str) -> list[int]:
-        """Ids of marked text between two places where all paths meet."""
-        out: list[int] = []
-        for m in _SEGMENT.finditer(text):
-            out += self.segment(m.group())
-        return out
+    def meeting(self, text: str) -> bytes:
+        """Packed ids of marked text between two places where all paths meet."""
+        return b"".join([self.segment(m.group()) for m in _SEGMENT.finditer(text)])
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text."""
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a whole text."""
         if not text:
-            return []
+            return b""
         if "  " in text or text[0] == " " or text[-1] == " " or MARK in text:
             return self.meeting(MARK + text.replace(" ", MARK))
-        return list(chain.from_iterable(map(self.words.__getitem__, text.split(" "))))
+        return b"".join(map(self.words.__getitem__, text.split(" ")))
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """The text of ids that encode made."""
-        text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "surrogatepass")
+        n = self.lengths[ids]
+        at = np.repeat(self.starts[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        text = self.shown[at].tobytes().decode("utf-8", "surrogatepass")
         return text[1:] if text[:1] == " " else text
 
     def read(self, ids: list[int | None]) -> str:
@@ -257,18 +273,18 @@ class Encoder:
                     whole[row, col] = 0.0
         return whole
 
-    def backtrace(self, behind: str, body: str, ahead: str, entry: int, leave: int) -> list[int]:
-        """Ids of the pieces that start in the chunk, between a state at its start and one at its end."""
+    def backtrace(self, behind: str, body: str, ahead: str, entry: int, leave: int) -> bytes:
+        """Packed ids of the pieces that start in the chunk, between a state at its start and one at its end."""
         text = body + ahead
         last, skip = self._into(behind, body)[entry]
         i, j = self.states(body[-self.longest :], ahead)[leave]
         end, cut = len(body) + j, self._first_meeting(body)
         if cut is None or skip > cut:
-            return self.ids(self.back(self.forward(text, skip, last, len(body)), end, skip))
+            return pack_ids(self.ids(self.back(self.forward(text, skip, last, len(body)), end, skip)))
         start = self._last_meeting(body)
         head = self.ids(self.back(self.forward(text[:cut], skip, last, cut), cut, skip))
         tail = self.ids(self.back(self.forward(text, start, "", len(body)), end, start))
-        return head + self.meeting(body[cut:start]) + tail
+        return pack_ids(head) + self.meeting(body[cut:start]) + pack_ids(tail)
 
     def _into(self, behind: str, body: str) -> list[tuple[str, int]]:
         if not behind:
@@ -319,9 +335,9 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, chunk: int
     giant = F.coalesce(F.length("text") >= chunk, F.lit(False))
     result = "doc_id long, ids array<int>, n_pieces long, n_chunks int, ids_sha256 string, round_trip boolean"
 
-    def row(doc_id: int | None, ids: list[int], n_chunks: int, text: str, encoder: Encoder) -> tuple:
-        packed = np.array(ids, "<i4")
-        return doc_id, packed, len(ids), n_chunks, hashlib.sha256(packed.tobytes()).hexdigest(), encoder.decode(ids) == text.replace(MARK, " ")
+    def row(doc_id: int | None, packed: bytes, n_chunks: int, text: str, encoder: Encoder) -> tuple:
+        ids = np.frombuffer(packed, "<i4")
+        return doc_id, ids, len(ids), n_chunks, hashlib.sha256(packed).hexdigest(), encoder.decode(ids) == text.replace(MARK, " ")
 
     def pack(rows: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*rows))
@@ -383,21 +399,20 @@ def encode_documents(docs: DataFrame, model_file: str | None = None, chunk: int
         encoder = Encoder(pieces, byte_ids)
         for batch in (part for whole in batches for part in slices_of(whole)):
             ids = [encoder.backtrace(b, t, a, s[i], s[i + 1]) for b, t, a, s, i in zip(*(batch.column(c).to_pylist() for c in ("behind", "body", "ahead", "states", "i")))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "h", "i")] + [pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "h", "i", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "h", "i")] + [pa.array(ids, pa.binary())], names=["doc_id", "h", "i", "ids"])
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces, byte_ids)
         for batch in (part for whole in batches for part in slices_of(whole)):
             for doc_id, text, copies, chunks in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "copies", "chunks"))):
-                ids = [x for c in chunks for x in c["ids"]]
-                yield pack([row(doc_id, ids, len(chunks), text, encoder)] * copies)
+                yield pack([row(doc_id, b"".join([c["ids"] for c in chunks]), len(chunks), text, encoder)] * copies)
 
     small = docs.where(~giant).mapInArrow(short, result)
     long = docs.where(giant).groupBy("doc_id", "text").agg(F.count("*").alias("copies")).withColumn("h", F.xxhash64("text"))
     parts = cut(long.mapInArrow(split, "doc_id long, h long, copies long, i int, n int, behind string, body string, ahead string").repartition("doc_id", "h", "i"))
     met = parts.select("doc_id", "h", "i", "behind", "body", "ahead").mapInArrow(matrices, "doc_id long, h long, i int, width int, paths array<boolean>")
     solved = met.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("i", "width", "paths"))).alias("chunks")).mapInArrow(resolve, "s_doc long, s_h long, states array<int>")
-    traced = parts.join(solved, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("h") == F.col("s_h"))).select("doc_id", "h", "i", "behind", "body", "ahead", "states").mapInArrow(trace, "doc_id long, h long, i int, ids array<int>")
+    traced = parts.join(solved, F.col("doc_id").eqNullSafe(F.col("s_doc")) & (F.col("h") == F.col("s_h"))).select("doc_id", "h", "i", "behind", "body", "ahead", "states").mapInArrow(trace, "doc_id long, h long, i int, ids binary")
     whole = traced.groupBy(F.col("doc_id").alias("t_doc"), F.col("h").alias("t_h")).agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("chunks"))
     big = long.join(whole, F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("h") == F.col("t_h"))).select("doc_id", "text", "copies", "chunks").mapInArrow(join_up, result)
     return small.unionByName(big)

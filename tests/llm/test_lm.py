@@ -70,7 +70,7 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(lm, "SHARD_ROWS", 4)
     found = []
     for parts, width, size in ((1, 4, 4 << 20), (8, 3, 4 << 20), (29, 7, 2_000)):
-        monkeypatch.setattr(lm, "shuffle_width", lambda _, n=width: n)
+        monkeypatch.setattr(lm, "shuffle_width", lambda *_, n=width: n)
         monkeypatch.setattr(lm, "BATCH_BYTES", size)
         found.append(sorted((r.doc_id, r.n_subwords, r.score, round(r.base_score, 9)) for r in lm.score(docs.repartition(parts)).collect()))
     assert found[0] == found[1] == found[2]

@@ -56,6 +56,15 @@ def test_a_very_long_text_and_rows_without_doc_id(spark, library):
     assert max(r.n_chunks for r in got) > 5 and all(r.round_trip for r in got)
 
 
+def test_short_and_long_stretches_are_the_same_path(library):
+    import random
+
+    e, r = pieces.Encoder(*pieces.load_vocabulary(pieces.default_model())), random.Random(4)
+    for _ in range(400):
+        word = pieces.MARK + "".join(r.choices("aeioustnrlhd.,'é漢0", k=r.randint(1, 40)))
+        assert e.merged(word) == e.walk(word)
+
+
 def test_empty_table(spark):
     assert pieces.encode_documents(documents(spark, [])).count() == 0
     assert pieces.decode_documents(pieces.encode_documents(documents(spark, []))).count() == 0
