@@ -52,12 +52,12 @@ seen as (select paper_id, regexp_extract(trim(text), {q(labels.SECTION_LETTER)},
 label_a as (select *, translate(text, '{labels.FROM}', '{labels.TO}') as plain from {view}),
 label_b as (select a.*, {group("plain", P.QUESTION_LEAD)} as question, s.letter as letter from label_a a left join seen s on a.paper_id = s.paper_id and s.n >= 3 and s.letter <> '' and s.letter = regexp_extract(plain, {q(labels.SECTION_LETTER)}, 1)),
 label_c as (select *, case when question is null then letter end as section, coalesce(question, case when letter is not null then {group("plain", labels.SECTION_REST)} end) as lead from label_b),
-label_d as (select *, coalesce(lead, regexp_replace(plain, '^\s+', '')) as body from label_c),
+label_d as (select *, coalesce(lead, regexp_replace(plain, '^\\s+', '')) as body from label_c),
 label_e as (select *, case when lead is not null then {group("body", labels.AFTER_LEAD)} else coalesce({group("body", labels.WITH_ELEMENT)}, {group("body", labels.WITH_NUMBER)}, {group("body", labels.WITH_BRACKET)}) end as found from label_d),
 label_f as (select *, length(plain) - length(body) + length(found) as stop, regexp_extract_all(found, {q(P.LABEL_TOKEN)}) as tokens from label_e where found is not null),
-parsed as (select paper_id, ord, trim(regexp_replace(substr(text, 1, stop), '\\s+', ' ', 'g')) as raw, tokens, section, regexp_replace(substr(text, stop + 1), '^\s+|\s+$', '', 'g') as remainder,
+parsed as (select paper_id, ord, trim(regexp_replace(substr(text, 1, stop), '\\s+', ' ', 'g')) as raw, tokens, section, regexp_replace(substr(text, stop + 1), '^\\s+|\\s+$', '', 'g') as remainder,
   case when found like '(%' then 'parenthesised' when lead is not null or regexp_matches(tokens[1], '^[0-9]') then 'numeric' else 'trailing_punct' end as style
-  from label_f where substr(plain, stop + 1, 1) = '' or regexp_matches(substr(plain, stop + 1, 1), '^\s'))"""
+  from label_f where substr(plain, stop + 1, 1) = '' or regexp_matches(substr(plain, stop + 1, 1), '^\\s'))"""
 
 
 def _labels(lines: DataFrame) -> DataFrame:
