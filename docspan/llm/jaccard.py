@@ -377,3 +377,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, threshold: Fraction = Fracti
     out = join_skewed(members, by_set, "sid")
     none = F.lit(0).cast("long")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", none).alias("n_links"), F.coalesce("set_links", none).alias("set_links"), F.col("rid").alias("row_hash"), "class_id")
+
+
+ORACLE = r"""
+with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^$', ''), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct r, unnest(list_transform(range(1, greatest(len(ws) - 3, 1) + 1), lambda i: array_to_string(ws[i:i+3], ' '))) as g from d where len(ws) > 0),
+n as (select r, count(*) as n from s group by 1),
+k as (select r, md5(string_agg(g, chr(10) order by g)) as k from s group by 1),
+rep as (select k, min(r) as r, count(*) as copies from k group by 1),
+t as (select s.r, s.g from s join rep using (r)),
+p as (select a.r as a, b.r as b, count(*) as both_ from t a join t b on a.g = b.g and a.r < b.r group by 1, 2),
+l as (select p.a, p.b from p join n x on x.r = p.a join n y on y.r = p.b where 100 * both_ >= 85 * (x.n + y.n - both_)),
+e as (select a, b from l union all select b, a from l),
+reach as (select r as a, r as b from rep union select reach.a, e.b from reach join e on reach.b = e.a),
+o as (select reach.a, min(d.doc_id) as component_id from reach join rep on rep.r = reach.b join k on k.k = rep.k join d on d.r = k.r group by 1),
+g as (select e.a, count(*) as set_links, sum(rep.copies) as docs from e join rep on rep.r = e.b group by 1)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(o.component_id, d.doc_id) as component_id, coalesce(rep.copies - 1 + coalesce(g.docs, 0), 0)::bigint as n_links, coalesce(g.set_links, 0) as set_links
+from d left join n using (r) left join k using (r) left join rep on rep.k = k.k left join o on o.a = rep.r left join g on g.a = rep.r
+"""

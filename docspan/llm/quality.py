@@ -174,3 +174,18 @@ def ablation(ledger: DataFrame, version: str = CURRENT) -> DataFrame:
         F.sum(F.when(F.col("failed") == bit, F.col("n")).otherwise(0)).alias("n_only"),
         F.sum(F.when(F.col("failed").bitwiseAND(F.bitwise_not(bit)) == 0, F.col("n")).otherwise(0)).alias("n_kept_without"),
     )
+
+
+_LEDGER = r"""
+t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+w as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from t),
+g as (select r, unnest(range(1, len(ws) - 3)) as i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) as win from w where len(ws) >= 5),
+b as (select r, i from (select r, i, count(*) over (partition by r, win) as n from g) where n > 1),
+c as (select r, count(distinct i + o) as n_repeat_words from b, range(5) x(o) group by 1),
+l as (select r, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select r, unnest(string_split(text, chr(10))) as line from t) where regexp_matches(line, '[^\x20\x09-\x0D]') group by 1),
+m as (select w.doc_id, len(ws)::bigint as n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+  coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines, length(regexp_replace(text, '[^\p{L}]', '', 'g')) as n_letters, length(regexp_replace(text, '[^|]', '', 'g')) as pipes from w left join c using (r) left join l using (r)),
+f as (select *, (case when n_words < 10 then 1 else 0 end + case when 100 * n_repeat_words > 20 * n_words then 2 else 0 end + case when 100 * n_symbols > 30 * n_words then 4 else 0 end + case when 100 * n_dup_lines > 50 * n_lines then 8 else 0 end
+  + case when n_words > 0 and not word_chars / n_words::double between 2 and 20 then 16 else 0 end + case when 100 * n_letters < 50 * word_chars then 32 else 0 end + case when 100 * pipes > 30 * n_words then 64 else 0 end)::bigint as failed from m)"""
+ORACLE = f"with {_LEDGER} select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed = 0 as kept, n_lines, n_letters, failed, 'v2' as policy from f"
+ABLATION_ORACLE = f"with {_LEDGER}, rules as (select * from (values {', '.join(f"('{name}', {bit})" for name, bit in BIT.items())}) x(rule, bit)) select rule, count(*) filter (where failed & bit <> 0) as n_failed, count(*) filter (where failed = bit) as n_only, count(*) filter (where failed & ~bit = 0) as n_kept_without from f, rules group by 1"

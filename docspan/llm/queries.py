@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four-word shingles, Jaccard similarity of 0.85 or more."""
-    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), 4, Fraction(85, 100))
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"), 4, Fraction(85, 100)).drop("row_hash", "class_id")
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": chat.ORACLE, "op9_benchmark_decontamination": decontaminate.ORACLE}
+    return {
+        "op1_ngram_jaccard_join": jaccard.ORACLE, "op4_chat_formatting": chat.ORACLE, "op8_quality_rules": quality.ORACLE, "quality_ablation": quality.ABLATION_ORACLE,
+        "op9_benchmark_decontamination": decontaminate.ORACLE,
+    }
