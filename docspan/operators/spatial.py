@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspan.functions import geometry as G
+from docspan.functions import rules as X
+from docspan.operators.runs import fold_runs
 
+Rect = tuple[float, float, float, float]
 BIN = 0.05  # height of the bands that overlapping boxes must share
 
 
@@ -133,3 +139,67 @@ def column_order(df: DataFrame, page: str = "page", bins: int = 200, gutter: int
         return pd.DataFrame({"page": out[page], "id": out["id"], "col": out["col"], "place": range(1, len(out) + 1), "confidence": 0.75 if column.nunique() > 1 else 1.0})
 
     return df.select("id", page, "x0", "y0", "x1", "y1").groupBy(page).applyInPandas(fold, "page long, id long, col int, place int, confidence double")
+
+
+def band_rows(boxes: list[Rect]) -> list[Rect]:
+    """One box a row of writing: a box joins the first row that it is level with and close to."""
+    rows: list[Rect] = []
+    for b in boxes:
+        at = next((i for i, r in enumerate(rows) if _level(r, b)), None)
+        if at is None:
+            rows.append(b)
+        else:
+            rows[at] = _hull(rows[at], b)
+    return sorted(rows, key=lambda r: (r[1], r[0]))
+
+
+def bands(rows: list[Rect]) -> list[list[Rect]]:
+    """Rows in bands of writing: a row joins the first band that it continues."""
+    found: list[list[Rect]] = []
+    for b in rows:
+        at = next((run for run in found if _continues(run, b)), None)
+        if at is None:
+            found.append([b])
+        else:
+            at.append(b)
+    return found
+
+
+def band_outline(run: list[Rect]) -> list[Rect]:
+    """A band as a text selection: rows meet halfway, and only the first and the last are ragged."""
+    run = sorted(run, key=lambda r: r[1])
+    left, right, last = min(r[0] for r in run), max(r[2] for r in run), len(run) - 1
+    out = []
+    for i, (x0, y0, x1, y1) in enumerate(run):
+        top, bottom = y0 if i == 0 else (run[i - 1][3] + y0) / 2, y1 if i == last else (y1 + run[i + 1][1]) / 2
+        out.append((x0 if i == 0 else left, min(top, y0), x1 if i == last else right, max(bottom, y1)))
+    return out
+
+
+def _hull(a: Rect, b: Rect) -> Rect:
+    return min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])
+
+
+def _level(a: Rect, b: Rect) -> bool:
+    shared, shorter = min(a[3], b[3]) - max(a[1], b[1]), min(a[3] - a[1], b[3] - b[1])
+    return shared > 0 and shared / shorter >= X.ROW_OVERLAP and max(a[0], b[0]) - min(a[2], b[2]) <= X.ROW_GAP
+
+
+def _continues(run: list[Rect], b: Rect) -> bool:
+    height = max(b[3] - b[1], *(r[3] - r[1] for r in run))
+    left, right = min(r[0] for r in run), max(r[2] for r in run)
+    shared = min(right, b[2]) - max(left, b[0])
+    return b[1] - max(r[3] for r in run) <= height * X.BAND_GAP and shared > 0 and shared / min(right - left, b[2] - b[0]) >= X.BAND_WIDTH
+
+
+def highlights(boxes: DataFrame, key: str) -> DataFrame:
+    """key, band, row, x0, y0, x1, y1: the highlight of each key's boxes (one page of one answer)."""
+
+    def fold(parts: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(parts)
+        rects = list(zip(*(table.column(c).to_pylist() for c in ("x0", "y0", "x1", "y1"))))
+        out = [(table.column(key)[0].as_py(), n, i, *r) for n, run in enumerate(bands(band_rows(rects))) for i, r in enumerate(band_outline(run))]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 4)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=[key, "band", "row", "x0", "y0", "x1", "y1"])
+
+    return fold_runs(boxes.select(key, "id", "x0", "y0", "x1", "y1"), key, ["y0", "x0", "id"], fold, f"{key} long, band int, row int, x0 double, y0 double, x1 double, y1 double")

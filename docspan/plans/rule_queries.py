@@ -402,3 +402,46 @@ def usable_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = T(spark, sf_dir, "supplier").join(T(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     slots = F.array(F.col("s_acctbal") >= 0, F.col("s_name").isNotNull(), F.col("n_name").isNotNull())
     return s.select("s_suppkey", F.greatest(F.col("n_nationkey") % 4 + 1, F.lit(1)).alias("weight"), F.forall(slots, lambda x: x).alias("usable"))
+
+
+_R = "struct_pack(x0 := {0}.x0, y0 := {0}.y0, x1 := {0}.x1, y1 := {0}.y1)"
+_LEVEL = "least(r.y1, b.y1) - greatest(r.y0, b.y0) > 0 and (least(r.y1, b.y1) - greatest(r.y0, b.y0)) / least(r.y1 - r.y0, b.y1 - b.y0) >= 0.5 and greatest(r.x0, b.x0) - least(r.x1, b.x1) <= 0.08"
+_RUN = "struct_pack(x0 := {0}.x0, x1 := {0}.x1, y1 := {0}.y1, h := {0}.y1 - {0}.y0, members := [{1}])"
+
+
+@query(V.with_(V.BOXES.replace("boxes as", "recursive boxes as", 1), body=f"""
+, s as (select page * 10 + id % 6 as part, row_number() over (partition by page * 10 + id % 6 order by y0, x0, id) as k, {_R.format('boxes')} as b from boxes),
+r as (
+  select part, k, [b] as rows from s where k = 1
+  union all
+  select part, k, case when spot = 0 then list_append(rows, b) else list_concat(list_concat(rows[1:spot - 1], [struct_pack(x0 := least(rows[spot].x0, b.x0), y0 := least(rows[spot].y0, b.y0), x1 := greatest(rows[spot].x1, b.x1), y1 := greatest(rows[spot].y1, b.y1))]), rows[spot + 1:]) end
+  from (select s.part, s.k, s.b, r.rows, coalesce(list_position(list_transform(r.rows, lambda r: {_LEVEL.replace('b.', 's.b.')}), true), 0) as spot from r join s on s.part = r.part and s.k = r.k + 1)),
+l as (select part, unnest(rows) as b from r join (select part, max(k) as k from r group by 1) using (part, k)),
+o as (select part, b, row_number() over (partition by part order by b.y0, b.x0) as k from l),
+q as (
+  select part, k, [{_RUN.format('b', 'k')}] as runs from o where k = 1
+  union all
+  select part, k, case when spot = 0 then list_append(runs, {_RUN.format('b', 'k')}) else list_concat(list_concat(runs[1:spot - 1], [struct_pack(x0 := least(runs[spot].x0, b.x0), x1 := greatest(runs[spot].x1, b.x1), y1 := greatest(runs[spot].y1, b.y1), h := greatest(runs[spot].h, b.y1 - b.y0), members := list_append(runs[spot].members, k))]), runs[spot + 1:]) end
+  from (select o.part, o.k, o.b, q.runs, coalesce(list_position(list_transform(q.runs, lambda u: o.b.y0 - u.y1 <= greatest(o.b.y1 - o.b.y0, u.h) * 1.2 and least(u.x1, o.b.x1) - greatest(u.x0, o.b.x0) > 0 and (least(u.x1, o.b.x1) - greatest(u.x0, o.b.x0)) / least(u.x1 - u.x0, o.b.x1 - o.b.x0) >= 0.15), true), 0) as spot
+    from q join o on o.part = q.part and o.k = q.k + 1)),
+m as (select part, unnest(range(0, len(runs))) as band, unnest(runs) as u from q join (select part, max(k) as k from q group by 1) using (part, k)),
+n as (select m.part, band, o.b, u.x0 as l, u.x1 as r, row_number() over w as i, count(*) over (partition by m.part, band) as c, lag(o.b.y1) over w as up, lead(o.b.y0) over w as down from m join o on o.part = m.part and list_contains(u.members, o.k) window w as (partition by m.part, band order by o.b.y0, o.k))
+select part, band::integer as band, (i - 1)::integer as row, case when i = 1 then b.x0 else l end as x0, round(least(case when i = 1 then b.y0 else (up + b.y0) / 2 end, b.y0), 6) as y0, case when i = c then b.x1 else r end as x1, round(greatest(case when i = c then b.y1 else (b.y1 + down) / 2 end, b.y1), 6) as y1 from n"""))
+def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The writing of an answer on a page as rows, bands and outlines."""
+    found = S.highlights(V.boxes(spark, sf_dir).withColumn("part", F.col("page") * 10 + F.col("id") % 6), "part")
+    return found.select("part", "band", "row", "x0", F.round("y0", 6).alias("y0"), "x1", F.round("y1", 6).alias("y1"))
+
+
+@query("""with j as (select l_orderkey as sub_id, l_suppkey % 3 as qid, round(l_tax * 50) as marks, case when l_linenumber % 3 = 0 then null else l_quantity > 25 end as met, case when l_discount > 0.05 then 'no' else '' end as error, l_partkey % 7 = 0 as unverifiable, l_partkey % 4 as cite from lineitem),
+r as (select *, (unverifiable and coalesce(met, true)) or (coalesce(met, false) and cite < 2) as credited, not coalesce(met, true) and error <> '' as refused from j)
+select sub_id, qid, sum(case when credited then marks else 0 end)::double as awarded, sum(marks)::double as available, bool_or(not credited and not refused) as needs_review, count(*) filter (where not credited and not refused) as n_deferred from r group by 1, 2""")
+def check_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades from binary checks: met and cited, unverifiable, refused with a reason, or deferred."""
+    from docspan.operators import marking
+
+    j = T(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey as sub_id", "l_suppkey % 3 as qid", "round(l_tax * 50) as marks", "case when l_linenumber % 3 = 0 then null else l_quantity > 25 end as met", "case when l_discount > 0.05 then 'no' else '' end as error",
+        "l_partkey % 7 = 0 as unverifiable", "array(concat('as:', cast(l_partkey % 4 as string))) as cited", "array('as:0', 'as:1') as known",
+    )
+    return marking.assemble_checks(j)
