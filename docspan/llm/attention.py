@@ -26,8 +26,9 @@ HEAD = 8  # of queries and keys
 SLOTS = 2048  # embedding rows; rarer ids share the last quarter
 CLASSES = 64  # of the output projection, at most
 SMOOTHING = 4.0  # K: pseudo-counts of the unigram share inside a class
-CHUNK = 4096  # positions that are scored or trained on together
+CHUNK = 2048  # positions that are scored or trained on together
 RATE = 0.01
+TINY = np.float32(1e-18)
 
 
 def reuse_memory() -> None:
@@ -107,7 +108,7 @@ class Attention:
     def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None):
         self.vocabulary = vocabulary
         n = len(vocabulary.mass)
-        self.shapes = {"e": (SLOTS, WIDTH), "qkv": (WIDTH, 2 * HEAD + WIDTH), "o": (WIDTH, WIDTH), "x": (WIDTH, WIDTH), "h": (WIDTH,), "p": (BLOCK, 2 * BLOCK), "c": (WIDTH, n), "b": (n,)}
+        self.shapes = {"e": (SLOTS, WIDTH), "in": (WIDTH, 2 * HEAD + 2 * WIDTH), "o": (WIDTH, WIDTH), "h": (WIDTH,), "p": (BLOCK, 2 * BLOCK), "c": (WIDTH, n), "b": (n,)}
         self.flat = np.zeros(sum(int(np.prod(s)) for s in self.shapes.values()), np.float32) if flat is None else flat.astype(np.float32)
         self.w, at = {}, 0
         for name, shape in self.shapes.items():
@@ -116,21 +117,24 @@ class Attention:
             at += size
         if flat is None:  # the projection starts at the class unigram
             random = np.random.default_rng(7)
-            for name in ("e", "qkv", "o", "x"):
+            for name in ("e", "in", "o"):
                 self.w[name][:] = random.normal(0, 0.3, self.shapes[name])
             self.w["b"][:] = np.log(vocabulary.mass)
 
     def _forward(self, slots: np.ndarray) -> tuple:
-        """Activations of every block but the first (x and qkv: of all), and the classes' odds with their sum."""
+        """Activations of every block but the first (x: of all), and the classes' odds with their sum.
+
+        One product gives queries, keys, values and the last id's own way to the hidden layer.
+        """
         w = self.w
         x = w["e"].take(slots, 0)
-        qkv = x @ w["qkv"]
-        rows, step = qkv.strides
+        into = x @ w["in"]
+        rows, step = into.strides
 
         def windows(lo: int, n: int) -> np.ndarray:
-            return np.lib.stride_tricks.as_strided(qkv[:, lo:], (len(x) // BLOCK - 1, 2 * BLOCK, n), (rows * BLOCK, rows, step))
+            return np.lib.stride_tricks.as_strided(into[:, lo:], (len(x) // BLOCK - 1, 2 * BLOCK, n), (rows * BLOCK, rows, step))
 
-        q = qkv.reshape(-1, BLOCK, qkv.shape[1])[1:, :, :HEAD]
+        q = into.reshape(-1, BLOCK, into.shape[1])[1:, :, :HEAD]
         k, v = windows(HEAD, HEAD), windows(2 * HEAD, WIDTH)
         a = q @ k.transpose(0, 2, 1)
         a += w["p"] + _MASK
@@ -138,8 +142,8 @@ class Attention:
         np.exp(a, out=a)
         a /= a @ _ONES
         o = (a @ v).reshape(-1, WIDTH)
-        y = x[BLOCK:] @ w["x"]
-        y += o @ w["o"]
+        y = o @ w["o"]
+        y += into[BLOCK:, 2 * HEAD + WIDTH :]
         y += w["h"]
         np.maximum(y, 0, out=y)
         g = y @ w["c"]
@@ -172,8 +176,8 @@ class Attention:
         g[at, group] -= np.float32(1 / n)
         dy = g @ w["c"].T
         dy *= y > 0
-        xs = x[BLOCK:]
-        grads = {"c": y.T @ g, "b": np.ones((1, len(g)), np.float32) @ g, "x": xs.T @ dy, "o": o.T @ dy, "h": dy.sum(0)}
+        ones = np.ones((1, len(g)), np.float32)
+        grads = {"c": y.T @ g, "b": ones @ g, "o": o.T @ dy, "h": ones @ dy}
         do = (dy @ w["o"].T).reshape(-1, BLOCK, WIDTH)
         dv = a.transpose(0, 2, 1) @ do
         ds = do @ v.transpose(0, 2, 1)
@@ -181,16 +185,15 @@ class Attention:
         ds -= a * (ds @ _ONES)
         grads["p"] = ds.sum(0)
         dk = ds.transpose(0, 2, 1) @ q
-        dqkv = np.empty((len(x) // BLOCK, BLOCK, 2 * HEAD + WIDTH), np.float32)
-        dqkv[0] = 0
-        dqkv[1:, :, :HEAD] = ds @ k
-        dqkv[1:, :, HEAD : 2 * HEAD], dqkv[1:, :, 2 * HEAD :] = dk[:, BLOCK:], dv[:, BLOCK:]
-        dqkv[:-1, :, HEAD : 2 * HEAD] += dk[:, :BLOCK]
-        dqkv[:-1, :, 2 * HEAD :] += dv[:, :BLOCK]
-        dqkv = dqkv.reshape(len(x), -1)
-        grads["qkv"] = x.T @ dqkv
-        dx = dqkv @ w["qkv"].T
-        dx[BLOCK:] += dy @ w["x"].T
+        into = np.empty((len(x) // BLOCK, BLOCK, 2 * HEAD + 2 * WIDTH), np.float32)
+        into[0] = 0
+        into[1:, :, :HEAD] = ds @ k
+        into[1:, :, HEAD : 2 * HEAD], into[1:, :, 2 * HEAD : -WIDTH], into[1:, :, -WIDTH:] = dk[:, BLOCK:], dv[:, BLOCK:], dy.reshape(-1, BLOCK, WIDTH)
+        into[:-1, :, HEAD : 2 * HEAD] += dk[:, :BLOCK]
+        into[:-1, :, 2 * HEAD : -WIDTH] += dv[:, :BLOCK]
+        into = into.reshape(len(x), -1)
+        grads["in"] = x.T @ into
+        dx = into @ w["in"].T
         columns = np.ascontiguousarray(dx.T)
         grads["e"] = np.stack([np.bincount(slots, weights=c, minlength=SLOTS) for c in columns], axis=1).astype(np.float32)
         return loss, np.concatenate([grads[name].ravel() for name in self.shapes])
@@ -201,6 +204,7 @@ class Attention:
         m, v = np.zeros_like(self.flat), np.zeros_like(self.flat)
         for step, (inputs, targets) in enumerate(training_chunks(docs, end), 1):
             _, g = self.gradient(inputs, targets)
+            g += TINY  # moments of ids that do not come fade to this instead of numbers that processors are slow with
             m += 0.1 * (g - m)
             v += 0.02 * (g * g - v)
             self.flat -= np.float32(rate / (1 - 0.9**step)) * m / (np.sqrt(v / np.float32(1 - 0.98**step)) + np.float32(1e-8))

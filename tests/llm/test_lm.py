@@ -29,13 +29,13 @@ def plain_scores(rows, fitted):
     for r, ids in docs:
         total, inputs = 0.0, [end, *ids[:-1]]
         x = w["e"][v.slot[[end] * A.BLOCK + inputs]]
-        q, k, val = np.split(x @ w["qkv"], [A.HEAD, 2 * A.HEAD], axis=1)
+        q, k, val, own = np.split(x @ w["in"], [A.HEAD, 2 * A.HEAD, 2 * A.HEAD + A.WIDTH], axis=1)
         for i, target in enumerate(ids):
             row, lo = i % A.BLOCK, i - i % A.BLOCK  # the window starts a block earlier, which padding shifts to lo
             seen = range(lo, i + A.BLOCK + 1)
             a = np.exp([min(30.0, q[i + A.BLOCK] @ k[j] + w["p"][row, j - lo]) for j in seen])
             o = sum(p * val[j] for p, j in zip(a / a.sum(), seen))
-            y = np.maximum(x[i + A.BLOCK] @ w["x"] + o @ w["o"] + w["h"], 0)
+            y = np.maximum(own[i + A.BLOCK] + o @ w["o"] + w["h"], 0)
             g = np.exp(np.clip(y @ w["c"] + w["b"], -30, 30))
             c = int(v.group[target])
             total += math.log10(g[c] / g.sum()) + math.log10((pairs[inputs[i], target] + A.SMOOTHING * v.share[target]) / (after[inputs[i], c] + A.SMOOTHING))
