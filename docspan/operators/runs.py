@@ -9,7 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out evenly where it has fewer partitions than the cluster has cores (a small table in one file)."""
+    """df, dealt out evenly where it has fewer partitions than the cluster has cores (a small table in one file).
+
+    What comes out of a shuffle is left as it is; asking for its partitions would run it.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -465,3 +465,25 @@ def continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = o.select("*", F.lag("y1").over(w).alias("up"), F.lag("question").over(w).alias("above"), F.lag("id").over(w).alias("above_id"))
     close = F.col("y0") - F.col("up") <= X.TAIL_GAP
     return o.where(F.col("above_id").isNotNull() & close & ((F.col("question") == F.col("above")) | ((F.col("question") == 2) & (F.col("above") == 0)))).select("id", "above_id")
+
+
+@query()
+def question_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of every paper, with their paths, marks, material and stems."""
+    from docspan.operators import papers
+
+    lines = V.labelled_lines(spark, sf_dir).withColumn("x0", F.col("ord") % 3 * 0.02)
+    return papers.question_papers(lines)
+
+
+@query()
+def answer_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of every answer sheet, by labels, gaps, ink and page breaks."""
+    from docspan.operators import papers
+
+    b = V.boxes(spark, sf_dir).selectExpr("concat('s', page % 20) as sub_id", "page div 20 as page", "id", "x0", "y0", "x1", "y1")
+    order = Window.partitionBy("sub_id").orderBy("page", "y0", "id")
+    text = F.expr("case when id % 11 = 0 then concat('Q', 1 + id % 6, '.') when id % 13 = 0 then concat(1 + id % 6, ' (a) and more') when id % 17 = 0 then 'continued' else concat('written line ', id) end")
+    lines = b.where("id % 9 <> 0").withColumn("ord", F.row_number().over(order)).withColumn("text", text)
+    known = [[str(n), *rest] for n in range(1, 7) for rest in ([], ["a"])]
+    return papers.answer_blocks(lines, b.where("id % 9 = 0").select("sub_id", "page", "y0", "y1"), known)
