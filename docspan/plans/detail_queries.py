@@ -481,9 +481,10 @@ def answer_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every answer sheet, by labels, gaps, ink and page breaks."""
     from docspan.operators import papers
 
-    b = V.boxes(spark, sf_dir).selectExpr("concat('s', page % 20) as sub_id", "page div 20 as page", "id", "x0", "y0", "x1", "y1")
+    rows = ("concat('s', page % 20) as sub_id", "page div 20 as page", "id", "x0", "y0", "x1", "y1")
+    b, ink = V.boxes(spark, sf_dir).selectExpr(*rows), V.boxes(spark, sf_dir).selectExpr(*rows).where("id % 9 = 0")
     order = Window.partitionBy("sub_id").orderBy("page", "y0", "id")
     text = F.expr("case when id % 11 = 0 then concat('Q', 1 + id % 6, '.') when id % 13 = 0 then concat(1 + id % 6, ' (a) and more') when id % 17 = 0 then 'continued' else concat('written line ', id) end")
     lines = b.where("id % 9 <> 0").withColumn("ord", F.row_number().over(order)).withColumn("text", text)
     known = [[str(n), *rest] for n in range(1, 7) for rest in ([], ["a"])]
-    return papers.answer_blocks(lines, b.where("id % 9 = 0").select("sub_id", "page", "y0", "y1"), known)
+    return papers.answer_blocks(lines, ink.select("sub_id", "page", "y0", "y1"), known)
