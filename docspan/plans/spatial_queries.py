@@ -87,13 +87,13 @@ def excluded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(sql(f"""
-, s as (select a.id as ink, b.id % 10 as block, round(sum(({_INTER}) / {_AREA.format('a')}), 6) as share from boxes a join boxes b on a.page = b.page and a.id % 3 = 0 and b.id % 3 <> 0 and ({_INTER}) > 0 group by 1, 2)
+, s as (select a.id as ink, b.id % 10 as block, round(sum((({_INTER}) / {_AREA.format('a')})::decimal(18,9)), 6)::double as share from boxes a join boxes b on a.page = b.page and a.id % 3 = 0 and b.id % 3 <> 0 and ({_INTER}) > 0 group by 1, 2)
 select ink, arg_max(block, (share, -block)) as block, max(share) as share from s group by 1 having max(share) >= 0.3"""))
 def ink_best_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block with the largest part of each ink region, if that is 30 %."""
     a, b = _halves(spark, sf_dir, "id % 3 = 0", "id % 3 <> 0")
     both = G.intersection(G.box("a_"), G.box("b_"))
-    s = S.overlap_pairs(a, b, both > 0).groupBy(F.col("a_id").alias("ink"), (F.col("b_id") % 10).alias("block")).agg(F.round(F.sum(both / G.area(G.box("a_"))), 6).alias("share"))
+    s = S.overlap_pairs(a, b, both > 0).groupBy(F.col("a_id").alias("ink"), (F.col("b_id") % 10).alias("block")).agg(F.round(F.sum((both / G.area(G.box("a_"))).cast("decimal(18,9)")), 6).cast("double").alias("share"))
     return s.groupBy("ink").agg(F.max_by("block", F.struct("share", -F.col("block"))).alias("block"), F.max("share").alias("share")).where("share >= 0.3")
 
 
