@@ -71,6 +71,7 @@ def write_pages(pages: DataFrame, folder: str) -> None:
     pages.withColumn("hash_prefix", F.substring("image_key", 1, 2)).write.mode("append").partitionBy("hash_prefix").parquet(folder)
 
 
-def missing_pages(wanted: DataFrame, stored: DataFrame) -> DataFrame:
-    """Pages that still have to be rendered."""
-    return wanted.join(stored.select("image_key"), "image_key", "left_anti")
+def missing_pages(wanted: DataFrame, stored: DataFrame, *by: str) -> DataFrame:
+    """Pages that still have to be rendered; by names the columns that tell apart pages whose keys may clash."""
+    keys = ["image_key", *by]
+    return wanted.join(stored.select(*keys), keys, "left_anti")
