@@ -323,11 +323,8 @@ m as (select s.id, s.page, s.k, max(struct_pack(w := b.x1 - b.x0, neg := -b.k))
 select id, -widest.neg = k + 1 as bound from m"""))
 def label_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the widest line on a margin number's row is the line that follows it."""
-    o = V.boxes(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("page").orderBy("y0", "id")))
-    a, b = S.prefixed(o.where("x1 - x0 <= 0.1"), "a"), S.prefixed(o, "b")
-    beside = (F.col("a_id") != F.col("b_id")) & (G.vertical_overlap(G.box("a_"), G.box("b_")) >= X.ROW_OVERLAP)
-    widest = F.max(F.struct((F.col("b_x1") - F.col("b_x0")).alias("w"), (-F.col("b_k")).alias("neg")))
-    return S.overlap_pairs(a, b, beside).groupBy(F.col("a_id").alias("id"), "a_k").agg(widest.alias("m")).select("id", (-F.col("m.neg") == F.col("a_k") + 1).alias("bound"))
+    o = V.boxes(spark, sf_dir).withColumn("k", F.row_number().over(Window.partitionBy("page").orderBy("y0", "id")).cast("long"))
+    return S.widest_beside(o, F.expr("x1 - x0 <= 0.1")).select("id", (F.col("widest") == F.col("k") + 1).alias("bound"))
 
 
 @query("""with b as (select l_orderkey, l_linenumber, l_partkey, l_quantity, l_partkey % 7 as page, o_orderkey % 7 as truth, o_orderstatus from lineitem join orders on l_orderkey = o_orderkey)

@@ -1,7 +1,9 @@
 """Queries against their SQL on tables made here, where the small shared ones hold too little to differ."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from docspan.operators import spatial
 from docspan.plans import catalogue
 from tests.oracle import same
 
@@ -21,3 +23,15 @@ def test_page_store_keeps_pages_of_equal_keys_apart(spark, tmp_path):
 
 def test_line_index_of_more_than_9999_lines(spark, tmp_path):
     check(spark, tmp_path, "line_index", orders="select (i // 20) * 200 + i % 20 as o_orderkey, i * 7919 % 15000 as o_custkey from range(10050) t(i)")
+
+
+def test_label_binding_makes_no_pairs_of_lines(spark, tmp_path):
+    check(spark, tmp_path, "label_binding", orders="select (i // 3) * 200 + i % 3 as o_orderkey, i * 7919 % 15000 as o_custkey from range(6000) t(i)")
+    assert "Join" not in catalogue.queries()["label_binding"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_widest_line_beside(spark):
+    boxes = [(1, 0, 0.0, 0.10, 0.05, 0.12), (2, 0, 0.2, 0.10, 0.9, 0.12), (3, 0, 0.2, 0.10, 0.9, 0.12), (4, 0, 0.0, 0.50, 0.05, 0.50), (5, 0, 0.2, 0.49, 0.9, 0.51), (6, 0, 0.0, 0.14, 0.05, 0.27), (7, 0, 0.2, 0.20, 0.3, 0.26), (8, 1, 0.0, 0.10, 0.05, 0.12)]
+    lines = spark.createDataFrame([(*b, b[0]) for b in boxes], "id long, page long, x0 double, y0 double, x1 double, y1 double, k long")
+    got = spatial.widest_beside(lines, F.expr("x1 - x0 <= 0.06")).collect()
+    assert sorted((r.id, r.widest) for r in got) == [(1, 2), (6, 7)]
