@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from docspan.operators import spatial
+from docspan.operators import papers, spatial
 from docspan.plans import catalogue
 from tests.oracle import same
 
@@ -35,3 +35,20 @@ def test_widest_line_beside(spark):
     lines = spark.createDataFrame([(*b, b[0]) for b in boxes], "id long, page long, x0 double, y0 double, x1 double, y1 double, k long")
     got = spatial.widest_beside(lines, F.expr("x1 - x0 <= 0.06")).collect()
     assert sorted((r.id, r.widest) for r in got) == [(1, 2), (6, 7)]
+
+
+def test_segment_reads_ink_only_at_gaps():
+    class Ink(list):
+        read = 0
+
+        def __iter__(self):
+            Ink.read += 1
+            return super().__iter__()
+
+    n = 3000
+    lines = {"page": [0] * n, "x0": [0.1] * n, "y0": [i / 5000 + 0.2 * (i >= 1500) for i in range(n)], "text": ["a line of the answer"] * n}
+    lines["y1"] = [y + 0.0001 for y in lines["y0"]]
+    ink = {"page": Ink([0] * n), "y0": Ink([i / n for i in range(n)]), "y1": Ink([(i + 0.1) / n for i in range(n)])}
+    assert [len(b) for b in papers.segment(lines, ink, set())] == [1500, 1500] and Ink.read == 3
+    assert [len(b) for b in papers.segment(lines, {"page": [0], "y0": [0.3], "y1": [0.49]}, set())] == [3000]
+    assert [len(b) for b in papers.segment(lines, {"page": [1], "y0": [0.3], "y1": [0.49]}, set())] == [1500, 1500]
