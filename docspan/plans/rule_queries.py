@@ -10,6 +10,7 @@ from docspan.functions import geometry as G
 from docspan.functions import patterns as P
 from docspan.functions import review as R
 from docspan.functions import rules as X
+from docspan.operators import similarity as SIM
 from docspan.operators import spatial as S
 from docspan.plans import views as V
 from docspan.plans.catalogue import Catalogue
@@ -304,17 +305,8 @@ def edge_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     edge = b.where("(y0 <= 0.12 or y0 >= 0.88) and length(text) between 1 and 24").select("*", F.bround(F.col("y0") / 0.03).cast("long").alias("by"), F.bround(F.col("x0") / 0.12).cast("long").alias("bx"))
     pages = b.groupBy("script").agg(F.count_distinct("leaf").alias("pages")).where("pages >= 2")
     spot = edge.join(pages, "script").groupBy("script", "by", "bx", "pages").agg(F.count_distinct("leaf").alias("on")).where(F.col("on") >= F.greatest(F.lit(2), F.expr("pages div 2"))).select("script", "by", "bx")
-    m = edge.join(spot, ["script", "by", "bx"])
-    plain = F.regexp_replace(F.lower("text"), "[^a-z0-9]", "")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(plain) - 2, F.lit(1))), lambda i: F.substring(plain, i, F.lit(3)))
-    # equal texts are one row of a spot: a text that comes twice is alike at once, and different ones are few
-    texts = m.groupBy("script", "by", "bx", plain.alias("plain")).agg(F.count("*").alias("times"), F.first(grams).alias("grams"))
-    norm = lambda g: F.sqrt(F.aggregate(F.array_distinct(g), F.lit(0.0), lambda s, x: s + F.pow(F.size(F.filter(g, lambda y: y == x)), F.lit(2.0))))
-    tf = texts.select("script", "by", "bx", "plain", "times", norm(F.col("grams")).alias("norm"), F.explode("grams").alias("gram")).groupBy("script", "by", "bx", "plain", "times", "norm", "gram").agg(F.count("*").alias("tf"))
-    other = tf.select("script", "by", "bx", F.col("plain").alias("o_plain"), F.col("norm").alias("o_norm"), "gram", F.col("tf").alias("o_tf"))
-    alike = tf.join(other, ["script", "by", "bx", "gram"]).where("plain < o_plain").groupBy("script", "by", "bx", "plain", "o_plain").agg((F.sum(F.col("tf") * F.col("o_tf")) / F.first("norm") / F.first("o_norm")).alias("score")).where("score >= 0.15")
-    same = alike.select("script", "by", "bx").union(texts.where("times > 1 and plain <> ''").select("script", "by", "bx")).distinct()
-    return m.join(same, ["script", "by", "bx"], "left_semi").select("id")
+    m = edge.join(spot, ["script", "by", "bx"]).select("id", F.concat_ws(":", "script", "by", "bx").alias("spot"), F.regexp_replace(F.lower("text"), "[^a-z0-9]", "").alias("plain"))
+    return m.join(SIM.keys_with_alike(m, "spot", "id", "plain", 0.15), "spot", "left_semi").select("id")
 
 
 @query(_sql("""

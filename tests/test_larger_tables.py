@@ -1,9 +1,13 @@
 """Queries against their SQL on tables made here, where the small shared ones hold too little to differ."""
 
+import math
+from collections import Counter
+
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
-from docspan.operators import papers, spatial
+from docspan.operators import papers, similarity, spatial
 from docspan.plans import catalogue
 from tests.oracle import same
 
@@ -52,3 +56,24 @@ def test_segment_reads_ink_only_at_gaps():
     assert [len(b) for b in papers.segment(lines, ink, set())] == [1500, 1500] and Ink.read == 3
     assert [len(b) for b in papers.segment(lines, {"page": [0], "y0": [0.3], "y1": [0.49]}, set())] == [3000]
     assert [len(b) for b in papers.segment(lines, {"page": [1], "y0": [0.3], "y1": [0.49]}, set())] == [1500, 1500]
+
+
+def test_edge_headers_lists_no_pairs_of_lines(spark, tmp_path):
+    # ids that are multiples of neither 3 nor 7: no line says the same as another, so every spot has to be searched
+    check(spark, tmp_path, "edge_headers", orders="select k as o_orderkey, (i * i * 37 + i * 11) % 14983 as o_custkey from (select i, i * 200 * 1009 + (i * i // 7) % 40 as k from range(6000) t(i)) where k % 3 <> 0 and k % 7 <> 0")
+    rows = catalogue.queries()["edge_headers"](spark, str(tmp_path))
+    assert rows.count() > 0 and "Generate" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_with_alike_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts = {f"k{k}": ["".join(rng.choice(list("abcdefgh"[: 2 + k % 7]), rng.integers(0, 12))) for _ in range(2 + k % 9)] for k in range(60)}
+
+    def alike(a, b):
+        x, y = (Counter(t[i : i + 3] for i in range(max(len(t) - 2, 1))) for t in (a, b))
+        size = lambda c: math.sqrt(sum(n * n for n in c.values()))
+        return bool(a and b) and sum(n * y[g] for g, n in x.items()) / size(x) / size(y) >= 0.3
+
+    want = {k for k, ts in texts.items() if any(alike(a, b) for i, b in enumerate(ts) for a in ts[:i])}
+    rows = spark.createDataFrame([(k, i, t) for k, ts in texts.items() for i, t in enumerate(ts)], "key string, ord long, plain string")
+    assert 0 < len(want) < 60 and {r.key for r in similarity.keys_with_alike(rows, "key", "ord", "plain", 0.3).collect()} == want
