@@ -170,3 +170,44 @@ def test_pairs_of_batches(monkeypatch):
 def test_packed_arrays():
     parts = [np.array([1, 65_535]), np.array([-1, 70_000]), np.array([1 << 40]), np.zeros(0, np.int64)]
     assert [x.tolist() for x in lm._arrays(b"".join(map(lm._packed, parts)))] == [x.tolist() for x in parts]
+
+
+def test_training_fills_every_chunk_but_the_last(monkeypatch):
+    monkeypatch.setattr(A, "CHUNK", 64)
+    docs = [np.arange(n, dtype=np.int32) % 39 for n in [700, 3, 90, 8, 1300, 513, 1, 16] * 3]
+    inputs, targets, _ = A.layout(docs, 39)
+    found = list(A.training_chunks(iter(docs), 39))
+    assert len(found) == -(-(len(inputs) - A.BLOCK) // 64)
+    for at, whole in ((0, inputs), (1, targets)):
+        laid = np.concatenate([c[at][A.BLOCK :] for c in found])[: len(whole) - A.BLOCK]
+        assert np.array_equal(laid, whole[A.BLOCK :]) and all(np.array_equal(c[at][: A.BLOCK], whole[i * 64 : i * 64 + A.BLOCK]) for i, c in enumerate(found))
+
+
+def test_exponents_are_cut_at_thirty():
+    """Where a sum shows exponents beyond 30, these are cut, as by the definition."""
+    v, a = small()
+    a.w["in"][:, : 2 * A.HEAD] *= 12
+    a.w["c"][:, 3] *= 200
+    docs = [np.random.default_rng(6).integers(0, 39, 9).astype(np.int32) for _ in range(300)]
+    inputs, targets, starts = A.layout(docs, 39)
+    got = a.log10(inputs, targets, 39)
+    w = {k: x.astype(float) for k, x in a.w.items()}
+    x = w["e"][v.slot[inputs]]
+    q, k, val, own = np.split(x @ w["in"], [A.HEAD, 2 * A.HEAD, 2 * A.HEAD + A.WIDTH], axis=1)
+    cut = [0, 0]
+    for i in np.flatnonzero(targets >= 0)[:400]:
+        lo = i - i % A.BLOCK - A.BLOCK
+        s = q[i] @ k[lo : i + 1].T + w["p"][i % A.BLOCK, : i + 1 - lo]
+        e = np.exp(np.minimum(s, 30))
+        g = np.maximum(own[i] + e / e.sum() @ val[lo : i + 1] @ w["o"] + w["h"], 0) @ w["c"] + w["b"]
+        cut[0] += s.max() > 30
+        cut[1] += np.abs(g[: len(v.mass)]).max() > 30
+        g = np.clip(g, -30, 30)
+        assert got[i] == pytest.approx((g[v.group[targets[i]]] - np.log(np.exp(g).sum())) / np.log(10), abs=2e-4)
+    assert min(cut) > 0 and max(cut) < 400, cut
+
+
+def test_subwords_equal_the_encoding_with_special_tokens():
+    tokens = lm.Tokens(*lm.default_vocabulary())
+    for text in ("", "a", "  two  spaces \n\n\t end ", "I'll we've '  's", "\u4e2d\u6587 \u0435\u0449\u0451 \U0001f600 \u00a0x\u3000", "<|endoftext|> <|im_end|>", "1234 5,6.7!!"):
+        assert tokens(text).tolist() == [*tokens.encoding.encode(text, disallowed_special=()), tokens.end] and tokens(text).dtype == np.int32
