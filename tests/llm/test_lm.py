@@ -211,3 +211,13 @@ def test_subwords_equal_the_encoding_with_special_tokens():
     tokens = lm.Tokens(*lm.default_vocabulary())
     for text in ("", "a", "  two  spaces \n\n\t end ", "I'll we've '  's", "\u4e2d\u6587 \u0435\u0449\u0451 \U0001f600 \u00a0x\u3000", "<|endoftext|> <|im_end|>", "1234 5,6.7!!"):
         assert tokens(text).tolist() == [*tokens.encoding.encode(text, disallowed_special=()), tokens.end] and tokens(text).dtype == np.int32
+
+
+def test_embedding_gradients_are_added_in_pairs_with_the_same_bits():
+    r = np.random.default_rng(8)
+    slots, g = r.integers(0, 50, 3000), r.normal(size=(3000, A.WIDTH)).astype(np.float32)
+    want, got = np.zeros((A.SLOTS, A.WIDTH), np.float32), np.zeros(A.SLOTS * A.WIDTH, np.float32)
+    for slot, row in zip(slots, g):
+        want[slot] += row
+    np.add.at(got.view(np.complex64), A._CELLS.take(slots, 0).reshape(-1), g.reshape(-1).view(np.complex64))
+    assert np.array_equal(got.reshape(want.shape), want)
